@@ -1,14 +1,23 @@
 """The corpus queries, by name, and the SQL of those that SQL can express."""
 
-from tidemesh.llm import mixing, sharding
+from tidemesh.llm import divergence, linkgraph, mixing, pivots, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op2_link_trust": linkgraph.op2_link_trust,
+        "op3_pivot_topk": pivots.op3_pivot_topk,
+        "op4_divergence_rules": divergence.op4_divergence_rules,
         "op5_jump_shards": sharding.op5_jump_shards,
+        "op6_capture_index": warc.op6_capture_index,
         "op10_curriculum_mix": mixing.op10_curriculum_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_curriculum_mix": mixing.OP10_SQL}
+    return {
+        "op3_pivot_topk": pivots.OP3_SQL,
+        "op4_divergence_rules": divergence.OP4_SQL,
+        "op6_capture_index": warc.OP6_SQL,
+        "op10_curriculum_mix": mixing.OP10_SQL,
+    }
