@@ -1,15 +1,18 @@
 """The corpus queries, by name, and the SQL of those that SQL can express."""
 
-from tidemesh.llm import divergence, linkgraph, mixing, pivots, sharding, warc
+from tidemesh.llm import crf, divergence, linkgraph, mixing, packing, pivots, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_line_crf": crf.op1_line_crf,
         "op2_link_trust": linkgraph.op2_link_trust,
         "op3_pivot_topk": pivots.op3_pivot_topk,
         "op4_divergence_rules": divergence.op4_divergence_rules,
         "op5_jump_shards": sharding.op5_jump_shards,
         "op6_capture_index": warc.op6_capture_index,
+        "op8_window_gru": toxicity.op8_window_gru,
+        "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_curriculum_mix": mixing.op10_curriculum_mix,
     }
 
