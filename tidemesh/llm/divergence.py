@@ -56,9 +56,12 @@ def repeated_words(df: DataFrame, words: str, n_words: str, out: str) -> DataFra
 
 
 def text_counts(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, lang, the base counts, n_chars, the character classes and hist (word number, count) per row."""
+    """doc_id, lang, the base counts, n_chars, the character classes and hist (word number, count) per row.
+
+    The columns of carry come along in one struct, _carry, so that no name of theirs clashes.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", "lang", *carry, text.alias("_text"))
+    df = docs.select("doc_id", "lang", (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("_carry"), text.alias("_text"))
     df = _held(df, _words=F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.regexp_like(line, F.lit(WORD)))
     common = F.filter("_words", lambda w: F.lower(w).isin(*WORDS))
@@ -141,7 +144,7 @@ def judge(docs: DataFrame, *carry: str) -> DataFrame:
     odd = (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     kept = ~failed & ~F.coalesce(far, F.lit(False)) & ~F.coalesce(odd, F.lit(False))
     counts = counts.withColumn("base_failed", failed).withColumn("kept", kept)
-    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", *carry)
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", *(["_carry.*"] if carry else []))
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemesh.llm.common import buckets_for, running_before, saved, table, word_count
+from tidemesh.llm.common import buckets_for, saved, table, word_count
 
 #: How steeply the schedules of the sources, in turn, rise (above 0) or fall over training time.
 RAMPS = (-0.5, 0.0, 0.5)
@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
 
 
 def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken, passes, extra, position and the columns of carry.
+    """Per row of docs: doc_id, size, source_size, target, taken, passes, extra, position, and carry's columns in _carry.
 
     A source's rows stand in the order of md5(doc_id). The mix passes floor(target / source_size) times over all of
     them and once more over the first, up to the target; the row that reaches it gives only the words still missing
@@ -61,13 +61,14 @@ def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     """
     size = word_count(F.col("text"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = saved(docs.select("doc_id", size.alias("size"), "source", key.alias("key"), *carry), "mix")
+    held = (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("_carry")
+    rows = saved(docs.select("doc_id", size.alias("size"), "source", key.alias("key"), held), "mix")
     n = buckets_for(rows.count())
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n, 28))
     per = saved(rows.groupBy("source", "bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
     targets = source_targets(per.groupBy("source").agg(F.sum("_sum").alias("source_size")), share, most, weights)
     told = per.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return _placed(rows, told, whole).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra", "position", *carry)
+    return _placed(rows, told, whole).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra", "position", "_carry")
 
 
 def _placed(rows: DataFrame, told: DataFrame, whole: bool) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus queries, by name, and the SQL of those that SQL can express."""
 
-from tidemesh.llm import crf, divergence, linkgraph, mixing, packing, pivots, sharding, toxicity, warc
+import corpus_pipeline
+from tidemesh.llm import crf, divergence, linkgraph, mixing, neardup, packing, pivots, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,9 +12,11 @@ def queries() -> dict:
         "op4_divergence_rules": divergence.op4_divergence_rules,
         "op5_jump_shards": sharding.op5_jump_shards,
         "op6_capture_index": warc.op6_capture_index,
+        "op7_weighted_minhash": neardup.op7_weighted_minhash,
         "op8_window_gru": toxicity.op8_window_gru,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_curriculum_mix": mixing.op10_curriculum_mix,
+        "pipeline": corpus_pipeline.run,
     }
 
 
