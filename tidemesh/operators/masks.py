@@ -14,7 +14,8 @@ PIXEL = ["scene_id", "x", "y"]
 def ellipse(rx: int, ry: int | None = None) -> list[tuple[int, int]]:
     """Offsets of an ellipse: row dy reaches rint(rx * sqrt(1 - (dy / ry)^2)) each way."""
     ry = rx if ry is None else ry
-    return [(dx, dy) for dy in range(-ry, ry + 1) for dx in range(-(w := round(rx * (1 - (dy / ry) ** 2) ** 0.5 if ry else rx)), w + 1)]
+    half = {dy: round(rx * (1 - (dy / ry) ** 2) ** 0.5) if ry else rx for dy in range(-ry, ry + 1)}
+    return [(dx, dy) for dy, w in half.items() for dx in range(-w, w + 1)]
 
 
 def square(r: int) -> list[tuple[int, int]]:

@@ -39,7 +39,7 @@ def spread_step(mask: DataFrame, weather: DataFrame, hours: float, width: int, h
     runs = rows.select("scene_id", (F.col("y") + F.col("oy")).alias("y"), (F.col("x") - half).alias("x1"), (F.col("x") + half).alias("x2"), "sx", "sy")
     both = runs.select("scene_id", "y", "x1", "x2").union(runs.select("scene_id", F.col("y") + F.col("sy"), F.col("x1") + F.col("sx"), F.col("x2") + F.col("sx")))
     clipped = both.where((F.col("y") >= 0) & (F.col("y") < height)).select("scene_id", "y", F.greatest("x1", F.lit(0)).alias("x1"), F.least("x2", F.lit(width - 1)).alias("x2")).where("x1 <= x2")
-    grown = clipped.distinct().select("scene_id", F.explode(F.sequence("x1", "x2")).cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    grown = clipped.distinct().select("scene_id", F.explode(F.sequence(F.col("x1").cast("int"), F.col("x2").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"))
     body = mask.select(*PIXEL).join(told.select("scene_id", "sx", "sy"), "scene_id")
     moved = body.select("scene_id", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y")).where(f"x >= 0 AND y >= 0 AND x < {width} AND y < {height}")
     return grown.union(moved).union(mask.select(*PIXEL)).distinct()

@@ -17,7 +17,7 @@ def _count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.groupBy("scene_id").agg(F.count("*").alias(name), F.sum(F.col("x") * 1000 + F.col("y")).alias("checksum"))
 
 
-def scene_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scene_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reading a scene: the newest of its smallest site."""
     sites_of = X.weather_obs(spark, sf_dir).groupBy("scene_id").agg(F.min("site_id").alias("site_id"))
     return weather.latest(X.weather_obs(spark, sf_dir).drop("scene_id"), sites_of)
@@ -77,13 +77,13 @@ def t1_hourly_weather(spark, sf_dir):
 def p7_pixel_to_latlon(spark, sf_dir):
     told = X.drops(spark, sf_dir).join(X.scenes(spark, sf_dir), "scene_id")
     scale = F.when(F.col("drop_id") % 50 == 7, -1.0).otherwise(F.col("m_per_px"))
-    told = told.withColumn("p", geodesy.pixel_to_latlon(F.col("x"), F.col("y"), F.lit(W / 2), F.lit(H / 2), F.col("lat"), F.col("lon") + 100, scale))
+    told = told.withColumn("p", geodesy.pixel_to_latlon(F.col("x"), F.col("y"), F.lit(W / 2), F.lit(H / 2), F.col("lat"), F.lit(179.995), scale))
     return told.select("scene_id", "drop_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), F.col("p.error").alias("error"))
 
 
 def p10_leg_costs(spark, sf_dir):
     """Headwind and battery of the leg from the scene's centre to each drop, with the scene's weather (P9-P11)."""
-    told = X.drops(spark, sf_dir).join(scene_weather(spark, sf_dir), "scene_id")
+    told = X.drops(spark, sf_dir).join(_scene_weather(spark, sf_dir), "scene_id")
     dx, dy = F.col("x") - W // 2, F.col("y") - H // 2
     against = flight.headwind(dx.cast("double"), dy.cast("double"), flight.wind_mps(F.col("wind_speed_10m")), F.col("wind_direction_10m"))
     told = told.withColumn("against", against).withColumn("metres", F.hypot(dx.cast("double"), dy.cast("double")) * X.M_PER_PX)
@@ -125,11 +125,11 @@ def j3_close_open(spark, sf_dir):
 
 
 def r4_spread(spark, sf_dir):
-    return _count(spread.spread_step(X.mask(spark, sf_dir), scene_weather(spark, sf_dir), 1.0, W, H))
+    return _count(spread.spread_step(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H))
 
 
 def r5_forecast(spark, sf_dir):
-    frames = spread.forecast(X.mask(spark, sf_dir), scene_weather(spark, sf_dir), 2.5, W, H)
+    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 2.5, W, H)
     return frames.groupBy("scene_id", F.round("hour", 4).alias("hour")).agg(F.count("*").alias("n"), F.sum(F.col("x") * 1000 + F.col("y")).alias("checksum"))
 
 
@@ -141,7 +141,7 @@ def j4_bracket(spark, sf_dir):
 
 def r9_flooded_at_arrival(spark, sf_dir):
     """Drops flooded 1.5 h on, by interpolated fronts between two hourly frames."""
-    frames = spread.forecast(X.mask(spark, sf_dir), scene_weather(spark, sf_dir), 2.0, W, H).where("hour IN (0, 1, 2)")
+    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 2.0, W, H).where("hour IN (0, 1, 2)")
     area = X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y")
     wet = timeline.wet_intervals(frames, area)
     points = X.drops(spark, sf_dir).withColumn("t", F.lit(1.5))
