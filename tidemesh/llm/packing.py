@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,12 @@ class ByteTokenizer:
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
+@lru_cache(maxsize=1)
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """The tokenizer of a Python worker, whose words stay remembered from task to task."""
+    return ByteTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """doc_id, nth, start, length, ids_crc32, doc_tokens (and ids, if asked for) per piece of at most capacity tokens.
 
@@ -95,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ids:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, nth = ByteTokenizer(tokenizer_path), TaskContext.get().partitionId() << 33
+        tokenizer, nth = byte_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 33
         end, width = array("I", [END]).tobytes(), capacity * 4
         for pdf in batches:
             out = []
