@@ -235,11 +235,12 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                     key = mixed(key * np.uint64(0x100000001B3) + folded[:, :, k])
                 for i, g, b in zip(of[starts], got.astype(np.uint16), key.astype(np.int64), strict=True):
                     sigs[first + i], keys[first + i] = g.tobytes(), b
-            yield pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"].astype("Int64"), "sig": sigs, "bands": keys})
+            yield pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "sig": sigs, "bands": keys})
 
-    rows = docs.select(node_of(F.col("text")).alias("node"), "doc_id", "text").mapInPandas(run, "node binary, doc_id long, sig binary, bands array<long>")
+    # ids go as text, as pandas turns longs with nulls to floats
+    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").cast("string"), "text").mapInPandas(run, "node binary, doc_id string, sig binary, bands array<long>")
     rows = saved(rows, "signatures")
-    return saved(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    return saved(rows.groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
 
 def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

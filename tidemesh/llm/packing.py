@@ -112,10 +112,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, ids:
                     part = data[at : at + width]
                     out.append((doc_id, nth, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, part)[: 7 if ids else 6])
                 nth += 1
-            yield pd.DataFrame(out, columns=["doc_id", "nth", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 7 if ids else 6]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "nth", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 7 if ids else 6])
 
-    schema = "doc_id long, nth long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # ids go as text, as pandas turns longs with nulls to floats
+    schema = "doc_id string, nth long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * ids
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fill(counts: dict[int, int], lengths: list[int], capacity: int) -> list[int]:
@@ -183,11 +184,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["nth", "start"])
         sequence, offset = pack_lengths(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(pdf["group"].to_numpy() << 32) + sequence, offset=offset).astype({"doc_id": "Int64"}).drop(columns="group")
+        return pdf.assign(sequence_id=(pdf["group"].to_numpy() << 32) + sequence, offset=offset).drop(columns="group")
 
-    dealt = parts.withColumn("group", F.pmod(F.xxhash64("nth", "start"), F.lit(groups)))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.groupBy("group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    dealt = parts.withColumn("group", F.pmod(F.xxhash64("nth", "start"), F.lit(groups))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name != "group")
+    packed = dealt.groupBy("group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:

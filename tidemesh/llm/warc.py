@@ -26,7 +26,7 @@ from tidemesh.llm.linkgraph import after_scheme, host_of
 #: Payloads shorter than this are always stored; index lines in a block; bytes after which a task begins a new file.
 MIN_REVISIT, BLOCK_LINES, FILE_BYTES = 100, 1000, 1 << 30
 DATE = "2024-01-01T00:00:00Z"
-LINE = "surt string, page_id long, file string, offset long, length long"
+LINE = "surt string, page_id string, file string, offset long, length long"  # ids as text: pandas turns longs with nulls to floats
 
 
 def url_key(url: Column) -> Column:
@@ -42,22 +42,21 @@ def member(headers: list[tuple[str, object]], body: bytes) -> bytes:
     return packer.compress(head.encode() + b"\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-def record(page_id, url, html: bytes, digest: str, refers_to) -> bytes:
+def record(page_id: str | None, url: str | None, html: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response record, or a revisit without its payload."""
-    name = None if page_id is None else int(page_id)
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {url} {digest}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else re.sub(r"[\r\n]", "", url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("X-Page-Id", name),
+        ("X-Page-Id", page_id),
         ("X-Payload-Length", len(html)),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if refers_to is not None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", int(refers_to))]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers_to)]
         return member(headers, http)
     return member(headers, http + html)
 
@@ -93,12 +92,12 @@ def writer(folder: str):
                             out.close()
                         name, n, at = f"{_own_name('part')}-{n:04d}.warc.gz", n + 1, 0
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    page = None if pd.isna(row.page_id) else int(row.page_id)
-                    data = record(page, row.url, bytes(row.html), row.digest, None if pd.isna(row.refers_to) else int(row.refers_to))
+                    page = row.page_id
+                    data = record(page, row.url, bytes(row.html), row.digest, row.refers_to)
                     out.write(data)
                     lines.append((row.surt, page, name, at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(lines, columns=["surt", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(lines, columns=["surt", "page_id", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
@@ -160,7 +159,8 @@ def write_archive(pages: DataFrame, label: str = "warc") -> tuple[str, DataFrame
     long = rows.where(F.octet_length("html") >= MIN_REVISIT)
     first = long.groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     told = rows.join(first, F.col("digest") == F.col("_digest"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    lines = saved(told.select("page_id", "url", "html", "digest", "surt", "refers_to").mapInPandas(writer(folder), LINE), "lines")
+    told = told.select(F.col("page_id").cast("string"), "url", "html", "digest", "surt", F.col("refers_to").cast("string"))
+    lines = saved(told.mapInPandas(writer(folder), LINE), "lines")
     ordered = lines.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
     blocks = ordered.mapInPandas(block_writer(folder), "first_key string, last_key string, index_file string, offset long, length long, lines int")
     return folder, saved(blocks, "directory")
