@@ -121,6 +121,7 @@ _ITEMS = " UNION ALL ".join([
 ])
 
 _F2, _F2_ALL = _frames(2.5)
+_F1, _F1_ALL = _frames(1.0)
 _PRESETS = ", ".join(f"('{n}', {la}::DOUBLE, {lo}::DOUBLE)" for n, la, lo, _ in weather.PRESETS)
 _COMMANDS = ", ".join(map(str, mission.COMMANDS))
 
@@ -210,4 +211,24 @@ ORACLES = {
         UNION ALL SELECT mission_id, line_no, 'seq' FROM b WHERE seq <> line_no - 1 UNION ALL SELECT mission_id, line_no, 'current' FROM b WHERE cur <> (line_no = 1)::INT
         UNION ALL SELECT mission_id, line_no, 'frame' FROM b WHERE frame NOT IN (0, 3) UNION ALL SELECT mission_id, line_no, 'command' FROM b WHERE cmd NOT IN ({_COMMANDS})
         UNION ALL SELECT mission_id, line_no, 'position' FROM b WHERE cmd IN (16, 19, 21, 22) AND (abs(lat) > 90 OR abs(lon) > 180 OR (lat = 0 AND lon = 0)) UNION ALL SELECT mission_id, line_no, 'autocontinue' FROM b WHERE auto <> 1"""),
+    "a2_local_density": with_views("mask", f"""img AS (SELECT scene_id, unnest(list_distinct([x] || CASE WHEN x BETWEEN 1 AND 5 THEN [-x] ELSE [] END || CASE WHEN x BETWEEN {W - 6} AND {W - 2} THEN [{2 * (W - 1)} - x] ELSE [] END)) AS x, y FROM mask), im2 AS (
+        SELECT scene_id, x, unnest(list_distinct([y] || CASE WHEN y BETWEEN 1 AND 5 THEN [-y] ELSE [] END || CASE WHEN y BETWEEN {H - 6} AND {H - 2} THEN [{2 * (H - 1)} - y] ELSE [] END)) AS y FROM img), d AS (
+        SELECT m.scene_id, m.x, m.y, count(*) / 121.0::DOUBLE AS d FROM mask m, {_offsets(masks.square(5))} JOIN im2 ON im2.scene_id = m.scene_id AND im2.x = m.x + dx AND im2.y = m.y + dy GROUP BY ALL)
+        SELECT scene_id, count(*) AS n, round(sum(d), 4) AS total, round(min(d), 6) AS least FROM d GROUP BY scene_id"""),
+    "j13_shared_points": with_views("drops", "SELECT scene_id, (x // 8)::BIGINT AS x, (y // 8)::BIGINT AS y, count(*)::INT AS n, min(drop_id) AS first FROM drops GROUP BY scene_id, x // 8, y // 8 HAVING count(*) > 1"),
+    "j15_near_regions": with_views("drops mask", "SELECT DISTINCT d.scene_id, drop_id FROM drops d JOIN mask m ON d.scene_id = m.scene_id AND m.x > 100 AND (m.x - d.x) * (m.x - d.x) + (m.y - d.y) * (m.y - d.y) <= 625"),
+    "a8_stage_counts": with_views("candidates drops scenes", f"""{_REACH}, {_ASSIGN} SELECT scene_id, count(*) AS drops, count(a.drop_id) AS coverable, count(a.drop_id) AS assigned, count(CASE WHEN distance_m < 400 THEN 1 END) AS delivered
+        FROM drops LEFT JOIN assigned a USING (scene_id, drop_id) GROUP BY ROLLUP (scene_id)"""),
+    "a11_map_sanity": with_views("pixels_hsv", """t AS (SELECT scene_id, s AS b, v AS g, h AS r, CASE WHEN x < 60 THEN 9 ELSE s END AS b2, CASE WHEN x < 60 THEN 9 ELSE v END AS g2, CASE WHEN x < 60 THEN 9 ELSE h END AS r2 FROM pixels_hsv), c AS (
+        SELECT scene_id, max(n) / sum(n) AS dominant FROM (SELECT scene_id, b2, g2, r2, count(*) AS n FROM t GROUP BY ALL) GROUP BY scene_id), k AS (
+        SELECT scene_id, corr(b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE, b2 * 0.114::DOUBLE + g2 * 0.587::DOUBLE + r2 * 0.299::DOUBLE) AS correlation, avg((b = b2 AND g = g2 AND r = r2)::INT) AS unchanged FROM t GROUP BY scene_id)
+        SELECT scene_id, round(dominant, 6)::DOUBLE AS dominant, round(correlation, 6) AS correlation, round(unchanged, 6) AS unchanged, dominant <= 0.5 AND coalesce(correlation, 0) >= 0.5 AS ok FROM c JOIN k USING (scene_id)"""),
+    "u4_within_reach": with_views("candidates drops scenes", f"""{_REACH}, {_ASSIGN}, m AS (SELECT scene_id, scene_id * 4 + (base_id + 1) % 4 AS base_id, base_id AS sortie, drop_id FROM assigned)
+        SELECT m.scene_id, m.base_id, sortie, count(*) = count(r.drop_id) AS fits FROM m LEFT JOIN reached r ON r.scene_id = m.scene_id AND r.cand_id = m.base_id AND r.drop_id = m.drop_id GROUP BY ALL"""),
+    "p6_weather_flags": with_views("weather_obs", f"{_WEATHER} SELECT scene_id, wind_speed_10m > {D.WIND_LIMIT} AS too_windy, precipitation > {D.RAIN_LIMIT} AS too_wet FROM wx"),
+    "u2_lost_pixels": with_views("mask weather_obs", f"""{_WEATHER}, {_F1}, a AS ({_F1_ALL}), n AS (SELECT scene_id, hour, lead(hour) OVER (PARTITION BY scene_id ORDER BY hour) AS next FROM (SELECT DISTINCT scene_id, hour FROM a))
+        SELECT a.scene_id, round(a.hour, 4) AS hour, count(*) AS n FROM a JOIN n ON n.scene_id = a.scene_id AND n.hour = a.hour AND next IS NOT NULL LEFT JOIN a b ON b.scene_id = a.scene_id AND b.hour = next AND b.x = a.x AND b.y = a.y WHERE b.x IS NULL GROUP BY ALL"""),
 }
+
+#: The same crossings, with each drop served from the last site that reaches it.
+ORACLES["j9_crossings_far"] = ORACLES["j9_crossings"].replace(_ASSIGN, "assigned AS MATERIALIZED (SELECT scene_id, drop_id, max(cand_id) AS base_id FROM reached GROUP BY ALL)")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions import colour, flight, geodesy
-from tidemesh.operators import grid, masks, mission, regions, routes, sites, spread, timeline, weather
+from tidemesh.operators import grid, masks, mission, placement, planning, regions, reports, routes, sites, spread, timeline, weather
+from tidemesh.operators.common import stored
 from tidemesh.sources import fixtures as X
 
 W, H = X.WIDTH, X.HEIGHT
@@ -260,3 +261,91 @@ def f4_distance_field(spark, sf_dir):
     own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
     field = grid.distance_field(own, free, 20.0)
     return field.groupBy("scene_id", "source_id").agg(F.count("*").alias("cells"), F.sum("n_straight").alias("straight"), F.sum("n_diag").alias("diagonal"))
+
+
+def j9_crossings_far(spark, sf_dir):
+    """Crossings of the routes that serve each drop from the last site that reaches it, not the nearest."""
+    far = straight_reach(spark, sf_dir).groupBy("scene_id", "drop_id").agg(F.max("cand_id").alias("base_id"))
+    homes = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("base_id"), "x", "y")
+    order = sites.visit_order(X.drops(spark, sf_dir).join(far, ["scene_id", "drop_id"]), homes)
+    return routes.crossings(routes.closed_routes(order, homes, 4))
+
+
+def a2_local_density(spark, sf_dir):
+    return placement.local_density(X.mask(spark, sf_dir), W, H).groupBy("scene_id").agg(F.count("*").alias("n"), F.round(F.sum("density"), 4).alias("total"), F.round(F.min("density"), 6).alias("least"))
+
+
+def w4_sample_points(spark, sf_dir):
+    return placement.sample_points(placement.local_density(X.mask(spark, sf_dir), W, H))
+
+
+def j13_shared_points(spark, sf_dir):
+    return reports.shared_points(X.drops(spark, sf_dir).withColumn("x", F.expr("x div 8")).withColumn("y", F.expr("y div 8"))).select("scene_id", "x", "y", F.size("drop_ids").alias("n"), F.array_min("drop_ids").alias("first"))
+
+
+def j15_near_regions(spark, sf_dir):
+    drops = X.drops(spark, sf_dir)
+    return reports.near_regions(drops, masks.boundary(X.mask(spark, sf_dir).where("x > 100")), 25).select("scene_id", "drop_id")
+
+
+def a8_stage_counts(spark, sf_dir):
+    reached = straight_reach(spark, sf_dir)
+    assigned = sites.assign(reached)
+    return reports.stage_counts(X.drops(spark, sf_dir), reached, assigned, assigned.where("distance_m < 400"))
+
+
+def a11_map_sanity(spark, sf_dir):
+    rows = X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y", F.col("s").alias("b"), F.col("v").alias("g"), F.col("h").alias("r"))
+    both = rows.withColumn("b2", F.when(F.col("x") < 60, 9).otherwise(F.col("b"))).withColumn("g2", F.when(F.col("x") < 60, 9).otherwise(F.col("g"))).withColumn("r2", F.when(F.col("x") < 60, 9).otherwise(F.col("r")))
+    return reports.map_sanity(both).select("scene_id", F.round("dominant", 6).alias("dominant"), F.round("correlation", 6).alias("correlation"), F.round("unchanged", 6).alias("unchanged"), "ok")
+
+
+def u4_within_reach(spark, sf_dir):
+    """Whether the next site of the scene reaches all drops of each base."""
+    reached = straight_reach(spark, sf_dir)
+    moved = sites.assign(reached).select("scene_id", F.expr("scene_id * 4 + (base_id + 1) % 4").alias("base_id"), F.col("base_id").alias("sortie"), "drop_id")
+    return reports.within_reach(moved, reached)
+
+
+def p6_weather_flags(spark, sf_dir):
+    return weather.flags(_scene_weather(spark, sf_dir)).select("scene_id", "too_windy", "too_wet")
+
+
+def u2_lost_pixels(spark, sf_dir):
+    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H)
+    return spread.lost_pixels(frames).groupBy("scene_id", F.round("hour", 4).alias("hour")).agg(F.count("*").alias("n"))
+
+
+def f8_stop_plan(spark, sf_dir):
+    """Closed sorties of every base; drops that the forecast floods at arrival, or that no battery serves, are rejects."""
+    stops, homes = _stops(spark, sf_dir)
+    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H).where("hour IN (0, 0.5, 1)")
+    wet = timeline.wet_intervals(frames, X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y"))
+    wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
+    plan = planning.stop_plan(sites.visit_order(stops, homes), homes, wind, wet, X.M_PER_PX, 0.5)
+    return plan.select("scene_id", "base_id", "seq", "x", "y", "kind", "drop_id", F.round("battery", 6).alias("battery"), "reason")
+
+
+def w8_drop_points(spark, sf_dir):
+    """Drop points of regions of 200 and more: by size, at stations along the hull, on clear dry ground."""
+    mask = X.mask(spark, sf_dir)
+    labels, _ = regions.label(mask)
+    large = stored(regions.large_regions(labels), "large")
+    own = labels.join(large.select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi")
+    band = stored(placement.candidate_band(own, mask, W, H), "band")
+    stations = stored(placement.perimeter_stations(regions.hulls(own), large), "stations")
+    many = placement.pick_at_stations(band, stations.join(large.where("n_drops > 1").select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi"))
+    single = large.where("n_drops = 1").select("scene_id", "region_id")
+    one = placement.nearest_to_line(band.join(single, ["scene_id", "region_id"], "left_semi"), large.select("scene_id", "region_id", "cx", "cy"))
+    return many.union(one.select("scene_id", "region_id", F.lit(0).alias("k"), "x", "y"))
+
+
+def w13_territories(spark, sf_dir):
+    blocked = masks.block_occupancy(X.mask(spark, sf_dir), 5, W, H)
+    free = grid.free_cells(blocked, X.scenes(spark, sf_dir), 5)
+    own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
+    land = stored(reports.territories(grid.distance_field(own, free, 12.0)), "land")
+    assigned = sites.assign(straight_reach(spark, sf_dir)).select("scene_id", "drop_id", "base_id")
+    cells = X.drops(spark, sf_dir).select("scene_id", "drop_id", flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
+    bad = reports.territory_violations(land, assigned.join(cells, ["scene_id", "drop_id"])).groupBy("scene_id").agg(F.count("*").alias("violations"))
+    return land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases")).join(bad, "scene_id", "left")
