@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions import colour, flight, geodesy
-from tidemesh.operators import grid, masks, mission, placement, planning, regions, reports, routes, sites, spread, timeline, weather
+from tidemesh.operators import grid, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
 from tidemesh.operators.common import stored
 from tidemesh.sources import fixtures as X
 
@@ -349,3 +349,44 @@ def w13_territories(spark, sf_dir):
     cells = X.drops(spark, sf_dir).select("scene_id", "drop_id", flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
     bad = reports.territory_violations(land, assigned.join(cells, ["scene_id", "drop_id"])).groupBy("scene_id").agg(F.count("*").alias("violations"))
     return land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases")).join(bad, "scene_id", "left")
+
+
+def f1_select_bases(spark, sf_dir):
+    wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"), F.lit(270.0).alias("wind_direction_10m"))
+    bases, assigned = selection.select_bases(X.candidates(spark, sf_dir), X.drops(spark, sf_dir), straight_reach(spark, sf_dir), wind, X.M_PER_PX, separation=60.0)
+    served = assigned.groupBy("scene_id", F.col("base_id").alias("cand_id")).agg(F.count("*").alias("drops"))
+    return bases.join(served, ["scene_id", "cand_id"])
+
+
+def w11_ranked_sites(spark, sf_dir):
+    """Sites that reach a drop, ranked by the cost of serving the drops nearest to each scene's centre."""
+    drops = X.drops(spark, sf_dir).where("x BETWEEN 70 AND 130 AND y BETWEEN 50 AND 110").withColumn("group_id", F.lit(0))
+    pairs = X.candidates(spark, sf_dir).withColumn("group_id", F.lit(0))
+    wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"), F.lit(270.0).alias("wind_direction_10m"))
+    ranked = selection.ranked_sites(selection.score_sites(pairs, drops, wind, X.M_PER_PX))
+    return ranked.select("scene_id", "cand_id", "rank", F.round("cost", 6).alias("cost"), F.round("hours", 6).alias("hours"), F.round("worst", 6).alias("worst"))
+
+
+def f13_repaired_crossings(spark, sf_dir):
+    """Crossings left after repair, from routes that serve each drop from the last site that reaches it."""
+    reached = straight_reach(spark, sf_dir)
+    drops = X.drops(spark, sf_dir)
+    homes = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("base_id"), "x", "y")
+
+    def replan(assigned):
+        return routes.closed_routes(sites.visit_order(drops.join(assigned, ["scene_id", "drop_id"]), homes), homes, 4)
+
+    start = reached.groupBy("scene_id", "drop_id").agg(F.max("cand_id").alias("base_id"))
+    assigned, points, left = repair.repair(start, drops, reached, replan)
+    counts = left.groupBy("scene_id").agg(F.count("*").alias("crossings"))
+    return assigned.groupBy("scene_id").agg(F.count("*").alias("drops"), F.countDistinct("base_id").alias("bases")).join(counts, "scene_id", "left").na.fill(0, ["crossings"])
+
+
+def f12_nudges(spark, sf_dir):
+    """How many nearby places could take over each site's drops, and the nearest move."""
+    homes = X.candidates(spark, sf_dir)
+    assigned = sites.assign(straight_reach(spark, sf_dir)).select("scene_id", "drop_id", "base_id")
+    mine = X.drops(spark, sf_dir).join(assigned, ["scene_id", "drop_id"])
+    wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
+    spots = repair.nudges(homes, homes, mine, X.mask(spark, sf_dir), wind, X.M_PER_PX, W, H, separation=30.0)
+    return spots.groupBy("scene_id", "cand_id").agg(F.count("*").alias("places"), F.min("moved2").alias("nearest"))
