@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,12 @@ from tidemesh.llm.common import saved, small_batches, table
 
 WORDS, SIMILAR = 5, 0.8
 SAMPLES, ROWS = 64, 4
-#: A pair whose samples agree less than this isn't verified: over three standard errors below SIMILAR.
-LIKELY = 0.62
+#: A pair whose samples agree less than this isn't verified: three standard errors below SIMILAR.
+LIKELY = 0.65
 SKETCH, FLOOR, HEAVY = 1 << 20, 1 / 1000, 1 << 19
-#: Members of a bucket that are compared pair by pair in one join; larger ones go in blocks of BLOCK.
-SMALL, BLOCK, SALT = 32, 512, 128
+#: Rounds that compare each node with one other of its buckets; members of a bucket that are compared pair by pair in
+#: one join, larger buckets going in blocks of BLOCK; members of a class that one join pairs with a node.
+STARS, SMALL, BLOCK, FEW, SALT = 2, 32, 512, 4, 128
 
 _P, _P_INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -207,18 +210,21 @@ class Sampler:
         return out
 
 
+@lru_cache(maxsize=1)
+def one_sampler() -> Sampler:
+    """The tables of a Python worker."""
+    return Sampler()
+
+
 def node_of(text: Column) -> Column:
     """A text's node: equal texts share it; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
+def signatures(docs: DataFrame, weights: Broadcast) -> DataFrame:
     """node, doc_id (the least), sig and bands of every distinct text; texts without words have neither of the two."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, weigh = Sampler(), shared.value
+        sampler, weigh = one_sampler(), weights.value
         bands = SAMPLES // ROWS
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for pdf in batches:
@@ -256,12 +262,11 @@ def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "lead binary, node binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
     """The pairs (lead, node) whose weighted Jaccard similarity is SIMILAR or more.
 
     The texts of a lead's partners go to it in lots of about SALT, each with the lead's own text first.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
     lots = pairs.groupBy("lead").agg(F.ceil(F.count("*") / SALT).cast("int").alias("lots"))
     members = pairs.join(lots, "lead").select("lead", F.pmod(F.xxhash64("node"), "lots").cast("int").alias("lot"), F.lit(1).alias("role"), "node")
     leads = lots.select("lead", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("role"), F.col("lead").alias("node"))
@@ -270,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     ordered = told.repartition(parts, "lead", "lot").sortWithinPartitions("lead", "lot", "role")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weigh, own = shared.value, (np.zeros(0, np.uint64), np.zeros(0))
+        weigh, own = weights.value, (np.zeros(0, np.uint64), np.zeros(0))
         for pdf in batches:
             good = np.zeros(len(pdf), bool)
             role = pdf["role"].to_numpy()
@@ -306,13 +311,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         hook = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "hooks")
-        while True:
+        moved = True
+        while moved:  # every node that is hooked to is hooked itself, so one table follows three hooks
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = saved(hook.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jumps")
+            two = hook.join(up, "root").select("node", F.col("next").alias("root"))
+            jumped = saved(two.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jumps")
             moved = not jumped.where("moved").isEmpty()
             hook = jumped.select("node", "root")
-            if not moved:
-                break
         if roots is None:
             roots = hook
         else:
@@ -324,11 +329,36 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
-def other_pairs(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (lead, node) of one bucket (key, node, root) with different roots that likely are similar.
+def star_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """One pair (lead, node) a node: each bucket (key, node, root) has a lead, another one in each turn.
+
+    A node with leads of other roots in several buckets takes the one that it shares most buckets with.
+    """
+    lead = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("l")).select("key", F.col("l.node").alias("lead"), F.col("l.root").alias("lead_root"))
+    pairs = rest.join(lead, "key").where("lead_root <> root").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    return pairs.groupBy("node").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select("lead", "node")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after the links (lead, node) have joined their classes."""
+    a = roots.select(F.col("node").alias("lead"), F.col("root").alias("a"))
+    edges = links.join(a, "lead").join(roots.select("node", F.col("root").alias("b")), "node").select("a", "b")
+    up = components(edges).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return saved(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+
+
+def unsettled(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets (key, node, root) whose members are of several classes."""
+    told = member.select("key", "node").join(roots, "node")
+    open_keys = told.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+    return saved(told.join(open_keys, "key").select("key", "node", "root"), "rest")
 
-    Buckets of SMALL members are joined with themselves; of larger ones, the members outside the commonest root are
-    compared with all, in blocks, within the tasks.
+
+def likely_classes(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, other): nodes of a bucket and roots of other classes there that have a likely partner for them.
+
+    Buckets of SMALL members are joined with themselves; of larger ones, the members outside the commonest class are
+    compared with all, in blocks, within the tasks. Every pair of a bucket with different roots is looked at.
     """
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main"))
     rest = rest.join(sizes, "key")
@@ -336,57 +366,113 @@ def other_pairs(rest: DataFrame, nodes: DataFrame) -> DataFrame:
     one = few.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
     near = one.join(few, "key").where((F.col("lead") < F.col("node")) & (F.col("lead_root") != F.col("root"))).select("lead", "node").distinct()
     near = agreement(near, nodes)
+    own = rest.select("node", "root").distinct()
+    near = near.join(own, "node").join(own.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead")
+    near = near.select("node", F.col("lead_root").alias("other")).union(near.select("lead", "root"))
 
     large = rest.where(F.col("size") > SMALL).join(nodes.select("node", "sig"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    place = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
-    asked = large.where("root <> main").select(F.col("key").alias("q"), own.alias("qi"), F.explode(every).alias("qj"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("sig").alias("lead_sig"))
-    stock = large.select("key", F.explode(every).alias("i"), own.alias("j"), "node", "root", "sig")
+    asked = large.where("root <> main").select(F.col("key").alias("q"), place.alias("qi"), F.explode(every).alias("qj"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("sig").alias("lead_sig"))
+    stock = large.select("key", F.explode(every).alias("i"), place.alias("j"), "root", "sig")
 
     def run(asked: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(stock):
             a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["lead_sig"], stock["sig"]))
-            roots, names = stock["root"].to_numpy(), stock["node"].to_numpy()
+            roots = stock["root"].to_numpy()
             for node, root, sig in zip(asked["lead"], asked["lead_root"], a, strict=True):
-                hit = np.flatnonzero((b == sig).mean(1) >= LIKELY)
-                out += [(min(node, names[k]), max(node, names[k])) for k in hit if roots[k] != root]
-        return pd.DataFrame(out, columns=["lead", "node"])
+                out += [(node, other) for other in set(roots[(b == sig).mean(1) >= LIKELY]) if other != root]
+        return pd.DataFrame(out, columns=["node", "other"])
 
-    far = asked.groupBy("q", "qi", "qj").cogroup(stock.groupBy("key", "i", "j")).applyInPandas(run, "lead binary, node binary")
+    far = asked.groupBy("q", "qi", "qj").cogroup(stock.groupBy("key", "i", "j")).applyInPandas(run, "node binary, other binary")
     return near.union(far).distinct()
 
 
+def class_links(wanted: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
+    """Links (lead, node) that join each wanted (node, other) to the class of root other, if any of its members is
+    similar: all likely members are tested, the likeliest first, until one is.
+
+    Classes of FEW members are paired in a join. Nodes and members of larger ones meet in blocks, with their samples
+    and texts, so that a text is sent once a block and not once a pair.
+    """
+    sizes = saved(roots.groupBy(F.col("root").alias("other")).agg(F.count("*").alias("size")), "sizes")
+    own = roots.join(sizes.select(F.col("other").alias("root"), F.col("size").alias("own_size")), "root").select("node", "root", "own_size")
+    both = wanted.join(own, "node").join(sizes, "other")
+    # a pair of classes is looked at from the smaller one; where equal, from the one with the larger root
+    both = saved(both.where("own_size < size OR (own_size = size AND root > other)").select("node", "other", "size"), "wanted")
+    small = both.where(F.col("size") <= FEW).join(roots.select(F.col("root").alias("other"), F.col("node").alias("lead")), "other").select("lead", "node")
+    out = verified(saved(agreement(small, nodes), "class-pairs"), texts, weights)
+
+    large = both.where(F.col("size") > FEW)
+    counts = large.groupBy("other", "size").agg(F.count("*").alias("n"))
+    counts = counts.select("other", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
+    content = nodes.select("node", "sig").join(texts, "node")
+    cell = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = large.select("node", "other").join(counts, "other").join(content, "node").select(F.col("other").alias("q"), cell("rows").alias("qi"), every("columns").alias("qj"), F.col("node").alias("asked"), F.col("sig").alias("asked_sig"), F.col("text").alias("asked_text"))
+    stock = roots.select(F.col("root").alias("other"), "node").join(counts, "other").join(content, "node").select("other", every("rows").alias("i"), cell("columns").alias("j"), "node", "sig", "text")
+    def run(asked: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(stock):
+            a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["asked_sig"], stock["sig"]))
+            mine, theirs = weighted(list(asked["asked_text"]), weights.value), weighted(list(stock["text"]), weights.value)
+            for node, sig, own in zip(asked["asked"], a, mine, strict=True):
+                share = (b == sig).mean(1)
+                for k in np.argsort(-share, kind="stable"):
+                    if share[k] < LIKELY:
+                        break
+                    if jaccard(own, theirs[k]) >= SIMILAR - 1e-9:
+                        out.append((stock["node"].iloc[k], node))
+                        break
+        return pd.DataFrame(out, columns=["lead", "node"])
+
+    return out.union(asked.groupBy("q", "qi", "qj").cogroup(stock.groupBy("other", "i", "j")).applyInPandas(run, "lead binary, node binary"))
+
+
+def weighted(texts: list[str | None], weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's sorted shingle hashes and their weights."""
+    out = []
+    for _, some in _batches(texts):
+        h, n, of = shingles(some)
+        w = weights(h, n)
+        cuts = np.searchsorted(of, np.arange(len(some) + 1))
+        out += [(h[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """node, doc_id (its least) and root, which a class's nodes share, of every distinct text.
 
     Classes are the components of links: equal texts, and pairs that share a bucket (a pair of similarity 0.8 does with
-    probability 0.9998) with weighted Jaccard similarity SIMILAR or more. First every node is compared with the least
-    node of one bucket of its own, then each bucket's pairs between different components: no bucket is capped. Null
+    probability 0.9998) with weighted Jaccard similarity SIMILAR or more. First every node is compared with a lead of
+    its buckets, in a few turns; then with all likely members of every other class that a bucket of its own holds, so
+    no bucket or group is capped. Null
     counts as empty; texts without words equal only their copies. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    weights = corpus_weights(docs)
+    weights = docs.sparkSession.sparkContext.broadcast(corpus_weights(docs))
     nodes = signatures(docs, weights)
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
-    lead = member.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    member = saved(member.join(lead, "key"), "members")
+    shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    member = saved(member.join(shared, "key"), "members")
     active = member.select("node").distinct()
     wanted = nodes.join(active, "node").select("node", F.col("doc_id").alias("_doc_id"))
     texts = docs.select(node_of(F.col("text")).alias("node"), "doc_id", "text").join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    first = member.where("lead <> node").groupBy("node", "lead").agg(F.count("*").alias("shared"))
-    first = first.groupBy("node").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead")).select("lead", "node")
-    links = saved(verified(saved(agreement(first, nodes), "pairs"), texts, weights), "links")
-    roots = components(links.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-
-    told = member.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed_keys = told.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    rest = saved(told.join(mixed_keys, "key"), "rest")
-    more = saved(verified(saved(other_pairs(rest, nodes), "more-pairs"), texts, weights), "more-links")
-    final = components(links.union(more).select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    roots = saved(active.select("node", F.col("node").alias("root")), "roots")
+    rest = member
+    for turn in range(STARS):
+        rest = unsettled(member, roots)
+        if rest.isEmpty():
+            break
+        pairs = saved(agreement(star_pairs(rest, turn), nodes), "pairs")
+        roots = merged(roots, saved(verified(pairs, texts, weights), "links"))
+    rest = unsettled(member, roots)
+    wanted = saved(likely_classes(rest, nodes), "likely")
+    final = merged(roots, saved(class_links(wanted, roots, nodes, texts, weights), "class-links"))
 
     return nodes.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
