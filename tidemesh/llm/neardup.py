@@ -348,46 +348,60 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unsettled(member: DataFrame, roots: DataFrame) -> DataFrame:
-    """The buckets (key, node, root) whose members are of several classes."""
-    told = member.select("key", "node").join(roots, "node")
+    """The buckets (key, band, node, root) whose members are of several classes."""
+    told = member.select("key", "band", "node").join(roots, "node")
     open_keys = told.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    return saved(told.join(open_keys, "key").select("key", "node", "root"), "rest")
+    return saved(told.join(open_keys, "key").select("key", "band", "node", "root"), "rest")
 
 
 def likely_classes(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, other): nodes of a bucket and roots of other classes there that have a likely partner for them.
-
-    Buckets of SMALL members are joined with themselves; of larger ones, the members outside the commonest class are
-    compared with all, in blocks, within the tasks. Every pair of a bucket with different roots is looked at.
-    """
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main"))
-    rest = rest.join(sizes, "key")
-    few = rest.where(F.col("size") <= SMALL)
+    """(node, other): nodes of buckets of SMALL members, and roots of other classes there that have a likely partner."""
+    few = rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= SMALL), "key")
     one = few.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
     near = one.join(few, "key").where((F.col("lead") < F.col("node")) & (F.col("lead_root") != F.col("root"))).select("lead", "node").distinct()
     near = agreement(near, nodes)
     own = rest.select("node", "root").distinct()
     near = near.join(own, "node").join(own.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead")
-    near = near.select("node", F.col("lead_root").alias("other")).union(near.select("lead", "root"))
+    return near.select("node", F.col("lead_root").alias("other")).union(near.select("lead", "root")).distinct()
+
 
-    large = rest.where(F.col("size") > SMALL).join(nodes.select("node", "sig"), "node")
+def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
+    """Links (lead, node) within buckets of more than SMALL members.
+
+    Members outside a bucket's commonest class meet all its members in blocks, with samples and texts; a task verifies
+    the likely pairs of different classes and gives out links only, one for a node and class. A pair is looked at in
+    the first band that it shares.
+    """
+    sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main")).where(F.col("size") > SMALL)
+    large = rest.join(sizes, "key").join(nodes.select("node", "sig"), "node").join(texts, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     place = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
-    asked = large.where("root <> main").select(F.col("key").alias("q"), place.alias("qi"), F.explode(every).alias("qj"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("sig").alias("lead_sig"))
-    stock = large.select("key", F.explode(every).alias("i"), place.alias("j"), "root", "sig")
+    asked = large.where("root <> main").select(F.col("key").alias("q"), place.alias("qi"), F.explode(every).alias("qj"), F.col("band").alias("asked_band"), F.col("node").alias("asked"), F.col("root").alias("asked_root"), F.col("sig").alias("asked_sig"), F.col("text").alias("asked_text"))
+    stock = large.select("key", F.explode(every).alias("i"), place.alias("j"), "node", "root", "main", "sig", "text")
 
     def run(asked: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(stock):
-            a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["lead_sig"], stock["sig"]))
-            roots = stock["root"].to_numpy()
-            for node, root, sig in zip(asked["lead"], asked["lead_root"], a, strict=True):
-                out += [(node, other) for other in set(roots[(b == sig).mean(1) >= LIKELY]) if other != root]
-        return pd.DataFrame(out, columns=["node", "other"])
+            band, main = asked["asked_band"].iloc[0], stock["main"].iloc[0]
+            a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["asked_sig"], stock["sig"]))
+            mine, theirs = weighted(list(asked["asked_text"]), weights.value), weighted(list(stock["text"]), weights.value)
+            names, roots = stock["node"].to_numpy(), stock["root"].to_numpy()
+            for node, root, sig, own in zip(asked["asked"], asked["asked_root"], a, mine, strict=True):
+                same = b == sig
+                share = same.mean(1)
+                likely = np.flatnonzero((share >= LIKELY) & (same.reshape(len(b), -1, ROWS).all(2).argmax(1) == band) & (roots != root))
+                linked = set()
+                for k in likely[np.argsort(-share[likely], kind="stable")]:
+                    # both members outside the commonest class: the smaller one asks
+                    if roots[k] in linked or (roots[k] != main and names[k] < node):
+                        continue
+                    if jaccard(own, theirs[k]) >= SIMILAR - 1e-9:
+                        linked.add(roots[k])
+                        out.append((names[k], node))
+        return pd.DataFrame(out, columns=["lead", "node"])
 
-    far = asked.groupBy("q", "qi", "qj").cogroup(stock.groupBy("key", "i", "j")).applyInPandas(run, "node binary, other binary")
-    return near.union(far).distinct()
+    return asked.groupBy("q", "qi", "qj").cogroup(stock.groupBy("key", "i", "j")).applyInPandas(run, "lead binary, node binary")
 
 
 def class_links(wanted: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
@@ -454,7 +468,7 @@ def classes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(corpus_weights(docs))
     nodes = signatures(docs, weights)
-    member = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
+    member = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     member = saved(member.join(shared, "key"), "members")
     active = member.select("node").distinct()
@@ -472,7 +486,8 @@ def classes(docs: DataFrame) -> DataFrame:
         roots = merged(roots, saved(verified(pairs, texts, weights), "links"))
     rest = unsettled(member, roots)
     wanted = saved(likely_classes(rest, nodes), "likely")
-    final = merged(roots, saved(class_links(wanted, roots, nodes, texts, weights), "class-links"))
+    links = bucket_links(rest, nodes, texts, weights).union(class_links(wanted, roots, nodes, texts, weights))
+    final = merged(roots, saved(links, "class-links"))
 
     return nodes.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
