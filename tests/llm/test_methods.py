@@ -140,6 +140,19 @@ def test_tokens_equal_the_library():
     assert [t.encode(x) for x in texts] == [t.whole(x) for x in texts]
 
 
+def test_long_runs_of_lines():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, library = packing.ByteTokenizer(path), Tokenizer.from_file(path)
+    texts = ["\n".join(["word"] * 5000), "one " + "\n".join(["数字", "4,5", "x."] * 2000) + " end", "a\n\n" * 3000 + "b\nc", "\n".join(f"line{i}" for i in range(5000))]
+    for text in texts:
+        assert t.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    held = [*t.bare, *t.spaced]
+    assert max(map(len, held)) <= packing.LONG and not any(w.startswith("line1\n") for w in held)
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(60):

@@ -7,6 +7,7 @@ capacity, and backtracking gives how many of each length it takes.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,12 +24,16 @@ from tidemesh.llm.common import saved, small_batches, table
 #: Tokens in a sequence; pieces that are packed together (a group always fits in a task); words that a task remembers.
 CAPACITY, GROUP, REMEMBERED = 2048, 4096, 200_000
 END = 1
+#: Longer words aren't remembered, so that what a task remembers is bounded in bytes too.
+LONG = 256
+#: A line break that is a pre-token of its own, as it stands alone between other characters than white space.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _BREAKS = "\n\t\r\v\f\x1c\x1d\x1e\x1f"
 _WIDE_BREAKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Words(dict):
-    """Word -> its ids as little-endian 32-bit bytes, filled when asked for; it holds two times REMEMBERED at most."""
+    """Word -> its ids as little-endian 32-bit bytes, filled when asked for; it holds two times REMEMBERED at most, none over LONG."""
 
     def __init__(self, encode):
         super().__init__()
@@ -36,6 +41,8 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word) or self.encode(word)
+        if len(word) > LONG:
+            return ids
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -57,6 +64,7 @@ class ByteTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.bare, self.spaced = Words(lambda w: self.word("", w)), Words(lambda w: self.word(" ", w))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
+        self.line = self.whole("\n")
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
 
     def whole(self, text: str) -> bytes:
@@ -67,9 +75,10 @@ class ByteTokenizer:
         if word.isalpha() and max(word) < "ɐ":
             return array("I", [t.id for t in self.tokenizer.model.tokenize((prefix + word).encode().decode("latin-1").translate(self.shown))]).tobytes()
         own = self.spaced if prefix else self.bare
-        head, line, tail = word.partition("\n")
-        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return own[head] + self.whole(line) + self.bare[tail]
+        if "\n" in word:
+            first, *rest = _LINE.split(word)
+            if rest:
+                return self.line.join([own[first], *map(self.bare.__getitem__, rest)])
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             return own[word[:-1]] + self.bare[word[-1]]
         return self.whole(prefix + word)
