@@ -153,6 +153,18 @@ def test_long_runs_of_lines():
     assert max(map(len, held)) <= packing.LONG and not any(w.startswith("line1\n") for w in held)
 
 
+def test_added_tokens_as_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, library = packing.ByteTokenizer(path), Tokenizer.from_file(path)
+    texts = ["<|endoftext|> x", "a<|endoftext|>b c", "one two\n<|endoftext|>", "<|endoftext|", "plain words only, here", "a\nb <|endoftext|><|endoftext|> c"]
+    for text in texts:
+        assert t.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert np.frombuffer(t.encode(texts[0]), "<u4").tolist() == [50256, 2124]
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(60):

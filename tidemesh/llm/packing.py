@@ -54,14 +54,15 @@ class ByteTokenizer:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
     Its pre-tokens never reach over a single space that stands between other characters than white space, so a text
-    is encoded word by word and equal words only once; other texts are encoded whole.
+    is encoded word by word and equal words only once; other texts are encoded whole, as are those that hold the literal
+    of an added token, which the library takes for that token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare, self.spaced = Words(lambda w: self.word("", w)), Words(lambda w: self.word(" ", w))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
         self.line = self.whole("\n")
@@ -90,7 +91,7 @@ class ByteTokenizer:
         return text.isascii() or not any(c in text for c in _WIDE_BREAKS)
 
     def encode(self, text: str) -> bytes:
-        if not self.plain(text):
+        if any(a in text for a in self.added) or not self.plain(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
