@@ -110,6 +110,36 @@ def test_toxicity_on_held_out_documents(spark):
     assert auc([(r["score"], r["toxic"]) for r in rows]) > 0.75
 
 
+def test_long_words_are_read_to_their_end():
+    def naive(word):
+        b = b"^" + word.encode() + b"$"
+        three = [((b[i] * 961 + b[i + 1] * 31 + b[i + 2]) * 2654435761 % 4294967296) % (toxicity.CHAR_ROWS - 1) + 1 for i in range(len(b) - 2)]
+        runs = set()
+        for i in range(len(b) - toxicity.GRAM + 1):
+            h = 0
+            for c in b[i : i + toxicity.GRAM]:
+                h = (h * 257 + c) % 2147483647
+            runs.add(h * 40503 % (toxicity.GRAM_ROWS - 1) + 1)
+        return sorted(three), runs
+
+    words = ["a", "x" * 18, "数字" * 40, *("".join(chr(97 + (i * i + n) % 26) for i in range(n)) for n in range(1, 90))]
+    keys = toxicity.word_keys(words)
+    for i, word in enumerate(words):
+        own = keys.take(np.array([i]))
+        assert (sorted(own.chars[own.mask].tolist()), {*own.runs.ravel().tolist()} - {0}) == naive(word)
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    glued = lambda bad: "-".join([word(), word(), word(), "zqxvwk" if bad else word(), word()])
+    text = lambda bad: [word() for _ in range(8)] + [glued(bad)] + [word() for _ in range(8)]
+    net = toxicity.train([(text(k % 2), k % 2) for k in range(120)])
+    scorer = toxicity.Scorer(net)
+    scores = scorer.scores([" ".join(text(k % 2)) for k in range(60)])
+    assert min(scores[1::2]) > max(scores[0::2])
+    alone = scorer.scores([glued(1), glued(0), "word" * 200_000])
+    assert alone[0] > alone[1] and np.isfinite(alone).all()
+
+
 def test_network_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -1,14 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as a learned vector of its hash, the mean of learned vectors of its character trigrams, and the log-odds
-of the word and of its strongest run of GRAM bytes in the training sample. Windows of WINDOW words, each overlapping
+of the word and of its strongest run of GRAM bytes in the training sample. Trigrams and runs are those of the whole
+word, however long it is. Windows of WINDOW words, each overlapping
 the next by half, are scored; a document takes its highest window.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,20 +24,60 @@ WINDOW, STRIDE = 32, 16
 PER_CLASS, DOC_WINDOWS = 1500, 48
 WORD_ROWS, CHAR_ROWS, GRAM_ROWS, DIM, HIDDEN, WIDE, GRAM = 1 << 16, 1 << 11, 1 << 18, 6, 8, 20, 6
 REMEMBERED, FOLDS, OFTEN = 150_000, 4, 20
+#: Bytes from piece to piece of a long word, so that each run of GRAM bytes is in one; pieces that are worked on at once.
+STEP, LOT = WIDE - GRAM + 1, 20_000
 
 
-def word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word row, character rows, their mask, rows of runs) of lower-cased words; rows 0 are kept for padding."""
-    data = [w.encode() for w in words]
-    row = np.fromiter((zlib.crc32(b) for b in data), np.int64, len(data)) % (WORD_ROWS - 1) + 1
-    wide = np.array([b"^" + b[: WIDE - 2] + b"$" for b in data], f"S{WIDE}").view(np.uint8).reshape(len(data), WIDE).astype(np.int64)
-    three = (wide[:, :-2] * 961 + wide[:, 1:-1] * 31 + wide[:, 2:]) * 2654435761 % 4294967296
-    mask = wide[:, 2:] > 0
-    runs = np.zeros((len(data), WIDE - GRAM + 1), np.int64)
-    for k in range(GRAM):
-        runs = (runs * 257 + wide[:, k : WIDE - GRAM + 1 + k]) % 2147483647
-    runs = np.where(wide[:, GRAM - 1 :] > 0, runs * 40503 % (GRAM_ROWS - 1) + 1, 0)
-    return row, np.where(mask, three % (CHAR_ROWS - 1) + 1, 0), mask, runs
+class Keys:
+    """Words as rows: row is a word's own; chars, mask and runs are those of its pieces of WIDE bytes, first to the next first."""
+
+    def __init__(self, row: np.ndarray, first: np.ndarray, chars: np.ndarray, mask: np.ndarray, runs: np.ndarray):
+        self.row, self.first, self.chars, self.mask, self.runs = row, first, chars, mask, runs
+        self.n = np.maximum(np.add.reduceat(mask.sum(1), first[:-1]) if len(row) else np.zeros(0, np.int64), 1)[:, None]
+
+    def take(self, words: np.ndarray) -> Keys:
+        many = np.diff(self.first)[words]
+        first = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(self.first[words] - first[:-1], many) + np.arange(first[-1])
+        return Keys(self.row[words], first, self.chars[at], self.mask[at], self.runs[at])
+
+    def owner(self) -> np.ndarray:
+        """The word of each piece."""
+        return np.repeat(np.arange(len(self.row)), np.diff(self.first))
+
+    def strongest(self, odds: np.ndarray) -> np.ndarray:
+        """The largest of the odds of each word's runs."""
+        return np.maximum.reduceat(odds[self.runs].max(1), self.first[:-1]) if len(self.row) else np.zeros(0, odds.dtype)
+
+
+def word_keys(words: list[str]) -> Keys:
+    """Keys of lower-cased words; rows 0 are kept for padding.
+
+    A word that is longer than a piece goes into several, each STEP bytes on: every run and trigram is in one of them,
+    and a trigram that two hold counts in the later one only.
+    """
+    plain = [w.encode() for w in words]
+    row = np.fromiter((zlib.crc32(b) for b in plain), np.int64, len(plain)) % (WORD_ROWS - 1) + 1
+    data = [b"^" + b + b"$" for b in plain]
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    many = 1 + np.maximum(0, -((WIDE - size) // STEP))
+    first = np.concatenate([[0], np.cumsum(many)])
+    if len(data) < first[-1]:
+        data = [b[k : k + WIDE] for b, n in zip(data, many.tolist(), strict=True) for k in range(0, n * STEP, STEP)]
+    last = np.zeros(len(data), bool)
+    last[first[1:] - 1] = True
+    chars, mask, runs = np.zeros((len(data), WIDE - 2), np.int32), np.zeros((len(data), WIDE - 2), bool), np.zeros((len(data), STEP), np.int32)
+    for at in range(0, len(data), LOT):
+        some = data[at : at + LOT]
+        wide = np.array(some, f"S{WIDE}").view(np.uint8).reshape(len(some), WIDE).astype(np.int64)
+        three = (wide[:, :-2] * 961 + wide[:, 1:-1] * 31 + wide[:, 2:]) * 2654435761 % 4294967296
+        own = (wide[:, 2:] > 0) & (last[at : at + LOT, None] | (np.arange(WIDE - 2) < STEP))
+        run = np.zeros((len(some), STEP), np.int64)
+        for k in range(GRAM):
+            run = (run * 257 + wide[:, k : STEP + k]) % 2147483647
+        chars[at : at + LOT], mask[at : at + LOT] = np.where(own, three % (CHAR_ROWS - 1) + 1, 0), own
+        runs[at : at + LOT] = np.where(wide[:, GRAM - 1 :] > 0, run * 40503 % (GRAM_ROWS - 1) + 1, 0)
+    return Keys(row, first, chars, mask, runs)
 
 
 def split_words(text: str | None) -> list[str]:
@@ -66,15 +108,15 @@ class Network:
         self.p = {"word": init(WORD_ROWS, DIM, scale=0.05), "char": init(CHAR_ROWS, DIM, scale=0.1), "W": init(2, size, 3 * HIDDEN), "b": init(2, 1, 3 * HIDDEN, scale=0.01), "U": init(2, HIDDEN, 3 * HIDDEN), "a": init(2 * HIDDEN), "w": init(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.scale = (1.0, 0.0)
 
-    def inputs(self, row: np.ndarray, chars: np.ndarray, mask: np.ndarray, runs: np.ndarray, odds: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, keys: Keys, odds: np.ndarray | None = None) -> np.ndarray:
         """The input vectors of words; odds, if given, has two other log-odds of each word."""
-        n = np.maximum(mask.sum(1, keepdims=True), 1)
-        x = np.empty((len(row), 2 * DIM + 3), np.float32)
-        x[:, :DIM] = self.p["word"][np.where(self.known[row], row, 0)]
-        x[:, DIM : 2 * DIM] = (self.p["char"][chars] * mask[..., None]).sum(1) / n
-        x[:, 2 * DIM] = self.odds[row] if odds is None else odds[:, 0]
-        x[:, 2 * DIM + 1] = np.minimum(n[:, 0], 16) / 16
-        x[:, 2 * DIM + 2] = self.run_odds[runs].max(1) if odds is None else odds[:, 1]
+        x = np.empty((len(keys.row), 2 * DIM + 3), np.float32)
+        x[:, :DIM] = self.p["word"][np.where(self.known[keys.row], keys.row, 0)]
+        lots = [(self.p["char"][keys.chars[at : at + LOT]] * keys.mask[at : at + LOT, :, None]).sum(1) for at in range(0, len(keys.chars), LOT)]
+        x[:, DIM : 2 * DIM] = (np.add.reduceat(np.concatenate(lots), keys.first[:-1]) if lots else 0) / keys.n
+        x[:, 2 * DIM] = self.odds[keys.row] if odds is None else odds[:, 0]
+        x[:, 2 * DIM + 1] = np.minimum(keys.n[:, 0], 16) / 16
+        x[:, 2 * DIM + 2] = keys.strongest(self.run_odds) if odds is None else odds[:, 1]
         return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -160,7 +202,8 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
         return net
     vocabulary: dict[str, int] = {}
     texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words, _ in docs]
-    row, chars, cmask, runs = word_keys(list(vocabulary))
+    keys = word_keys(list(vocabulary))
+    row = keys.row
     often = np.zeros(WORD_ROWS, int)
     fold = np.zeros(len(docs), int)
     for f in (0, 1):
@@ -170,11 +213,11 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
         often[np.unique(row[ids])] += 1
     net.known = often >= OFTEN
 
-    def odds(keys: np.ndarray, rows: int) -> list[np.ndarray]:
+    def odds(rows_of: Callable[[np.ndarray], np.ndarray], rows: int) -> list[np.ndarray]:
         """Log-odds without each fold in turn, and with all."""
         seen, n = np.zeros((FOLDS, 2, rows), np.int32), np.zeros((FOLDS, 2))
         for ids, label, f in zip(texts, y, fold, strict=True):
-            seen[f, label, np.unique(keys[np.unique(ids)])] += 1
+            seen[f, label, np.unique(rows_of(np.unique(ids)))] += 1
             n[f, label] += 1
         out = []
         for f in range(FOLDS + 1):
@@ -185,9 +228,9 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
             out.append(o)
         return out
 
-    word_odds, run_odds = odds(row, WORD_ROWS), odds(runs, GRAM_ROWS)
+    word_odds, run_odds = odds(row.__getitem__, WORD_ROWS), odds(lambda ids: keys.take(ids).runs, GRAM_ROWS)
     net.odds, net.run_odds = word_odds[FOLDS], run_odds[FOLDS]
-    seen_odds = np.stack([np.stack([word_odds[f][row], run_odds[f][runs].max(1)], 1) for f in range(FOLDS)], 1)  # words x FOLDS x 2
+    seen_odds = np.stack([np.stack([word_odds[f][row], keys.strongest(run_odds[f])], 1) for f in range(FOLDS)], 1)  # words x FOLDS x 2
     windows, masks, owner = [], [], []
     for i, ids in enumerate(texts):
         starts = window_starts(len(ids))
@@ -206,7 +249,7 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
 
     def given(ids: np.ndarray) -> np.ndarray:
         w = ids // FOLDS
-        return net.inputs(row[w], chars[w], cmask[w], runs[w], seen_odds[w, ids % FOLDS])
+        return net.inputs(keys.take(w), seen_odds[w, ids % FOLDS])
 
     def score() -> np.ndarray:
         out = []
@@ -240,8 +283,9 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
             grad["word"] = np.zeros_like(net.p["word"])
             np.add.at(grad["word"], np.where(net.known[row[w]], row[w], 0), dxs[:, :DIM])
             grad["char"] = np.zeros_like(net.p["char"])
-            part = dxs[:, None, DIM : 2 * DIM] * (cmask[w] / np.maximum(cmask[w].sum(1, keepdims=True), 1))[..., None]
-            np.add.at(grad["char"], chars[w].ravel(), part.reshape(-1, DIM))
+            taken = keys.take(w)
+            part = (dxs[:, DIM : 2 * DIM] / taken.n)[taken.owner()][:, None] * taken.mask[..., None]
+            np.add.at(grad["char"], taken.chars.ravel(), part.reshape(-1, DIM))
             k += 1
             for name, v in net.p.items():
                 a, b = moment[name]
@@ -280,10 +324,11 @@ class Scorer:
     def ids(self, words: list[str]) -> np.ndarray:
         fresh = [w for w in dict.fromkeys(words) if w not in self.rows]
         if fresh:
-            for at in range(0, len(fresh), 20_000):
-                some = fresh[at : at + 20_000]
+            ends = np.cumsum([len(w) + 10 for w in fresh])  # characters bound what is worked on at once
+            for a, b in pairwise([0, *np.unique(np.searchsorted(ends, np.arange(20 * LOT, ends[-1], 20 * LOT), "right") + 1), len(fresh)]):
+                some = fresh[a:b]
                 first = len(self.rows) + 1
-                self.table[first : first + len(some)] = self.net.project(self.net.inputs(*word_keys(some)))
+                self.table[first : first + len(some)] = self.net.project(self.net.inputs(word_keys(some)))
                 self.rows.update(zip(some, range(first, first + len(some)), strict=True))
         return np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
 
