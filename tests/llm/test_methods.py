@@ -279,6 +279,24 @@ def test_near_duplicate_classes(spark, monkeypatch, small):
     assert links > 30 and [got[i] for i in range(len(texts))] == want
 
 
+def test_bucket_mates_are_verified_however_few_samples_agree(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for _ in range(60_000):
+        words = [word() for _ in range(100)]
+        texts = [" ".join(words), " ".join(words[:40] + [word() for _ in range(5)] + words[45:])]
+        h, n, of = neardup.shingles([t.encode() for t in texts])
+        w = neardup.Weights(*np.unique(h, return_counts=True), 2, neardup.FLOOR)(h, n)
+        cut = int((of == 0).sum())
+        got = neardup.one_sampler().sample(h, w, np.array([0, cut]))
+        same = got[0] == got[1]
+        if same.mean() < 0.65 and same.reshape(-1, neardup.ROWS).all(1).any():
+            break
+    assert same.mean() < 0.65 and neardup.jaccard((h[:cut], w[:cut]), (h[cut:], w[cut:])) >= 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["class_id"] for r in neardup.near_duplicates(docs).collect()] == [0, 0]
+
+
 def test_weighted_samples_estimate_similarity():
     rng, sampler = np.random.default_rng(0), neardup.Sampler()
     for share in (0.5, 0.8):

@@ -25,8 +25,8 @@ from tidemesh.llm.common import saved, small_batches, table
 
 WORDS, SIMILAR = 5, 0.8
 SAMPLES, ROWS = 64, 4
-#: A pair whose samples agree less than this isn't verified: three standard errors below SIMILAR.
-LIKELY = 0.65
+#: A pair whose smaller weight is less than this share of the larger can't be SIMILAR (with room for rounding).
+COMPARABLE = SIMILAR - 1e-6
 SKETCH, FLOOR, HEAVY = 1 << 20, 1 / 1000, 1 << 19
 #: Rounds that compare each node with one other of its buckets; members of a bucket that are compared pair by pair in
 #: one join, larger buckets going in blocks of BLOCK; members of a class that one join pairs with a node.
@@ -222,46 +222,68 @@ def node_of(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, weights: Broadcast) -> DataFrame:
-    """node, doc_id (the least), sig and bands of every distinct text; texts without words have neither of the two."""
+    """node, doc_id (the least), sig, bands and mass (the sum of its weights) of every distinct text.
+
+    Texts without words have none of the last three.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler, weigh = one_sampler(), weights.value
         bands = SAMPLES // ROWS
         salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for pdf in batches:
-            sigs, keys = [None] * len(pdf), [None] * len(pdf)
+            sigs, keys, masses = [None] * len(pdf), [None] * len(pdf), np.full(len(pdf), np.nan)
             for first, some in _batches(list(pdf["text"])):
                 h, n, of = shingles(some)
                 if not len(h):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                got = sampler.sample(h, weigh(h, n), starts)
+                w = weigh(h, n)
+                got = sampler.sample(h, w, starts)
+                masses[first + of[starts]] = np.add.reduceat(w, starts)
                 folded = got.reshape(len(got), bands, ROWS).astype(np.uint64)
                 key = np.broadcast_to(salt, folded.shape[:2])
                 for k in range(ROWS):
                     key = mixed(key * np.uint64(0x100000001B3) + folded[:, :, k])
                 for i, g, b in zip(of[starts], got.astype(np.uint16), key.astype(np.int64), strict=True):
                     sigs[first + i], keys[first + i] = g.tobytes(), b
-            yield pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "sig": sigs, "bands": keys})
+            yield pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "sig": sigs, "bands": keys, "mass": masses})
 
     # ids go as text, as pandas turns longs with nulls to floats
-    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").cast("string"), "text").mapInPandas(run, "node binary, doc_id string, sig binary, bands array<long>")
+    rows = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").cast("string"), "text").mapInPandas(run, "node binary, doc_id string, sig binary, bands array<long>, mass double")
     rows = saved(rows, "signatures")
-    return saved(rows.groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    return saved(rows.groupBy("node").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("mass").alias("mass")), "nodes")
 
 
-def agreement(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (lead, node) whose samples agree in LIKELY of all cases at least."""
+def comparable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (lead, node) whose weights don't rule out that they are SIMILAR, which is exact."""
+    mass = nodes.select("node", "mass")
+    both = pairs.join(mass.withColumnRenamed("mass", "_b"), "node").join(mass.select(F.col("node").alias("lead"), F.col("mass").alias("_a")), "lead")
+    return both.where(F.least("_a", "_b") >= F.lit(COMPARABLE) * F.greatest("_a", "_b")).select("lead", "node")
+
+
+def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The comparable pairs (lead, node) that share a band."""
     sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnRenamed("sig", "sig_b"), "node").join(sig.select(F.col("node").alias("lead"), F.col("sig").alias("sig_a")), "lead")
+    both = comparable(pairs, nodes).join(sig.withColumnRenamed("sig", "sig_b"), "node").join(sig.select(F.col("node").alias("lead"), F.col("sig").alias("sig_a")), "lead")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, SAMPLES) for c in ("sig_a", "sig_b"))
-            yield pdf.loc[(a == b).mean(1) >= LIKELY, ["lead", "node"]]
+            yield pdf.loc[shared_bands(a == b).any(1), ["lead", "node"]]
 
     return both.mapInPandas(run, "lead binary, node binary")
 
 
+def shared_bands(same: np.ndarray) -> np.ndarray:
+    """Pairs x bands from pairs x samples: where all samples of a band agree."""
+    return same.reshape(len(same), -1, ROWS).all(2)
+
+
+def near_mass(mass: float, others: np.ndarray) -> np.ndarray:
+    """Which of the other weights don't rule out SIMILAR."""
+    return np.minimum(mass, others) >= COMPARABLE * np.maximum(mass, others)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
     """The pairs (lead, node) whose weighted Jaccard similarity is SIMILAR or more.
 
@@ -354,12 +376,12 @@ def unsettled(member: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(told.join(open_keys, "key").select("key", "band", "node", "root"), "rest")
 
 
-def likely_classes(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, other): nodes of buckets of SMALL members, and roots of other classes there that have a likely partner."""
+def open_classes(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, other): nodes of buckets of SMALL members, and roots of other classes there that have a comparable member."""
     few = rest.join(rest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= SMALL), "key")
     one = few.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
     near = one.join(few, "key").where((F.col("lead") < F.col("node")) & (F.col("lead_root") != F.col("root"))).select("lead", "node").distinct()
-    near = agreement(near, nodes)
+    near = comparable(near, nodes)
     own = rest.select("node", "root").distinct()
     near = near.join(own, "node").join(own.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead")
     return near.select("node", F.col("lead_root").alias("other")).union(near.select("lead", "root")).distinct()
@@ -369,7 +391,7 @@ def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: B
     """Links (lead, node) within buckets of more than SMALL members.
 
     Members outside a bucket's commonest class meet all its members in blocks, with samples and texts; a task verifies
-    the likely pairs of different classes and gives out links only, one for a node and class. A pair is looked at in
+    the pairs of different classes and gives out links only, one for a node and class. A pair is looked at in
     the first band that it shares.
     """
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main")).where(F.col("size") > SMALL)
@@ -386,11 +408,12 @@ def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: B
             band, main = asked["asked_band"].iloc[0], stock["main"].iloc[0]
             a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["asked_sig"], stock["sig"]))
             mine, theirs = weighted(list(asked["asked_text"]), weights.value), weighted(list(stock["text"]), weights.value)
+            masses = np.array([w.sum() for _, w in theirs])
             names, roots = stock["node"].to_numpy(), stock["root"].to_numpy()
             for node, root, sig, own in zip(asked["asked"], asked["asked_root"], a, mine, strict=True):
                 same = b == sig
                 share = same.mean(1)
-                likely = np.flatnonzero((share >= LIKELY) & (same.reshape(len(b), -1, ROWS).all(2).argmax(1) == band) & (roots != root))
+                likely = np.flatnonzero((shared_bands(same).argmax(1) == band) & (roots != root) & near_mass(own[1].sum(), masses))
                 linked = set()
                 for k in likely[np.argsort(-share[likely], kind="stable")]:
                     # both members outside the commonest class: the smaller one asks
@@ -406,7 +429,7 @@ def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: B
 
 def class_links(wanted: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
     """Links (lead, node) that join each wanted (node, other) to the class of root other, if any of its members is
-    similar: all likely members are tested, the likeliest first, until one is.
+    similar: all members that share a band with it are tested, the likeliest first, until one is.
 
     Classes of FEW members are paired in a join. Nodes and members of larger ones meet in blocks, with their samples
     and texts, so that a text is sent once a block and not once a pair.
@@ -417,7 +440,7 @@ def class_links(wanted: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Da
     # a pair of classes is looked at from the smaller one; where equal, from the one with the larger root
     both = saved(both.where("own_size < size OR (own_size = size AND root > other)").select("node", "other", "size"), "wanted")
     small = both.where(F.col("size") <= FEW).join(roots.select(F.col("root").alias("other"), F.col("node").alias("lead")), "other").select("lead", "node")
-    out = verified(saved(agreement(small, nodes), "class-pairs"), texts, weights)
+    out = verified(saved(sharing(small, nodes), "class-pairs"), texts, weights)
 
     large = both.where(F.col("size") > FEW)
     counts = large.groupBy("other", "size").agg(F.count("*").alias("n"))
@@ -432,11 +455,11 @@ def class_links(wanted: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Da
         if len(asked) and len(stock):
             a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SAMPLES) for x in (asked["asked_sig"], stock["sig"]))
             mine, theirs = weighted(list(asked["asked_text"]), weights.value), weighted(list(stock["text"]), weights.value)
+            masses = np.array([w.sum() for _, w in theirs])
             for node, sig, own in zip(asked["asked"], a, mine, strict=True):
-                share = (b == sig).mean(1)
-                for k in np.argsort(-share, kind="stable"):
-                    if share[k] < LIKELY:
-                        break
+                same = b == sig
+                some = np.flatnonzero(shared_bands(same).any(1) & near_mass(own[1].sum(), masses))
+                for k in some[np.argsort(-same[some].mean(1), kind="stable")]:
                     if jaccard(own, theirs[k]) >= SIMILAR - 1e-9:
                         out.append((stock["node"].iloc[k], node))
                         break
@@ -460,8 +483,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """node, doc_id (its least) and root, which a class's nodes share, of every distinct text.
 
     Classes are the components of links: equal texts, and pairs that share a bucket (a pair of similarity 0.8 does with
-    probability 0.9998) with weighted Jaccard similarity SIMILAR or more. First every node is compared with a lead of
-    its buckets, in a few turns; then with all likely members of every other class that a bucket of its own holds, so
+    probability 0.9998) with weighted Jaccard similarity SIMILAR or more; every such pair of two classes is verified, but
+    for those whose weights rule it out, so the pair is linked with that probability. First every node is compared with a lead of
+    its buckets, in a few turns; then with all bucket mates of every other class, so
     no bucket or group is capped. Null
     counts as empty; texts without words equal only their copies. An empty table gives no rows.
     """
@@ -482,10 +506,10 @@ def classes(docs: DataFrame) -> DataFrame:
         rest = unsettled(member, roots)
         if rest.isEmpty():
             break
-        pairs = saved(agreement(star_pairs(rest, turn), nodes), "pairs")
+        pairs = saved(comparable(star_pairs(rest, turn), nodes), "pairs")
         roots = merged(roots, saved(verified(pairs, texts, weights), "links"))
     rest = unsettled(member, roots)
-    wanted = saved(likely_classes(rest, nodes), "likely")
+    wanted = saved(open_classes(rest, nodes), "open")
     links = bucket_links(rest, nodes, texts, weights).union(class_links(wanted, roots, nodes, texts, weights))
     final = merged(roots, saved(links, "class-links"))
 
