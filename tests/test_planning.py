@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemesh.operators import placement, planning, regions, repair, reports, routes, selection, sites
+from tidemesh.plans import queries
+from tidemesh.sources import fixtures as X
 
 ORDER = "scene_id long, base_id long, seq int, drop_id long, x int, y int"
 
@@ -98,3 +100,19 @@ def test_reports(spark):
     ground = spark.createDataFrame([(1, 0, 0, 7), (1, 1, 0, 7), (1, 5, 5, 8)], "scene_id long, x int, y int, component int")
     kept, out = placement.connected_to_home(drops, spark.createDataFrame([(1, 1, 0)], "scene_id long, x int, y int"), ground)
     assert [r["drop_id"] for r in kept.collect()] == [1] and {r["drop_id"]: r["reason"] for r in out.collect()} == {2: "cut off from home", 3: "drop is not on free ground"}
+
+
+def test_sites_are_ranked_over_all_drops(spark):
+    sf = "/root/testdata/sf0.001"
+    told = {(r["scene_id"], r["cand_id"]): r for r in queries.w11_ranked_sites(spark, sf).collect()}
+    drops = {}
+    for r in X.drops(spark, sf).orderBy("drop_id").collect():
+        drops.setdefault(r["scene_id"], []).append((r["x"], r["y"]))
+    homes = [r for r in X.candidates(spark, sf).collect() if r["scene_id"] in drops]
+    assert len(told) == len(homes) > 0
+    winds = {r["scene_id"] for r in X.scenes(spark, sf).collect()}
+    for r in homes:
+        wind = (30 / 3.6, 270.0) if r["scene_id"] in winds else (0.0, 0.0)
+        cost, _, worst, unserved = selection.sortie_cost((r["x"], r["y"]), drops[r["scene_id"]], *wind, X.M_PER_PX)
+        row = told[r["scene_id"], r["cand_id"]]
+        assert row["unserved"] == unserved and abs(row["worst"] - worst) < 1e-5 and abs(row["cost"] - cost) < 1e-4 and (row["rank"] is None) == (unserved > 0)

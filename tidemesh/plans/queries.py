@@ -359,12 +359,13 @@ def f1_select_bases(spark, sf_dir):
 
 
 def w11_ranked_sites(spark, sf_dir):
-    """Sites that reach a drop, ranked by the cost of serving the drops nearest to each scene's centre."""
-    drops = X.drops(spark, sf_dir).where("x BETWEEN 70 AND 130 AND y BETWEEN 50 AND 110").withColumn("group_id", F.lit(0))
+    """Sites ranked by the cost of serving all drops of their scene; sites that can't have no rank."""
+    drops = X.drops(spark, sf_dir).withColumn("group_id", F.lit(0))
     pairs = X.candidates(spark, sf_dir).withColumn("group_id", F.lit(0))
     wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"), F.lit(270.0).alias("wind_direction_10m"))
-    ranked = selection.ranked_sites(selection.score_sites(pairs, drops, wind, X.M_PER_PX))
-    return ranked.select("scene_id", "cand_id", "rank", F.round("cost", 6).alias("cost"), F.round("hours", 6).alias("hours"), F.round("worst", 6).alias("worst"))
+    scored = stored(selection.score_sites(pairs, drops, wind, X.M_PER_PX), "scored")
+    told = selection.ranked_sites(scored).unionByName(scored.where("unserved > 0").withColumn("rank", F.lit(None).cast("int")))
+    return told.select("scene_id", "cand_id", "rank", F.round("cost", 6).alias("cost"), F.round("hours", 6).alias("hours"), F.round("worst", 6).alias("worst"), "unserved")
 
 
 def f13_repaired_crossings(spark, sf_dir):
