@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemesh.operators import placement, planning, regions, repair, reports, routes, selection, sites
+from tidemesh.operators import grid, masks
 from tidemesh.plans import queries
 from tidemesh.sources import fixtures as X
 
@@ -116,3 +117,24 @@ def test_sites_are_ranked_over_all_drops(spark):
         cost, _, worst, unserved = selection.sortie_cost((r["x"], r["y"]), drops[r["scene_id"]], *wind, X.M_PER_PX)
         row = told[r["scene_id"], r["cand_id"]]
         assert row["unserved"] == unserved and abs(row["worst"] - worst) < 1e-5 and abs(row["cost"] - cost) < 1e-4 and (row["rank"] is None) == (unserved > 0)
+
+
+def test_territories_go_as_far_as_free_cells(spark):
+    sf = "/root/testdata/sf0.001"
+    told = {r["scene_id"]: r for r in queries.w13_territories(spark, sf).collect()}
+    free, starts, stuck = {}, {}, {}
+    for r in grid.free_cells(masks.block_occupancy(X.mask(spark, sf), 5, 200, 160), X.scenes(spark, sf), 5).collect():
+        free.setdefault(r["scene_id"], set()).add((r["cx"], r["cy"]))
+    cell = lambda r: (min(r["x"] // 5, 39), min(r["y"] // 5, 31))
+    for r in X.candidates(spark, sf).collect():
+        starts.setdefault(r["scene_id"], set()).add(cell(r))
+    for r in sites.assign(queries.straight_reach(spark, sf)).join(X.drops(spark, sf), ["scene_id", "drop_id"]).collect():
+        starts[r["scene_id"]].add(cell(r))
+        stuck[r["scene_id"]] = stuck.get(r["scene_id"], 0) + (cell(r) not in free.get(r["scene_id"], set()))
+    assert told
+    for scene, row in told.items():
+        seen = todo = starts[scene] & free[scene]
+        while todo:
+            todo = {(x + a, y + b) for x, y in todo for a in (-1, 0, 1) for b in (-1, 0, 1)} & free[scene] - seen
+            seen = seen | todo
+        assert (row["cells"], row["unreachable"]) == (len(seen), stuck.get(scene, 0))

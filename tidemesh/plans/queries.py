@@ -341,14 +341,19 @@ def w8_drop_points(spark, sf_dir):
 
 
 def w13_territories(spark, sf_dir):
+    """Territories by the fields over each base's home and drops, as far as free cells go; drops on cells that no field
+    reaches are unreachable, not violations."""
     blocked = masks.block_occupancy(X.mask(spark, sf_dir), 5, W, H)
     free = grid.free_cells(blocked, X.scenes(spark, sf_dir), 5)
-    own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
-    land = stored(reports.territories(grid.distance_field(own, free, 12.0)), "land")
+    cell = (flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
     assigned = sites.assign(straight_reach(spark, sf_dir)).select("scene_id", "drop_id", "base_id")
-    cells = X.drops(spark, sf_dir).select("scene_id", "drop_id", flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
-    bad = reports.territory_violations(land, assigned.join(cells, ["scene_id", "drop_id"])).groupBy("scene_id").agg(F.count("*").alias("violations"))
-    return land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases")).join(bad, "scene_id", "left")
+    mine = stored(assigned.join(X.drops(spark, sf_dir).select("scene_id", "drop_id", *cell), ["scene_id", "drop_id"]), "mine")
+    own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), *cell)
+    own = own.union(mine.select("scene_id", F.col("base_id").alias("source_id"), "cx", "cy")).distinct()
+    every = float((W // 5) * (H // 5))  # no shortest path has more cells
+    land = stored(reports.territories(grid.distance_field(own, free, every)), "land")
+    bad = reports.territory_violations(land, mine).groupBy("scene_id").agg(F.count_if(F.col("owner") != -1).alias("violations"), F.count_if(F.col("owner") == -1).alias("unreachable"))
+    return land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases")).join(bad, "scene_id", "left").na.fill(0, ["violations", "unreachable"])
 
 
 def f1_select_bases(spark, sf_dir):
