@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tidemesh.llm.common import small_batches, table
 from tidemesh.llm.divergence import WORDS
 
-#: The chain is fitted on at most SAMPLE labelled documents, and on at most PARTS runs of RUN lines of each.
-SAMPLE, PARTS, RUN = 3000, 4, 64
+#: The chain is fitted on at most SAMPLE labelled documents, on all lines of each, in runs of RUN lines.
+SAMPLE, RUN = 3000, 64
 BINS = 8
 _COMMON = frozenset(WORDS)
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "mark": b"#*$%&<>@^_~=+\\/{}[]", "bar": b"|", "bang": b"!?", "point": b".,;:'\"()-", "space": b" \t\v\f\r"}
@@ -162,13 +162,15 @@ class Chain:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text and y of at most `most` labelled documents, the first by hash of doc_id.
+    """doc_id, text and y of at most `most` labelled documents, the first by hash of doc_id, one row each.
 
-    The labels' rows are few enough to be broadcast: `most` at most. A doc_id labelled twice takes the larger label.
+    The labels' rows are few enough to be broadcast: `most` at most. A doc_id labelled twice takes the larger label, one
+    with several texts the least of them.
     """
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return joined.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Chain:
@@ -177,20 +179,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"], strict=True):
-                x, _ = line_features(text or "")
-                starts = np.unique(np.linspace(0, max(0, len(x) - RUN), PARTS).astype(int)) if len(x) > RUN else [0]
-                rows += [(int(doc_id), int(s), int(y), x[s : s + RUN].tobytes()) for s in starts]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "y", "x"])
-
-    found = labelled_sample(docs, labels, label, sample).mapInPandas(run, "doc_id long, start long, y int, x binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["start"]))
+            lines = [line_features(text or "")[0].tobytes() for text in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": lines})
+
+    found = labelled_sample(docs, labels, label, sample).mapInPandas(run, "doc_id long, y int, x binary").collect()
+    found.sort(key=lambda r: r["doc_id"])
     parts = [(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, len(FEATURES)), r["y"]) for r in found]
     every = np.concatenate([x for x, _ in parts]) if parts else np.zeros((1, len(FEATURES)), np.float32)
     chain = Chain(np.stack([np.quantile(np.unique(c), np.linspace(0, 1, BINS + 1)[1:-1]) for c in every.T]))
     if parts:
-        chain.fit([(chain.ids(x), y) for x, y in parts])
+        chain.fit([(ids[k : k + RUN], y) for ids, y in ((chain.ids(x), y) for x, y in parts) for k in range(0, len(ids), RUN)])
     return chain
 
 
@@ -211,6 +209,7 @@ def score_documents(docs: DataFrame, chain: Chain, *carry: str) -> DataFrame:
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; nulls, ties and empty tables as at fit and score_documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
     chain = fit(docs, labels.where(part != 1))
