@@ -35,24 +35,46 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(made)))
 
 
+def _covered(at: str, most: str) -> Column:
+    """Words in windows of three that begin at the positions of a sorted array, each word once."""
+    gaps = F.arrays_zip(F.col(at).alias("at"), F.slice(at, 2, F.greatest(F.col(most), F.lit(1))).alias("next"))
+    step = F.lit(3).cast("long")
+    return F.aggregate(gaps, F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.least(s["next"] - s["at"], step), step))
+
+
 def repeated_words(df: DataFrame, words: str, n_words: str, out: str) -> DataFrame:
     """Adds out: words that stand in a window of three words found twice or more in the row's array, first included.
 
     A window's hash and its position share one long: as many low bits as positions need, the others (49 of 64 at
-    20,000 words) from the hash. Sorted, equal windows are neighbours.
+    20,000 words) from the hash. Sorted, equal windows are neighbours. Neighbours whose hashes are equal are compared word
+    by word; a row where any of these differ is counted again by sorting the windows' words themselves, so counts are exact.
     """
     m = F.greatest(F.col(n_words).cast("int") - 2, F.lit(0))
     df = _held(df, _m=m, _p=F.pow(F.lit(2.0), F.ceil(F.log2(m + 1.0))).cast("long"))
     three = F.arrays_zip(*(F.slice(words, k, F.col("_m")).alias(f"w{k}") for k in (1, 2, 3)))
-    coded = F.transform(three, lambda s, i: F.xxhash64(s["w1"], s["w2"], s["w3"]).bitwiseAND(-F.col("_p")) + i)
+    coded = F.transform(three, lambda s, i: _window_hash(s).bitwiseAND(-F.col("_p")) + i)
     df = _held(df, _s=F.sort_array(coded))
     beside = F.arrays_zip(F.col("_s").alias("at"), F.slice("_s", 2, F.greatest(F.col("_m"), F.lit(1))).alias("next"), F.concat(F.array(F.lit(None).cast("long")), F.col("_s")).alias("last"))
     window = lambda x: x.bitwiseAND(-F.col("_p"))
-    same = F.filter(beside, lambda s: F.coalesce(window(s["at"]) == window(s["next"]), F.lit(False)) | F.coalesce(window(s["at"]) == window(s["last"]), F.lit(False)))
-    df = _held(df, _at=F.sort_array(F.transform(same, lambda s: s["at"].bitwiseAND(F.col("_p") - 1))))
-    gaps = F.arrays_zip(F.col("_at").alias("at"), F.slice("_at", 2, F.greatest(F.col("_m"), F.lit(1))).alias("next"))
-    covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.least(s["next"] - s["at"], F.lit(3).cast("long")), F.lit(3).cast("long")))
-    return df.withColumn(out, covered).drop("_m", "_p", "_s", "_at")
+    place = lambda x: x.bitwiseAND(F.col("_p") - 1)
+    as_next = lambda s: F.coalesce(window(s["at"]) == window(s["next"]), F.lit(False))
+    same = F.filter(beside, lambda s: as_next(s) | F.coalesce(window(s["at"]) == window(s["last"]), F.lit(False)))
+    df = _held(df, _same=same)
+    word = lambda x, k: F.get(F.col(words), (place(x) + k).cast("int"))
+    unlike = lambda s: as_next(s) & ~((word(s["at"], 0) == word(s["next"], 0)) & (word(s["at"], 1) == word(s["next"], 1)) & (word(s["at"], 2) == word(s["next"], 2)))
+    df = _held(df, _at=F.sort_array(F.transform("_same", lambda s: place(s["at"]))), _clash=F.exists("_same", unlike))
+    # the windows themselves, for the rows where hashes clash
+    spelt = F.sort_array(F.transform(three, lambda s, i: F.struct(s["w1"].alias("a"), s["w2"].alias("b"), s["w3"].alias("c"), i.cast("long").alias("i"))))
+    df = _held(df, _w=F.when(F.col("_clash"), spelt))
+    pairs = F.arrays_zip(F.col("_w").alias("at"), F.slice("_w", 2, F.greatest(F.col("_m"), F.lit(1))).alias("next"), F.concat(F.array(F.get("_w", F.lit(-1))), F.col("_w")).alias("last"))
+    equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    found = F.transform(F.filter(pairs, lambda s: equal(s["at"], s["next"]) | equal(s["at"], s["last"])), lambda s: s["at"]["i"])
+    df = _held(df, _exact=F.when(F.col("_clash"), F.sort_array(F.filter(found, lambda i: i.isNotNull()))).otherwise(F.col("_at")))
+    return df.withColumn(out, _covered("_exact", "_m")).drop("_m", "_p", "_s", "_same", "_at", "_clash", "_w", "_exact")
+
+
+def _window_hash(window: Column) -> Column:
+    return F.xxhash64(window["w1"], window["w2"], window["w3"])
 
 
 def text_counts(docs: DataFrame, *carry: str) -> DataFrame:
@@ -148,6 +170,7 @@ def judge(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of every document (see judge)."""
     return judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
