@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
 Tasks write gzip-member WARC files to a shared folder. The index has a line per record, sorted by reversed-host URL
-key and cut into compressed blocks; a sparse directory has a row per block. A lookup finds blocks through the
-directory, searches a block's sorted lines, and reads the records' byte ranges.
+key and cut into compressed blocks; a sparse directory has a row per block. A lookup searches the directory for the
+blocks of its sorted keys, searches the blocks' sorted lines, both by bisection, and reads the records' byte ranges.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +25,23 @@ from tidemesh.llm.linkgraph import after_scheme, host_of
 
 #: Payloads shorter than this are always stored; index lines in a block; bytes after which a task begins a new file.
 MIN_REVISIT, BLOCK_LINES, FILE_BYTES = 100, 1000, 1 << 30
+#: Bytes of a file that a task reads on end; bytes of payloads in a batch that it gives out.
+STRETCH, HELD = 64 << 20, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 LINE = "surt string, page_id string, file string, offset long, length long"  # ids as text: pandas turns longs with nulls to floats
 
 
 def url_key(url: Column) -> Column:
-    """Reversed-host key: com,example,www)/path?query; what isn't a URL is its own key, null is empty."""
+    """Reversed-host key: com,example,www)/path?query; what isn't a URL is its own key, null is empty.
+
+    Tabs and line breaks, which end a field or line of the index, are percent-encoded in a key.
+    """
     rest = F.regexp_replace(after_scheme(url), r"^[^/?#]*", "")
     turned = F.array_join(F.reverse(F.split(host_of(url), r"\.")), ",")
-    return F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(turned, F.lit(")"), rest)), url, F.lit(""))
+    key = F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(turned, F.lit(")"), rest)), url, F.lit(""))
+    for raw, code in (("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
+        key = F.replace(key, F.lit(raw), F.lit(code))
+    return key
 
 
 def member(headers: list[tuple[str, object]], body: bytes) -> bytes:
@@ -114,7 +122,7 @@ def block_writer(folder: str):
 
         def flush(lines: list[tuple]) -> None:
             nonlocal at
-            data = zlib.compress("\n".join("\t".join("" if pd.isna(x) else str(x).replace("\t", "%09").replace("\n", "%0A") for x in line) for line in lines).encode(), 6)
+            data = zlib.compress("\n".join("\t".join("" if pd.isna(x) else str(x) for x in line) for line in lines).encode(), 6)
             out.write(data)
             rows.append((lines[0][0], lines[-1][0], name, at, len(data), len(lines)))
             at += len(data)
@@ -145,8 +153,8 @@ def write_archive(pages: DataFrame, label: str = "warc") -> tuple[str, DataFrame
     """Writes WARC files and their index; returns the folder and the directory.
 
     The directory has a row per block: first_key, last_key, index_file, offset, length, lines. Of rows with equal
-    payloads of MIN_REVISIT bytes or more, those with the smallest page_id are responses and the others revisits of
-    it; rows with a null page_id count as larger than all, and are responses where no row has one. A null html is an
+    payloads of MIN_REVISIT bytes or more, those with the smallest page_id (several, where rows share it) are responses
+    and the others revisits of it; rows with a null page_id count as larger than all, and are responses where no row has one. A null html is an
     empty payload. Only files named in the index count: a lost attempt's files are never read.
     """
     spark = pages.sparkSession
@@ -166,64 +174,117 @@ def write_archive(pages: DataFrame, label: str = "warc") -> tuple[str, DataFrame
     return folder, saved(blocks, "directory")
 
 
-def _records(folder: str, lines: list[list[str]], files: dict) -> list[tuple]:
-    """The records of some lines, in file order, with one open handle per file."""
+RECORD = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "payload": "binary"}
+
+
+def _records(folder: str, lines: pd.DataFrame, files: dict) -> Iterator[tuple]:
+    """The records of some lines, with one open handle per file; what a record says of its payload must hold."""
     system, path = opened(folder)
-    out = []
-    for _, page, name, offset, length in sorted(lines, key=lambda x: (x[2], int(x[3]))):
+    for name, offset, length, page in zip(lines["file"], lines["offset"], lines["length"], lines["page_id"], strict=True):
         if name not in files:
             if len(files) >= 32:
                 files.pop(next(iter(files))).close()
             files[name] = system.open_input_file(f"{path}/{name}")
         headers, payload = parsed(files[name].read_at(int(length), int(offset)))
-        kind = headers["WARC-Type"]
-        told = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-        digest = hashlib.sha256(payload).hexdigest() if kind == "response" else told
-        if digest != told:
-            raise ValueError(f"the payload of {name} at {offset} doesn't have its digest")
+        kind, size, told = headers["WARC-Type"], int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha256:")
+        if kind == "response" and (len(payload), hashlib.sha256(payload).hexdigest()) != (size, told):
+            raise ValueError(f"the payload of {name} at {offset} doesn't have its length and digest")
         refers = headers.get("X-Refers-To-Page")
-        out.append((int(page) if page else None, headers.get("WARC-Target-URI"), int(headers["X-Payload-Length"]), digest, kind, int(refers) if refers else None, payload))
-    return out
+        yield int(page) if page else None, headers.get("WARC-Target-URI"), size, told, kind, int(refers) if refers else None, payload
+
+
+def read_lines(folder: str, lines: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of index lines, by range reads; a task reads stretches of a file in order."""
+    keep = [c for c in RECORD if payloads or c != "payload"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files: dict = {}
+
+        def batch(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=list(RECORD)).astype({"page_id": "Int64", "refers_to": "Int64"})[keep]
+
+        for pdf in batches:
+            rows, size = [], 0
+            for row in _records(folder, pdf, files):
+                rows.append(row if payloads else (*row[:-1], None))
+                size += len(row[-1]) if payloads else 0
+                if size > HELD:
+                    yield batch(rows)
+                    rows, size = [], 0
+            yield batch(rows)
+        for f in files.values():
+            f.close()
+
+    parts = max(12, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = lines.repartition(parts, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
+    return placed.mapInPandas(run, ", ".join(f"{c} {RECORD[c]}" for c in keep))
 
 
-RECORD = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+def _as_lines(rows: list[list[str]]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["surt", "page_id", "file", "offset", "length"]).astype({"offset": "int64", "length": "int64"})
 
 
 def read_archive(folder: str, directory: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the index, by range reads: blocks through the directory, records through the blocks."""
-    keep = RECORD if payloads else RECORD[:-1]
-    kinds = dict(zip(RECORD, ("long", "string", "long", "string", "string", "long", "binary"), strict=True))
+    """Every record of the index, block by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files: dict = {}
         for pdf in batches:
             for b in pdf.itertuples(index=False):
-                lines = block_lines(folder, b.index_file, b.offset, b.length)
-                found = pd.DataFrame(_records(folder, lines, files), columns=RECORD)
-                yield found.astype({"page_id": "Int64", "refers_to": "Int64"})[keep]
-        for f in files.values():
-            f.close()
+                yield _as_lines(block_lines(folder, b.index_file, b.offset, b.length))
 
     n = max(1, directory.sparkSession.sparkContext.defaultParallelism * 2)
-    return directory.repartition(n, "index_file", "offset").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep))
+    return read_lines(folder, directory.repartition(n, "index_file", "offset").mapInPandas(run, LINE), payloads)
 
 
-def lookup(folder: str, directory: DataFrame, urls: list[str]) -> list[tuple]:
-    """The records of some urls (a user's short list): directory filter, binary search in each block, range reads."""
+def find(folder: str, directory: DataFrame, keys: DataFrame, payloads: bool = False, reads: Accumulator | None = None) -> DataFrame:
+    """The records of all keys (a column; see url_key), each once, however often a key is asked for.
+
+    A key goes to the index files whose range holds it: their ranges, one for each task that wrote the index, come to
+    the driver. With an index file meet its keys and its part of the directory: sorted keys are bisected in the
+    directory, each block that may hold one is read once (reads counts them), and keys are bisected in its lines. A key
+    with many records is spread over many blocks and files, as lines are sorted by page_id too.
+    """
     spark = directory.sparkSession
-    wanted = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url"))).collect()]
-    found: list[tuple] = []
-    for key in dict.fromkeys(wanted):
-        for b in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect():
-            lines = block_lines(folder, b["index_file"], b["offset"], b["length"])
-            keys = [x[0] for x in lines]
-            found += _records(folder, lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)], {})
-    return found
+    ranges = directory.groupBy("index_file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last").collect()
+    shared = spark.sparkContext.broadcast(tuple([r[c] for r in ranges] for c in ("index_file", "first", "last")))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, firsts, lasts = shared.value
+        for pdf in batches:
+            rows = [(names[k], key) for key in pdf["key"] for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pd.DataFrame(rows, columns=["index_file", "key"])
+
+    def search(asked: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("offset")
+        firsts, lasts = list(blocks["first_key"]), list(blocks["last_key"])
+        at, lines, line_keys, out = -1, [], [], []
+        for key in sorted(asked["key"]):
+            for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                if k != at:
+                    b = blocks.iloc[k]
+                    at, lines = k, block_lines(folder, b["index_file"], int(b["offset"]), int(b["length"]))
+                    line_keys = [x[0] for x in lines]
+                    if reads is not None:
+                        reads.add(1)
+                out += lines[bisect.bisect_left(line_keys, key) : bisect.bisect_right(line_keys, key)]
+        return _as_lines(out)
+
+    asked = keys.toDF("key").where("key is not null").distinct().mapInPandas(deal, "index_file string, key string")
+    lines = asked.groupBy("index_file").cogroup(directory.groupBy("index_file")).applyInPandas(search, LINE)
+    return read_lines(folder, lines, payloads)
+
+
+def lookup(folder: str, directory: DataFrame, urls: list[str]) -> list[tuple]:
+    """The records of some urls (a user's short list), with payloads; see find."""
+    wanted = directory.sparkSession.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")).alias("key"))
+    return find(folder, directory, wanted, payloads=True).collect()
 
 
 def op6_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, directory = write_archive(table(spark, sf_dir, "pages"))
-    return read_archive(folder, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page's record, looked up by the page's url through the index (see write_archive and find)."""
+    pages = table(spark, sf_dir, "pages")
+    folder, directory = write_archive(pages)
+    return find(folder, directory, pages.select(url_key(F.col("url")))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """
