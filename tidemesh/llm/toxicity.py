@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidemesh.llm.common import small_batches, table
 
 WINDOW, STRIDE = 32, 16
-#: Trained on at most PER_CLASS labelled documents of each label, and on at most DOC_WINDOWS windows of each.
-PER_CLASS, DOC_WINDOWS = 1500, 48
+#: Trained on at most PER_CLASS labelled documents of each label, on all windows of each.
+PER_CLASS = 1500
 WORD_ROWS, CHAR_ROWS, GRAM_ROWS, DIM, HIDDEN, WIDE, GRAM = 1 << 16, 1 << 11, 1 << 18, 6, 8, 20, 6
 REMEMBERED, FOLDS, OFTEN = 150_000, 4, 20
 #: Bytes from piece to piece of a long word, so that each run of GRAM bytes is in one; pieces that are worked on at once.
@@ -69,14 +69,18 @@ def word_keys(words: list[str]) -> Keys:
     chars, mask, runs = np.zeros((len(data), WIDE - 2), np.int32), np.zeros((len(data), WIDE - 2), bool), np.zeros((len(data), STEP), np.int32)
     for at in range(0, len(data), LOT):
         some = data[at : at + LOT]
-        wide = np.array(some, f"S{WIDE}").view(np.uint8).reshape(len(some), WIDE).astype(np.int64)
-        three = (wide[:, :-2] * 961 + wide[:, 1:-1] * 31 + wide[:, 2:]) * 2654435761 % 4294967296
+        wide = np.array(some, f"S{WIDE}").view(np.uint8).reshape(len(some), WIDE).astype(np.uint32)
+        three = (wide[:, :-2] * np.uint32(961) + wide[:, 1:-1] * np.uint32(31) + wide[:, 2:]) * np.uint32(2654435761)
         own = (wide[:, 2:] > 0) & (last[at : at + LOT, None] | (np.arange(WIDE - 2) < STEP))
         run = np.zeros((len(some), STEP), np.int64)
-        for k in range(GRAM):
-            run = (run * 257 + wide[:, k : STEP + k]) % 2147483647
-        chars[at : at + LOT], mask[at : at + LOT] = np.where(own, three % (CHAR_ROWS - 1) + 1, 0), own
-        runs[at : at + LOT] = np.where(wide[:, GRAM - 1 :] > 0, run * 40503 % (GRAM_ROWS - 1) + 1, 0)
+        for k in range(GRAM):  # the sums of GRAM bytes fit in a long, so one remainder does
+            run *= 257
+            run += wide[:, k : STEP + k]
+        run %= 2147483647
+        run *= 40503
+        run %= GRAM_ROWS - 1
+        chars[at : at + LOT], mask[at : at + LOT] = np.where(own, three % np.uint32(CHAR_ROWS - 1) + 1, 0), own
+        runs[at : at + LOT] = np.where(wide[:, GRAM - 1 :] > 0, run + 1, 0)
     return Keys(row, first, chars, mask, runs)
 
 
@@ -106,7 +110,12 @@ class Network:
         self.odds, self.run_odds = np.zeros(WORD_ROWS, np.float32), np.zeros(GRAM_ROWS, np.float32)
         self.known = np.zeros(WORD_ROWS, bool)  # words of OFTEN training documents have a vector of their own
         self.p = {"word": init(WORD_ROWS, DIM, scale=0.05), "char": init(CHAR_ROWS, DIM, scale=0.1), "W": init(2, size, 3 * HIDDEN), "b": init(2, 1, 3 * HIDDEN, scale=0.01), "U": init(2, HIDDEN, 3 * HIDDEN), "a": init(2 * HIDDEN), "w": init(2 * HIDDEN), "c": np.zeros(1, np.float32)}
-        self.scale = (1.0, 0.0)
+        self.scale, self.held = (1.0, 0.0), None
+
+    def scorer(self) -> Scorer:
+        """The scorer of a Python worker, whose words stay remembered from task to task."""
+        self.held = self.held or Scorer(self)
+        return self.held
 
     def inputs(self, keys: Keys, odds: np.ndarray | None = None) -> np.ndarray:
         """The input vectors of words; odds, if given, has two other log-odds of each word."""
@@ -233,15 +242,12 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 5, steps: int = 60, b
     seen_odds = np.stack([np.stack([word_odds[f][row], keys.strongest(run_odds[f])], 1) for f in range(FOLDS)], 1)  # words x FOLDS x 2
     windows, masks, owner = [], [], []
     for i, ids in enumerate(texts):
-        starts = window_starts(len(ids))
-        if len(starts) > DOC_WINDOWS:
-            starts = starts[np.linspace(0, len(starts) - 1, DOC_WINDOWS).astype(int)]
-        for s in starts:
-            part = ids[s : s + WINDOW]
-            windows.append(np.pad(part, (0, WINDOW - len(part))) * FOLDS + fold[i])  # a word as its document's fold sees it
-            masks.append(np.arange(WINDOW) < len(part))
-            owner.append(i)
-    windows, masks, owner = np.array(windows), np.array(masks), np.array(owner)
+        at = window_starts(len(ids))[:, None] + np.arange(WINDOW)
+        padded = np.append(ids, np.zeros(WINDOW, np.int64))
+        windows.append(np.where(at < len(ids), padded[at], 0) * FOLDS + fold[i])  # a word as its document's fold sees it
+        masks.append(at < len(ids))
+        owner.append(np.full(len(at), i))
+    windows, masks, owner = np.concatenate(windows), np.concatenate(masks), np.concatenate(owner)
     masks[:, 0] |= ~masks.any(1)
     toxic = y[owner] == 1
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -315,53 +321,96 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    """Scores whole texts in a task; the gates' inputs of the words met are remembered, REMEMBERED at most."""
+    """Scores whole texts in a task; the gates' inputs of the words met are remembered, REMEMBERED or those of one lot at most."""
 
     def __init__(self, net: Network):
         self.net, self.rows = net, {}
-        self.table = np.zeros((REMEMBERED + 1, 6 * HIDDEN), np.float32)
+        halves = np.array([0.5, 0.5, 1.0], np.float32)  # a gate is (1 + tanh(x / 2)) / 2
+        self.scale = np.repeat(np.tile(halves, 2), HIDDEN)
+        self.U = np.stack([net.p["U"][:, :, k * HIDDEN : (k + 1) * HIDDEN] * halves[k] for k in range(3)])
+        self.table = np.zeros((3, 2, REMEMBERED + 1, HIDDEN), np.float32)  # gate, direction, word, unit; row 0 is padding
 
     def ids(self, words: list[str]) -> np.ndarray:
+        """Rows of the table; words not met yet are added, all at once."""
         fresh = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if len(self.rows) + len(fresh) >= self.table.shape[2]:
+            self.rows.clear()
+            fresh = list(dict.fromkeys(words))
+            if len(fresh) >= self.table.shape[2]:
+                self.table = np.zeros((3, 2, len(fresh) + 1, HIDDEN), np.float32)
         if fresh:
             ends = np.cumsum([len(w) + 10 for w in fresh])  # characters bound what is worked on at once
             for a, b in pairwise([0, *np.unique(np.searchsorted(ends, np.arange(20 * LOT, ends[-1], 20 * LOT), "right") + 1), len(fresh)]):
                 some = fresh[a:b]
                 first = len(self.rows) + 1
-                self.table[first : first + len(some)] = self.net.project(self.net.inputs(word_keys(some)))
+                got = self.net.project(self.net.inputs(word_keys(some))) * self.scale
+                self.table[:, :, first : first + len(some)] = got.reshape(-1, 2, 3, HIDDEN).transpose(2, 1, 0, 3)
                 self.rows.update(zip(some, range(first, first + len(some)), strict=True))
         return np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
 
+    def logits(self, windows: np.ndarray) -> np.ndarray:
+        """What Network.forward gives for windows of rows; 0 pads a window at its end."""
+        n, T = windows.shape
+        H, columns = HIDDEN, np.ascontiguousarray(windows.T)
+        mask = columns > 0 if not columns.all() else None
+        x, u, h = np.empty((3, 2, n, H), np.float32), np.empty((3, 2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        out = np.empty((T, 2, n, H), np.float32)
+        for t in range(T):
+            for k in range(3):
+                np.take(self.table[k, 0], columns[t], 0, x[k, 0], "clip")
+                np.take(self.table[k, 1], columns[T - 1 - t], 0, x[k, 1], "clip")
+            np.matmul(h, self.U, u)
+            x[:2] += u[:2]
+            np.tanh(x[:2], x[:2])
+            x[:2] *= 0.5
+            x[:2] += 0.5
+            c = x[2]
+            u[2] *= x[1]
+            c += u[2]
+            np.tanh(c, c)
+            new = h - c
+            new *= x[0]
+            new += c
+            if mask is not None:
+                new = np.where(np.stack([mask[t], mask[T - 1 - t]])[..., None], new, h)
+            h = new
+            out[t, 0], out[T - 1 - t, 1] = h[0], h[1]
+        a, w = self.net.p["a"], self.net.p["w"]
+        e = out[:, 0] @ a[:H] + out[:, 1] @ a[H:]
+        if mask is not None:
+            e = np.where(mask, e, np.float32(-1e9))
+        e = np.exp(e - e.max(0))
+        e /= e.sum(0)
+        return (e * (out[:, 0] @ w[:H] + out[:, 1] @ w[H:])).sum(0) + self.net.p["c"][0]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The highest window of each whole text as a probability; texts meet in lots, long ones in several of them."""
         best = np.full(len(texts), -np.inf)
-        waiting, owner, held = [], [], 0
+        words, windows, owner = [], [], []
 
         def run() -> None:
-            nonlocal held
-            if waiting:
-                np.maximum.at(best, np.concatenate(owner), self.net.forward(self.table[np.concatenate(waiting)], None))
-                waiting.clear()
-                owner.clear()
-            held = 0
+            ids = np.append(self.ids(words), np.zeros(WINDOW, np.int32))
+            starts, of = np.concatenate(windows), np.concatenate(owner)
+            for a in range(0, len(starts), 1024):
+                at = starts[a : a + 1024, 0, None] + np.arange(WINDOW)
+                rows = np.where(np.arange(WINDOW) < starts[a : a + 1024, 1, None], ids[np.minimum(at, len(ids) - 1)], 0)
+                np.maximum.at(best, of[a : a + 1024], self.logits(rows))
+            words.clear()
+            windows.clear()
+            owner.clear()
 
         for i, text in enumerate(texts):
-            words = split_words(text)
-            for a in range(0, len(words), STRIDE * 4096):  # a very long text goes in parts that overlap as windows do
-                part = words[a : a + STRIDE * 4096 + WINDOW - STRIDE]
-                if len(self.rows) + len(part) > REMEMBERED:
-                    run()
-                    self.rows.clear()
-                ids = self.ids(part)
-                if len(ids) < WINDOW:
-                    mask = np.arange(len(ids))[None] >= 0
-                    best[i] = max(best[i], self.net.forward(self.table[ids][None], mask)[0])
-                    continue
-                waiting.append(ids[window_starts(len(ids))[:, None] + np.arange(WINDOW)])
-                owner.append(np.full(len(waiting[-1]), i))
-                held += len(waiting[-1])
-                if held >= 2048:
+            own = split_words(text)
+            starts = window_starts(len(own))
+            for a in range(0, len(starts) if own else 0, LOT // STRIDE):  # all windows of the whole text, so many at a time
+                part = starts[a : a + LOT // STRIDE]
+                windows.append(np.stack([part - part[0] + len(words), np.minimum(len(own) - part, WINDOW)], 1))
+                owner.append(np.full(len(part), i))
+                words += own[part[0] : part[-1] + WINDOW]
+                if len(words) >= 2 * LOT:
                     run()
-        run()
+        if words:
+            run()
         a, b = self.net.scale
         logit = np.where(np.isfinite(best), a * np.where(np.isfinite(best), best, 0) + b, -60)
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
@@ -370,27 +419,15 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Network:
     """A network fitted on a bounded sample: the first per_class documents of each label by hash of doc_id.
 
-    A training document gives at most DOC_WINDOWS windows, spread evenly. A doc_id labelled twice takes the larger
-    label; null labels don't count. Without documents of both labels the network gives one low or high score.
+    All windows of a training document count. A doc_id labelled twice takes the larger label, one with several texts
+    the least of them; null labels don't count. Without documents of both labels the network gives one low or high score.
     """
     small_batches(docs.sparkSession)
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     some = some.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(some.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * per_class rows at most
-    most = DOC_WINDOWS * WINDOW
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text, y in zip(pdf["doc_id"], pdf["text"], pdf["y"], strict=True):
-                words = split_words(text)
-                if len(words) > most:  # whole windows, spread evenly
-                    words = [w for s in np.linspace(0, len(words) - WINDOW, DOC_WINDOWS).astype(int) for w in words[s : s + WINDOW]]
-                rows.append((doc_id, int(y), " ".join(words)))
-            yield pd.DataFrame(rows, columns=["doc_id", "y", "words"])
-
-    found = sorted(joined.mapInPandas(cut, "doc_id long, y int, words string").collect())
-    return train([(r["words"].split(), r["y"]) for r in found])
+    found = joined.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("doc_id").collect()
+    return train([(split_words(r["text"]), r["y"]) for r in found])
 
 
 def score_documents(docs: DataFrame, net: Network, *carry: str) -> DataFrame:
@@ -403,7 +440,7 @@ def score_documents(docs: DataFrame, net: Network, *carry: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for part in texts:
             yield pd.Series(scorer.scores(list(part)))
 
@@ -411,6 +448,7 @@ def score_documents(docs: DataFrame, net: Network, *carry: str) -> DataFrame:
 
 
 def op8_window_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; nulls, ties and empty tables as at fit and score_documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
     net = fit(docs, labels.where(part != 2))
