@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def curriculum_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents so that sources come to their targets, in training order."""
-    return mixing.order_copies(mixing.plan_mix(docs, whole=True, carry=COLUMNS[1:])).select("doc_id", "_carry.*")
+    return mixing.mix_documents(docs.select(*COLUMNS))
 
 
 def bin_slack_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

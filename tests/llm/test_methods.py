@@ -80,6 +80,50 @@ def test_search_is_exact_over_many_blocks(spark, monkeypatch):
         assert [(i, -s) for s, i in best] == [got[(q, k + 1)] for k in range(5)]
 
 
+def best_by_force(x, ids, queries, k=5):
+    out = []
+    for q in queries:
+        some = sorted((-min(max(sum(int(a) * int(b) for a, b in zip(x[q], x[i], strict=True)), -(1 << 63)), (1 << 63) - 1), ids[i]) for i in range(len(x)) if i != q)
+        out.append((ids[q], [(i, -s) for s, i in some[:k]]))
+    return sorted(out)
+
+
+def found_by_query(rows, k=5):
+    rows = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows)
+    out = {}
+    for query_id, rank, vec_id, score in rows:
+        out.setdefault(query_id, []).append((rank, vec_id, score))
+    return out
+
+
+def test_search_of_repeated_rows_and_large_components(spark):
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(120, 6)) * 40).tolist()
+    ids = list(range(120))
+    x += [x[50], [1e10, -3.0, 7.0, 2e10, 1.0, 5.0], [1e10, 3.0, 8.0, 2e10, 1.0, 6.0], [1e18, 1e18, -1e18, 2.0**60 + 2**10, 1.0, 0.0]]
+    ids += [50, 100, 150, 200]
+    df = pivots.numbered(spark.createDataFrame(list(zip(ids, x, ["clash"] * len(x), strict=True)), "id long, v array<double>, row string").drop("row"))
+    got = found_by_query(pivots.search(df, df.where("id % 50 = 0"), 5).collect())
+    want = {}
+    for query_id, best in best_by_force(x, ids, [i for i, n in enumerate(ids) if n % 50 == 0]):
+        want.setdefault(query_id, []).extend((k + 1, *b) for k, b in enumerate(best))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+
+
+def test_search_of_clustered_vectors_visits_a_part(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 100)
+    monkeypatch.setattr(pivots, "SLICE", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 8)) * 400
+    centres *= 1000 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(2000, 8)) * 5)
+    df = pivots.numbered(spark.createDataFrame(list(enumerate(x.tolist())), "id long, v array<double>"))
+    seen = spark.sparkContext.accumulator(0)
+    got = found_by_query(pivots.search(df, df.where("id % 50 = 0"), 5, seen).collect())
+    assert {q: [b[1:] for b in v] for q, v in got.items()} == dict(best_by_force(x, list(range(2000)), range(0, 2000, 50)))
+    assert 0 < seen.value < 40 * 2000 / 2
+
+
 def test_crf_marginals_are_exact():
     rng = np.random.default_rng(0)
     to, s = rng.normal(size=(2, 2)), rng.normal(size=(1, 6))
@@ -110,6 +154,46 @@ def test_toxicity_on_held_out_documents(spark):
     assert auc([(r["score"], r["toxic"]) for r in rows]) > 0.75
 
 
+def test_windows_are_scored_one_by_one():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    pool = [word() for _ in range(3000)]
+    net = toxicity.Network(3)
+    net.p = {k: v * 3 for k, v in net.p.items()}
+    net.odds, net.run_odds = (np.random.default_rng(k).normal(size=n).astype(np.float32) for k, n in ((1, toxicity.WORD_ROWS), (2, toxicity.GRAM_ROWS)))
+    texts = [" ".join(rng.choice(pool) for _ in range(n)) for n in (1, 2, 31, 32, 33, 47, 48, 49, 200, 20_000, 70_540)] + ["", None, " \n"]
+
+    def plain(text):
+        words = toxicity.split_words(text)
+        best = []
+        for s in sorted({*range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)}):
+            x = net.project(net.inputs(toxicity.word_keys(words[s : s + toxicity.WINDOW])))
+            best.append(float(net.forward(x[None], None)[0]))
+        return max(best)
+
+    got = toxicity.Scorer(net).scores(texts)
+    for text, score in zip(texts[:-3], got, strict=False):
+        assert score == pytest.approx(1 / (1 + np.exp(-plain(text))), abs=1e-4)
+    assert max(got[-3:]) < 1e-9
+
+
+def test_chain_scores_are_brute_force():
+    rng = np.random.default_rng(4)
+    texts = ["One line. And more of it", "a\n\nB c d!\n| x | 1\n", "THE END\nthe end\nthe end", "x"]
+    chain = crf.Chain(np.sort(rng.normal(size=(len(crf.FEATURES), crf.BINS - 1)), 1))
+    chain.weights, chain.to = rng.normal(size=len(chain.weights)), rng.normal(size=(2, 2))
+    for text, got in zip(texts, chain.scores(texts), strict=True):
+        x, size = crf.line_features(text)
+        s, n = chain.weights[chain.ids(x)].sum(1), len(x)
+        total, ones = 0.0, np.zeros(n)
+        for code in range(1 << n):
+            z = [code >> k & 1 for k in range(n)]
+            p = np.exp(sum(s[k] * z[k] for k in range(n)) + sum(chain.to[z[k], z[k + 1]] for k in range(n - 1)))
+            total, ones = total + p, ones + p * np.array(z)
+        assert got == pytest.approx(float((ones / total * size).sum() / size.sum()))
+        assert list(size) == [len(line) + 1 for line in text.split("\n")]
+
+
 def test_long_words_are_read_to_their_end():
     def naive(word):
         b = b"^" + word.encode() + b"$"
@@ -319,6 +403,25 @@ def test_components_of_a_long_chain(spark):
     assert {bytes(r["node"]): bytes(r["root"]) for r in got} == {name(x): name(ends[i >= 150]) for i, x in enumerate(order)}
 
 
+def repeats_by_force(text):
+    words = text.split()
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)})
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_repeated_words_are_exact_where_hashes_clash(spark, monkeypatch, bits):
+    from tidemesh.llm import divergence
+
+    whole = divergence._window_hash
+    monkeypatch.setattr(divergence, "_window_hash", lambda s: F.shiftleft(whole(s), 64 - bits) if bits < 64 else whole(s))
+    rng = random.Random(bits)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 9, 17, 40, 120)] + ["a a a a", "x y z x y z", " ".join(map(str, range(300)))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in divergence.text_counts(docs).select("doc_id", "n_repeat_words").collect()}
+    assert [got[i] for i in range(len(texts))] == list(map(repeats_by_force, texts))
+
+
 def test_divergence_keeps_clean_and_drops_junk(spark):
     from tidemesh.llm import divergence
 

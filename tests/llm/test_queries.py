@@ -95,6 +95,8 @@ def test_hostile_rows_near_duplicates(docs, none):
     kept = sorted((r["doc_id"] for r in neardup.one_of_each(docs).collect()), key=str)
     assert kept == [1, 2, 4, 5, 7, None]
     assert neardup.near_duplicates(none).count() == 0
+    clash = docs.select("*", *(F.lit(1).alias(c) for c in ("root", "own", "node", "least", "_own", "_node", "row")))
+    assert neardup.one_of_each(clash).columns == clash.columns and neardup.one_of_each(clash).count() == 6
 
 
 def test_hostile_rows_packing(spark, docs, none):
@@ -115,8 +117,12 @@ def test_hostile_rows_mix(docs, none):
     rows = mixing.plan_mix(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert mixing.plan_mix(none).count() == 0
-    copies = mixing.order_copies(mixing.plan_mix(docs, carry=("text", "size"))).select("_carry.*").columns
-    assert copies == ["text", "size"]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    plan = mixing.plan_mix(docs, whole=True)
+    copies = {(r["doc_id"], r["size"]): r["n"] for r in mixing.copies_of(plan).groupBy("doc_id", "size").agg(F.count("*").alias("n")).collect()}
+    assert {(r["doc_id"], r["n_words"]): r["n"] for r in mixed.withColumn("n_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).groupBy("doc_id", "n_words").agg(F.count("*").alias("n")).collect()} == copies
+    assert mixing.mix_documents(none).count() == 0
 
 
 def test_hostile_rows_pages(spark):
@@ -137,6 +143,22 @@ def test_hostile_rows_pages(spark):
     assert warc.read_archive(folder, directory).count() == 0
 
 
+def test_index_lookup_reads_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    rows = [(i, f"http://host{i % 40}.org/p\t{i}" if i % 3 else f"http://host{i % 40}.org/\n", f"page {i} " * 30, "clash") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumn("surt", F.lit(1))
+    folder, directory = warc.write_archive(pages, "few")
+    assert directory.count() >= 40
+    for wanted in ("http://host7.org/p\t7", "http://host3.org/\n"):
+        reads = spark.sparkContext.accumulator(0)
+        key = spark.createDataFrame([(wanted,)] * 3, "url string").select(warc.url_key(F.col("url")))
+        got = sorted(r["page_id"] for r in warc.find(folder, directory, key, payloads=True, reads=reads).collect())
+        assert got == [i for i, url, _, _ in rows if url == wanted] and got
+        assert 1 <= reads.value <= 3
+    everything = warc.find(folder, directory, pages.select(warc.url_key(F.col("url"))), payloads=True).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in everything) == [(i, html) for i, _, html, _ in rows]
+
+
 def test_hostile_rows_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, None]), (3, None), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, []), (7, [2.0]), (50, [1e6, -1e6]), (None, [1.0, 1.0])]
@@ -145,3 +167,6 @@ def test_hostile_rows_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in pivots.search(v, v.where("id % 50 = 0"), 5).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 50), (0, 2, 7), (0, 3, 1), (0, 4, 6), (50, 1, 7), (50, 2, 0), (50, 3, 1), (50, 4, 6)]
     assert pivots.search(v.limit(0), v.limit(0), 5).count() == 0
+    clash = table.select("*", *(F.lit("x").alias(c) for c in ("id", "v", "row", "block", "floor")))
+    v = pivots.numbered(pivots.scaled(clash, "vec_id", "embedding"))
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in pivots.search(v, v.where("id % 50 = 0"), 5).orderBy("query_id", "rank").collect()] == got

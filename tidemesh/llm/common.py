@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,25 +20,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or the context's checkpoint folder. One must be set."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
+#: Folders of the tables that are deleted where the innermost open scratch ends; None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved inside are deleted at its end, but for those to keep; nothing that is used later may read them."""
+    paths: list[str] = []
+    outer = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        delete(spark, *paths)
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()  # lets Spark's cleaner remove the shuffles of frames that are gone
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder, on whatever file system it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def saved(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    With keep, or outside of a scratch, the table stays until the folder is cleared, as returned frames may read it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if not keep and (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what one Arrow batch holds, as single texts can be very long."""
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Bounds the rows and bytes of an Arrow batch, as single texts can be very long.
+
+    Spark has these as settings of a session only, read when a query starts, so they stay for its later queries.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:

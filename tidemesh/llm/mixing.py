@@ -50,25 +50,26 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
     return ranked.withColumn("target", F.when(dealt > limit, limit).otherwise(dealt).cast("double"))
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken, passes, extra, position, and carry's columns in _carry.
-
-    A source's rows stand in the order of md5(doc_id). The mix passes floor(target / source_size) times over all of
-    them and once more over the first, up to the target; the row that reaches it gives only the words still missing
-    (with whole: it counts if its middle is before the target). taken is the sum in words, position the training time
-    of the row's first copy, null where nothing is taken. Null and empty texts have size 0 and take no part; a null
-    source is a source, last in order; repeated rows stay rows of their own; an empty table gives no rows.
+def plan_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), whole: bool = False, mark: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, passes, extra, position, and mark as _mark.
+
+    A source's rows stand in the order of an md5 of doc_id and text. The mix passes floor(target / source_size) times
+    over all of them and once more over the first, up to the target; the row that reaches it gives only the words still
+    missing (with whole: it counts if its middle is before the target). taken is the sum in words, position the training
+    time of the row's first copy, null where nothing is taken. Null and empty texts have size 0 and take no part; a null
+    source is a source, last in order; repeated rows stay rows of their own; an empty table gives no rows. Other columns
+    are not read. Only digests of the rows are shuffled.
     """
     size = word_count(F.col("text"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    held = (F.struct(*carry) if carry else F.lit(None).cast("int")).alias("_carry")
-    rows = saved(docs.select("doc_id", size.alias("size"), "source", key.alias("key"), held), "mix")
-    n = buckets_for(rows.count())
-    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n, 28))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
+    held = (F.lit(None).cast("binary") if mark is None else mark).alias("_mark")
+    rows = saved(docs.select("doc_id", size.alias("size"), "source", F.unhex(key).alias("key"), held), "mix")
+    n = buckets_for(rows.count(), 4_000)
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") * n, 32))
     per = saved(rows.groupBy("source", "bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
     targets = source_targets(per.groupBy("source").agg(F.sum("_sum").alias("source_size")), share, most, weights)
     told = per.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return _placed(rows, told, whole).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra", "position", "_carry")
+    return _placed(rows, told, whole).select("doc_id", "size", "source_size", "target", "taken", "passes", "extra", "position", "_mark")
 
 
 def _placed(rows: DataFrame, told: DataFrame, whole: bool) -> DataFrame:
@@ -88,8 +89,8 @@ def _placed(rows: DataFrame, told: DataFrame, whole: bool) -> DataFrame:
     return placed.withColumn("taken", taken).withColumn("position", F.when(taken > 0, demand_inverse(share, F.col("ramp"))))
 
 
-def order_copies(plan: DataFrame) -> DataFrame:
-    """One row per copy in training order: the plan's rows, with copy (from 0) and words, range-sorted by position.
+def copies_of(plan: DataFrame) -> DataFrame:
+    """One row per copy: the plan's rows, with copy (from 0), words, and position the copy's own.
 
     Later passes over a source follow the first by the time that one pass takes.
     """
@@ -97,11 +98,31 @@ def order_copies(plan: DataFrame) -> DataFrame:
     copies = plan.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     copies = copies.withColumn("words", F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("extra")))
     later = F.col("position") + F.col("copy") * F.least(F.lit(1.0), F.col("source_size") / F.col("target"))
-    copies = copies.withColumn("position", later)
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return copies.withColumn("position", later)
+
+
+def order_copies(plan: DataFrame) -> DataFrame:
+    """The plan's copies (see copies_of) in training order, range-sorted by position."""
+    return copies_of(plan).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+    """The rows of docs, whole and as often as the mix takes them, in training order.
+
+    The mix is planned on digests (see plan_mix, with whole); texts meet the plan once, by the digest of their row, of
+    which equal rows have one, and are range-sorted once.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kinds = [F.md5(c) if kind == "string" else c.cast("string") for c, (_, kind) in zip(columns, docs.dtypes, strict=True)]
+    mark = F.unhex(F.md5(F.to_json(F.struct(*(k.alias(f"c{i}") for i, k in enumerate(kinds))))))
+    copies = copies_of(plan_mix(docs, share, most, weights, whole=True, mark=mark)).select("_mark", "position", "copy")
+    rows = docs.select(mark.alias("_mark"), F.struct(*columns).alias("_row")).groupBy("_mark").agg(F.first("_row").alias("_row"))
+    told = copies.join(rows, "_mark").repartitionByRange("position", "_mark", "copy").sortWithinPartitions("position", "_mark", "copy")
+    return told.select("_row.*")
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target, words taken and training position of every document (see plan_mix)."""
     plan = plan_mix(table(spark, sf_dir, "documents"))
     plan = plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
     return plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
@@ -109,7 +130,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), s AS (

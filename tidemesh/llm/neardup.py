@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemesh.llm.common import saved, small_batches, table
+from tidemesh.llm.common import saved, scratch, small_batches, table
 
 WORDS, SIMILAR = 5, 0.8
 SAMPLES, ROWS = 64, 4
@@ -390,17 +390,20 @@ def open_classes(rest: DataFrame, nodes: DataFrame) -> DataFrame:
 def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
     """Links (lead, node) within buckets of more than SMALL members.
 
-    Members outside a bucket's commonest class meet all its members in blocks, with samples and texts; a task verifies
-    the pairs of different classes and gives out links only, one for a node and class. A pair is looked at in
-    the first band that it shares.
+    Members outside a bucket's commonest class meet all its members in blocks, with samples and texts: a member is sent
+    once for each block of those that ask, and one that asks once for each block of members. A task verifies the pairs of
+    different classes and gives out links only, one for a node and class. A pair is looked at in the first band that it
+    shares.
     """
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main")).where(F.col("size") > SMALL)
-    large = rest.join(sizes, "key").join(nodes.select("node", "sig"), "node").join(texts, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    place = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    asked = large.where("root <> main").select(F.col("key").alias("q"), place.alias("qi"), F.explode(every).alias("qj"), F.col("band").alias("asked_band"), F.col("node").alias("asked"), F.col("root").alias("asked_root"), F.col("sig").alias("asked_sig"), F.col("text").alias("asked_text"))
-    stock = large.select("key", F.explode(every).alias("i"), place.alias("j"), "node", "root", "main", "sig", "text")
+    large = saved(rest.join(sizes, "key").select("key", "band", "node", "root", "main"), "large")
+    counts = large.groupBy("key").agg(F.count_if(F.col("root") != F.col("main")).alias("_asked"), F.count("*").alias("_held"))
+    counts = counts.select("key", F.ceil(F.col("_asked") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("_held") / BLOCK).cast("int").alias("columns"))
+    told = large.join(counts, "key").join(nodes.select("node", "sig"), "node").join(texts, "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = told.where("root <> main").select(F.col("key").alias("q"), place("rows").alias("qi"), every("columns").alias("qj"), F.col("band").alias("asked_band"), F.col("node").alias("asked"), F.col("root").alias("asked_root"), F.col("sig").alias("asked_sig"), F.col("text").alias("asked_text"))
+    stock = told.select("key", every("rows").alias("i"), place("columns").alias("j"), "node", "root", "main", "sig", "text")
 
     def run(asked: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -490,6 +493,11 @@ def classes(docs: DataFrame) -> DataFrame:
     counts as empty; texts without words equal only their copies. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return saved(_classes(docs), "classes", keep=True)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(corpus_weights(docs))
     nodes = signatures(docs, weights)
     member = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
@@ -530,10 +538,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs with the least doc_id of their class (see classes), one row of each class."""
     named = classes(docs)
-    kept = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("_node"), F.min("doc_id").alias("_doc_id"))
-    rows = docs.withColumn("_own", node_of(F.col("text"))).join(kept, F.col("_own") == F.col("_node"))
-    return rows.where(F.col("doc_id").eqNullSafe(F.col("_doc_id"))).dropDuplicates(["_own"]).select(*docs.columns)
+    kept = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("node"), F.min("doc_id").alias("least"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), node_of(F.col("text")).alias("own")).join(kept, F.col("own") == F.col("node"))
+    return rows.where(F.col("row.doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["own"]).select("row.*")
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id of every document (see near_duplicates)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
