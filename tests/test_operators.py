@@ -108,6 +108,29 @@ def test_region_areas(spark):
     assert set(hull[1]) == {(0, 0), (2, 0), (2, 2), (0, 2)} and set(hull[2]) == {(1, 0), (2, 1), (1, 2), (0, 1)} and hull[4] == [(5, 5)]
 
 
+def test_regions_are_filled(spark):
+    frame = {(x, y) for x in range(5, 25) for y in range(5, 25) if min(x - 5, 24 - x, y - 5, 24 - y) < 2}
+    pixels = frame | {(14, 14), (15, 14)} | {(30, 3), (31, 2), (32, 3), (31, 4)} | {(0, 20), (1, 19), (0, 18)}
+    labels = regions.external(mask_of(spark, pixels), 40, 30)
+    areas = sorted(r["area"] for r in regions.polygon_area(labels).collect())
+    assert areas == [0.0, 2.0, 361.0]  # the border closes no hole
+    large = regions.large_regions(labels).collect()
+    assert [(r["area"], r["size"], r["hull_area"], r["n_drops"]) for r in large] == [(361.0, 400, 361.0, 1)]
+
+
+def test_exact_clearance_has_no_cap(spark):
+    points = spark.createDataFrame([(1, 0, 0), (1, 90, 3), (2, 5, 5)], "scene_id long, x int, y int")
+    got = {(r["scene_id"], r["x"]): r["clearance"] for r in regions.exact_clearance(points, mask_of(spark, {(89, 3), (60, 80)}), 200).collect()}
+    assert got == {(1, 0): pytest.approx(math.hypot(89, 3)), (1, 90): 1.0, (2, 5): None}
+
+
+def test_point_list(spark):
+    from tidemesh.functions import geodesy
+
+    rows = spark.createDataFrame([("1,2;3.5,4.5; -1 , 0.4 ",), (None,), ("",), ("7",), ("a,1;2,2,9",)], "t string").select(geodesy.point_list(F.col("t")).alias("p")).collect()
+    assert [[p and (p["x"], p["y"]) for p in r["p"]] for r in rows] == [[(1, 2), (4, 4), (-1, 0)], [], [], [None], [None, (2, 2)]]
+
+
 def test_clearance(spark):
     rng = random.Random(4)
     pixels = {(rng.randrange(50), rng.randrange(50)) for _ in range(30)}
@@ -222,6 +245,14 @@ def test_wet_intervals(spark):
     assert got == {(5, 0.5): True, (7, 0.2): False, (7, 9.0): True, (-1, 0.0): True}
 
 
+def test_fronts_far_apart_and_frames_without_a_front(spark):
+    area = spark.createDataFrame([(s, x, y) for s in (1, 2) for x in range(60) for y in range(3)], "scene_id long, x int, y int")
+    frames = spark.createDataFrame([(1, 0.0, 0, y) for y in range(3)] + [(1, 1.0, x, y) for x in range(50) for y in range(3)] + [(2, 1.0, 7, 1)], "scene_id long, hour double, x int, y int")
+    hours = spark.createDataFrame([(s, h) for s in (1, 2) for h in (0.0, 1.0)], "scene_id long, hour double")
+    wet = {(r["scene_id"], r["x"], r["y"]): r["t_from"] for r in timeline.wet_intervals(frames, area, hours).collect()}
+    assert all(wet[(1, x, 1)] == pytest.approx(x / 50) for x in range(50)) and wet[(2, 7, 1)] == 0.5 and len(wet) == 151
+
+
 def test_downscale_keeps_means(spark):
     px = spark.createDataFrame([(1, x, y, x * 10, y * 10, 7) for x in range(8) for y in range(4)], "scene_id long, x int, y int, b int, g int, r int")
     sizes = spark.createDataFrame([(1, 8, 4)], "scene_id long, width int, height int")

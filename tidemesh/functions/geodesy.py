@@ -45,3 +45,13 @@ def affine(px: Column, py: Column, a: Column, b: Column, c: Column, d: Column, e
     """struct(x, y): the world position of a pixel's centre."""
     x, y = px + 0.5, py + 0.5
     return F.struct((a * x + b * y + c).alias("x"), (d * x + e * y + f).alias("y"))
+
+
+def point_list(text: Column) -> Column:
+    """The points (x, y) of a text like `x,y;x,y`, rounded to the nearest even where a half is between; null: none.
+
+    Parts without two numbers give null points, so that a caller sees them.
+    """
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p) != "")
+    number = lambda p, i: F.rint(F.try_element_at(F.split(p, ","), F.lit(i)).try_cast("double")).cast("int")
+    return F.transform(parts, lambda p: F.when(number(p, 1).isNotNull() & number(p, 2).isNotNull(), F.struct(number(p, 1).alias("x"), number(p, 2).alias("y"))))

@@ -25,7 +25,13 @@ def label(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
     hooks to their ends halve the roots at least; a round is a few joins over all scenes.
     """
     r = stored(runs(mask), "runs")
-    low = r.select("scene_id", F.col("run_id").alias("a"), (F.col("y") + 1).alias("y"), (F.col("x1") - 1).alias("l"), (F.col("x2") + 1).alias("h"))
+    told = r.join(run_roots(r, 1), ["scene_id", "run_id"]).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
+    return told.select("scene_id", "region_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"), told
+
+
+def run_roots(r: DataFrame, reach: int) -> DataFrame:
+    """scene_id, run_id, root of runs: reach 1 joins runs that touch at corners, 0 only those that share a side."""
+    low = r.select("scene_id", F.col("run_id").alias("a"), (F.col("y") + 1).alias("y"), (F.col("x1") - reach).alias("l"), (F.col("x2") + reach).alias("h"))
     edges = low.join(r, ["scene_id", "y"]).where("x1 <= h AND x2 >= l").select("scene_id", "a", F.col("run_id").alias("b"))
     root = r.select("scene_id", "run_id", F.col("run_id").alias("root"))
     left = stored(edges, "run-edges")
@@ -42,8 +48,32 @@ def label(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
         root = stored(root.join(up, ["scene_id", "root"], "left").select("scene_id", "run_id", F.coalesce("to", "root").alias("root")), "roots")
         a, b = hook.select("scene_id", F.col("node").alias("a"), F.col("to").alias("a2")), hook.select("scene_id", F.col("node").alias("b"), F.col("to").alias("b2"))
         left = stored(left.join(a, ["scene_id", "a"]).join(b, ["scene_id", "b"]).where("a2 <> b2").select("scene_id", F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "run-edges")
-    told = r.join(root, ["scene_id", "run_id"]).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
-    return told.select("scene_id", "region_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"), told
+    return root
+
+
+def gaps(r: DataFrame, width: int, height: int) -> DataFrame:
+    """The dry runs (scene_id, run_id, y, x1, x2) between a mask's runs, in an image with a dry frame round it."""
+    at = Window.partitionBy("scene_id", "y").orderBy("x1")
+    before = r.select("scene_id", "y", (F.coalesce(F.lag("x2").over(at), F.lit(-2)) + 1).alias("g1"), (F.col("x1") - 1).alias("g2"))
+    after = r.groupBy("scene_id", "y").agg((F.max("x2") + 1).alias("g1")).select("scene_id", "y", "g1", F.lit(width).alias("g2"))
+    rows = r.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(-1), F.lit(height))).alias("y"))
+    bare = rows.join(r.select("scene_id", "y").distinct(), ["scene_id", "y"], "left_anti").select("scene_id", "y", F.lit(-1).alias("g1"), F.lit(width).alias("g2"))
+    out = before.union(after).union(bare).where("g1 <= g2")
+    return out.select("scene_id", (F.col("y").cast("long") * (1 << 20) + F.col("g1")).alias("run_id"), "y", F.col("g1").alias("x1"), F.col("g2").alias("x2"))
+
+
+def filled(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """The mask with its holes: dry ground that no path over sides of pixels joins to the image's border."""
+    dry = stored(gaps(runs(mask), width, height), "gaps")
+    outside = -(1 << 20) - 1  # the frame's first run has the least number of all
+    holes = dry.join(run_roots(dry, 0).where(F.col("root") != outside), ["scene_id", "run_id"])
+    return mask.select("scene_id", "x", "y").union(holes.select("scene_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"))
+
+
+def external(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """scene_id, region_id, x, y: the mask's outermost regions with all that they enclose; regions in holes are part of
+    those round them."""
+    return label(filled(mask, width, height))[0]
 
 
 def components(labels: DataFrame) -> DataFrame:
@@ -66,10 +96,19 @@ def polygon_area(labels: DataFrame) -> DataFrame:
     return sums.select("scene_id", "region_id", "area", centre("mx").alias("cx"), centre("my").alias("cy"))
 
 
+def hull_area(hulls: DataFrame) -> DataFrame:
+    """scene_id, region_id and the area of each hull (see hulls)."""
+    twice = """aggregate(transform(hull, (p, i) -> cast(p.x AS long) * element_at(hull, (i + 1) % size(hull) + 1).y
+      - cast(p.y AS long) * element_at(hull, (i + 1) % size(hull) + 1).x), cast(0 AS long), (a, b) -> a + b)"""
+    return hulls.selectExpr("scene_id", "region_id", f"abs({twice}) / 2.0 AS hull_area")
+
+
 def large_regions(labels: DataFrame, least: float = D.MIN_AREA) -> DataFrame:
-    """Regions with area of `least` or more, with size, box, area, centre and number of drop points."""
+    """Regions (see external) with area of `least` or more: size, box, area, centre, and drop points by the hull's area."""
     areas = polygon_area(labels).where(F.col("area") >= least)
-    return areas.join(components(labels), ["scene_id", "region_id"]).withColumn("n_drops", drop_count(F.col("area")))
+    own = labels.join(areas.select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi")
+    told = areas.join(components(labels), ["scene_id", "region_id"]).join(hull_area(hulls(own)), ["scene_id", "region_id"])
+    return told.withColumn("n_drops", drop_count(F.col("hull_area")))
 
 
 def hulls(labels: DataFrame) -> DataFrame:
@@ -111,3 +150,19 @@ def clearance(points: DataFrame, mask: DataFrame, most: int) -> DataFrame:
     told = spots.join(near, ["scene_id", "x", "y"], "left").join(wet, ["scene_id", "x", "y"], "left")
     told = told.withColumn("clearance", F.when(F.col("_wet").isNotNull(), 0.0).otherwise(F.least(F.lit(float(most)), F.sqrt(F.coalesce(F.col("_d2"), F.lit(most * most)).cast("double")))))
     return points.join(told.select("scene_id", "x", "y", "clearance"), ["scene_id", "x", "y"])
+
+
+def exact_clearance(points: DataFrame, mask: DataFrame, most: int, first: int = 16) -> DataFrame:
+    """As clearance, but without its cap up to a distance of most: what has nothing within one cap goes on with a larger one.
+
+    Few points are far from a boundary, so tiles grow with them only. Points with nothing within most have null.
+    """
+    cap, open_, out = first, points, None
+    while True:
+        told = stored(clearance(open_, mask, cap), "clearance")
+        done = told.where(F.col("clearance") < cap) if cap <= most else told.withColumn("clearance", F.when(F.col("clearance") < cap, F.col("clearance")))
+        out = done if out is None else out.union(done)
+        open_ = told.where(F.col("clearance") >= cap).drop("clearance")
+        if cap > most or open_.isEmpty():
+            return out
+        cap *= 4

@@ -118,3 +118,18 @@ def within_reach(moved: DataFrame, reached: DataFrame) -> DataFrame:
     hit = reached.select("scene_id", F.col("cand_id").alias("base_id"), "drop_id", F.lit(1).alias("_h"))
     told = moved.join(hit, ["scene_id", "base_id", "drop_id"], "left")
     return told.groupBy("scene_id", "base_id", "sortie").agg((F.count("*") == F.count("_h")).alias("fits"))
+
+
+def conflict_cells(points: DataFrame, legs: DataFrame, width: int, height: int) -> DataFrame:
+    """scene_id, leg, cx, cy, exact: the cells that a leg must leave when it gives way, and those beside them.
+
+    points has scene_id, leg, cx, cy of the other routes' shared points; legs scene_id, leg and the cells sx, sy, gx, gy
+    where a leg starts and ends, which are never given up. exact marks the points' own cells.
+    """
+    near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    cells = points.select("scene_id", "leg", F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.explode(near).alias("o"))
+    cells = cells.select("scene_id", "leg", (F.col("_x") + F.col("o.a")).alias("cx"), (F.col("_y") + F.col("o.b")).alias("cy"), ((F.col("o.a") == 0) & (F.col("o.b") == 0)).alias("exact"))
+    inside = cells.where(F.col("cx").between(0, width - 1) & F.col("cy").between(0, height - 1)).groupBy("scene_id", "leg", "cx", "cy").agg(F.bool_or("exact").alias("exact"))
+    told = inside.join(legs, ["scene_id", "leg"])
+    end = lambda x, y: (F.col("cx") == F.col(x)) & (F.col("cy") == F.col(y))
+    return told.where(~(end("sx", "sy") | end("gx", "gy"))).select("scene_id", "leg", "cx", "cy", "exact")

@@ -62,6 +62,28 @@ def _frames(horizon: float) -> tuple[str, str]:
     return ", ".join(parts), " UNION ALL ".join(union)
 
 
+# Holes are dry runs that no dry run of the frame round the image reaches; regions are classes of the filled mask's runs.
+_RUNS = "SELECT scene_id, y::INT AS y, min(x)::INT AS x1, max(x)::INT AS x2 FROM (SELECT scene_id, x, y, x - row_number() OVER (PARTITION BY scene_id, y ORDER BY x) AS g FROM {}) GROUP BY scene_id, y, g"
+_REGIONS = f"""wet AS MATERIALIZED ({_RUNS.format("mask")}), gap AS MATERIALIZED (SELECT * FROM (
+    SELECT w.scene_id, w.y, coalesce(lag(w.x2) OVER k, -2) + 1 AS x1, w.x1 - 1 AS x2 FROM wet w WINDOW k AS (PARTITION BY w.scene_id, w.y ORDER BY w.x1)
+    UNION ALL SELECT w.scene_id, w.y, max(w.x2) + 1, {W} FROM wet w GROUP BY w.scene_id, w.y
+    UNION ALL SELECT s.scene_id, r.y, -1, {W} FROM (SELECT DISTINCT scene_id FROM mask) s, (SELECT unnest(range(-1, {H} + 1))::INT AS y) r WHERE NOT EXISTS (SELECT 1 FROM wet w WHERE w.scene_id = s.scene_id AND w.y = r.y)) WHERE x1 <= x2), outside AS (
+    SELECT * FROM gap WHERE y = -1 UNION SELECT g.* FROM outside o JOIN gap g ON g.scene_id = o.scene_id AND (g.y = o.y + 1 OR g.y = o.y - 1) AND g.x1 <= o.x2 AND g.x2 >= o.x1), whole AS MATERIALIZED (
+    SELECT scene_id, x, y FROM mask UNION SELECT scene_id, unnest(range(x1, x2 + 1)) AS x, y FROM (SELECT * FROM gap EXCEPT SELECT * FROM outside)), run AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY scene_id, y, x1) AS id, * FROM ({_RUNS.format("whole")})), edge AS MATERIALIZED (
+    SELECT a.id AS a, b.id AS b FROM run a JOIN run b ON a.scene_id = b.scene_id AND (b.y = a.y + 1 OR b.y = a.y - 1) AND b.x1 <= a.x2 + 1 AND b.x2 >= a.x1 - 1), reach AS (
+    SELECT id AS a, id AS b FROM run UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b), px AS MATERIALIZED (
+    SELECT scene_id, region, unnest(range(x1, x2 + 1)) AS x, y FROM run JOIN (SELECT a AS id, min(b) AS region FROM reach GROUP BY a) USING (id))"""
+
+# The overlay's share of an 11 x 11 square: sums along rows of the mirrored image, then along columns.
+_DENSITY = f"""img AS (SELECT scene_id, unnest(list_distinct([x] || CASE WHEN x BETWEEN 1 AND 5 THEN [-x] ELSE [] END || CASE WHEN x BETWEEN {W - 6} AND {W - 2} THEN [{2 * (W - 1)} - x] ELSE [] END)) AS x, y FROM mask), im2 AS (
+        SELECT scene_id, x, unnest(list_distinct([y] || CASE WHEN y BETWEEN 1 AND 5 THEN [-y] ELSE [] END || CASE WHEN y BETWEEN {H - 6} AND {H - 2} THEN [{2 * (H - 1)} - y] ELSE [] END)) AS y FROM img), along AS (
+        SELECT scene_id, x + o AS x, y, count(*) AS n FROM im2, (SELECT unnest(range(-5, 6)) AS o) GROUP BY ALL), square AS (
+        SELECT scene_id, x, y + o AS y, sum(n) AS n FROM along, (SELECT unnest(range(-5, 6)) AS o) GROUP BY ALL), d AS MATERIALIZED (
+        SELECT scene_id, x, y, n / 121.0::DOUBLE AS d FROM mask JOIN square USING (scene_id, x, y))"""
+_PICK = "SELECT scene_id, {}::INT AS pick, x, y FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY e, y, x) AS r FROM k WHERE {}) WHERE r = 1"
+_APART = "NOT EXISTS (SELECT 1 FROM {0} WHERE {0}.scene_id = k.scene_id AND sqrt((k.x - {0}.x) * (k.x - {0}.x) + (k.y - {0}.y) * (k.y - {0}.y)) < 40)"
+
 _SAMPLE = "smp AS (SELECT scene_id, x AS sx, y AS sy FROM (SELECT scene_id, x, y, row_number() OVER (PARTITION BY scene_id ORDER BY (x * 31 + y * 17) % 101, x, y) AS k FROM mask) WHERE k = 1)"
 _LIMITS = f"""{_SAMPLE}, ends AS (
   SELECT p.scene_id, min(h) AS a, max(h) AS b, min(s) AS c, max(s) AS d, min(v) AS e, max(v) AS f FROM pixels_hsv p JOIN smp USING (scene_id)
@@ -211,12 +233,39 @@ ORACLES = {
         UNION ALL SELECT mission_id, line_no, 'seq' FROM b WHERE seq <> line_no - 1 UNION ALL SELECT mission_id, line_no, 'current' FROM b WHERE cur <> (line_no = 1)::INT
         UNION ALL SELECT mission_id, line_no, 'frame' FROM b WHERE frame NOT IN (0, 3) UNION ALL SELECT mission_id, line_no, 'command' FROM b WHERE cmd NOT IN ({_COMMANDS})
         UNION ALL SELECT mission_id, line_no, 'position' FROM b WHERE cmd IN (16, 19, 21, 22) AND (abs(lat) > 90 OR abs(lon) > 180 OR (lat = 0 AND lon = 0)) UNION ALL SELECT mission_id, line_no, 'autocontinue' FROM b WHERE auto <> 1"""),
-    "a2_local_density": with_views("mask", f"""img AS (SELECT scene_id, unnest(list_distinct([x] || CASE WHEN x BETWEEN 1 AND 5 THEN [-x] ELSE [] END || CASE WHEN x BETWEEN {W - 6} AND {W - 2} THEN [{2 * (W - 1)} - x] ELSE [] END)) AS x, y FROM mask), im2 AS (
-        SELECT scene_id, x, unnest(list_distinct([y] || CASE WHEN y BETWEEN 1 AND 5 THEN [-y] ELSE [] END || CASE WHEN y BETWEEN {H - 6} AND {H - 2} THEN [{2 * (H - 1)} - y] ELSE [] END)) AS y FROM img), d AS (
-        SELECT m.scene_id, m.x, m.y, count(*) / 121.0::DOUBLE AS d FROM mask m, {_offsets(masks.square(5))} JOIN im2 ON im2.scene_id = m.scene_id AND im2.x = m.x + dx AND im2.y = m.y + dy GROUP BY ALL)
-        SELECT scene_id, count(*) AS n, round(sum(d), 4) AS total, round(min(d), 6) AS least FROM d GROUP BY scene_id"""),
-    "j13_shared_points": with_views("drops", "SELECT scene_id, (x // 8)::BIGINT AS x, (y // 8)::BIGINT AS y, count(*)::INT AS n, min(drop_id) AS first FROM drops GROUP BY scene_id, x // 8, y // 8 HAVING count(*) > 1"),
-    "j15_near_regions": with_views("drops mask", "SELECT DISTINCT d.scene_id, drop_id FROM drops d JOIN mask m ON d.scene_id = m.scene_id AND m.x > 100 AND (m.x - d.x) * (m.x - d.x) + (m.y - d.y) * (m.y - d.y) <= 625"),
+    "a2_local_density": with_views("mask", f"{_DENSITY} SELECT scene_id, count(*) AS n, round(sum(d), 4) AS total, round(min(d), 6) AS least FROM d GROUP BY scene_id"),
+    "w4_sample_points": with_views("mask", f"""{_DENSITY}, k AS (SELECT scene_id, x, y, abs(d - 0.5) AS e FROM d), p0 AS ({_PICK.format(0, "TRUE")}), p1 AS ({_PICK.format(1, _APART.format("p0"))}), p2 AS ({_PICK.format(2, _APART.format("p0") + " AND " + _APART.format("p1"))})
+        SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2"""),
+    "r1_components": with_views("mask", f"{_REGIONS} SELECT scene_id, count(*) AS size, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px GROUP BY scene_id, region", True),
+    "r2_large_regions": with_views("mask", f"""{_REGIONS}, quad AS (SELECT scene_id, region, x + dx AS qx, y + dy AS qy, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM px, (VALUES (0, 0), (-1, 0), (0, -1), (-1, -1)) o(dx, dy) GROUP BY ALL), area AS MATERIALIZED (
+        SELECT scene_id, region, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0 END) AS area, sum(CASE n WHEN 4 THEN sx / 4.0::DOUBLE WHEN 3 THEN sx / 6.0::DOUBLE ELSE 0 END) AS mx, sum(CASE n WHEN 4 THEN sy / 4.0::DOUBLE WHEN 3 THEN sy / 6.0::DOUBLE ELSE 0 END) AS my FROM quad GROUP BY ALL HAVING area >= {D.MIN_AREA}::DOUBLE), pts AS MATERIALIZED (
+        SELECT DISTINCT scene_id, region, x, unnest([min(y), max(y)]) AS y FROM px JOIN area USING (scene_id, region) GROUP BY scene_id, region, x), side AS (
+        SELECT p.scene_id, p.region, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pts p JOIN pts q ON p.scene_id = q.scene_id AND p.region = q.region AND (p.x <> q.x OR p.y <> q.y)), hull AS (
+        SELECT s.scene_id, s.region, px * qy - py * qx AS twice FROM side s JOIN pts r USING (scene_id, region) GROUP BY s.scene_id, s.region, px, py, qx, qy
+        HAVING bool_and((qx - px) * (r.y - py) - (qy - py) * (r.x - px) >= 0) AND NOT bool_or((qx - px) * (r.y - py) - (qy - py) * (r.x - px) = 0 AND (r.x - px) * (r.x - qx) + (r.y - py) * (r.y - qy) > 0)), held AS (
+        SELECT scene_id, region, abs(sum(twice)) / 2.0::DOUBLE AS hull_area FROM hull GROUP BY ALL), box AS (SELECT scene_id, region, count(*) AS size, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px GROUP BY ALL)
+        SELECT scene_id, area, floor(mx / area + 1e-9)::INT AS cx, floor(my / area + 1e-9)::INT AS cy, size, min_x, max_x, min_y, max_y, least({D.MAX_DROPS}, 1 + {" + ".join(f"(hull_area >= {a})::INT" for a in D.DROP_AREAS)})::INT AS n_drops
+        FROM area JOIN held USING (scene_id, region) JOIN box USING (scene_id, region)""", True),
+    "r9_flooded_at_arrival": with_views("mask weather_obs drops pixels_hsv", f"""{_WEATHER}, {_F1}, a AS MATERIALIZED ({_F1_ALL}), hs AS (SELECT scene_id, hour, lead(hour) OVER (PARTITION BY scene_id ORDER BY hour) AS next FROM (SELECT DISTINCT scene_id, hour FROM a)), t AS MATERIALIZED (
+        SELECT d.scene_id, drop_id, x, y, drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE AS t, hour, next FROM drops d LEFT JOIN hs ON hs.scene_id = d.scene_id AND hour <= drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE AND (next IS NULL OR next > drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE)), w AS (
+        SELECT t.*, (a.x IS NOT NULL) AS w0, (b.x IS NOT NULL) AS w1 FROM t LEFT JOIN a ON a.scene_id = t.scene_id AND a.hour = t.hour AND a.x = t.x AND a.y = t.y LEFT JOIN a b ON b.scene_id = t.scene_id AND b.hour = t.next AND b.x = t.x AND b.y = t.y), c AS MATERIALIZED (
+        SELECT * FROM w WHERE w0 <> w1 AND next IS NOT NULL), e AS (SELECT scene_id, drop_id, x, y, hour AS at, w0 AS wet FROM c UNION ALL SELECT scene_id, drop_id, x, y, next, w1 FROM c), px AS MATERIALIZED (
+        SELECT h.scene_id, h.hour, p.x, p.y, (a.x IS NOT NULL) AS wet FROM hs h JOIN pixels_hsv p USING (scene_id) LEFT JOIN a ON a.scene_id = h.scene_id AND a.hour = h.hour AND a.x = p.x AND a.y = p.y), far AS (
+        SELECT e.scene_id, e.drop_id, e.at, sqrt(min((e.x - p.x) * (e.x - p.x) + (e.y - p.y) * (e.y - p.y))) AS d FROM e JOIN px p ON p.scene_id = e.scene_id AND p.hour = e.at AND p.wet <> e.wet GROUP BY ALL)
+        SELECT w.scene_id, w.drop_id, CASE WHEN w.next IS NULL OR w0 = w1 THEN w0 WHEN w0 THEN t < w.hour + (w.next - w.hour) * f.d / (f.d + g.d) ELSE t >= w.hour + (w.next - w.hour) * f.d / (f.d + g.d) END AS flooded
+        FROM w LEFT JOIN far f ON f.scene_id = w.scene_id AND f.drop_id = w.drop_id AND f.at = w.hour LEFT JOIN far g ON g.scene_id = w.scene_id AND g.drop_id = w.drop_id AND g.at = w.next"""),
+    "r10_soft_blend": with_views("mask weather_obs", f"""{_WEATHER}, {_F1}, a AS MATERIALIZED ({_F1_ALL}), v AS (SELECT scene_id, 0.5::DOUBLE AS t, x, y, 255 AS value FROM a WHERE hour = 0.5 UNION ALL
+        SELECT scene_id, 0.7::DOUBLE, x, y, round_even(255 * sum(CASE hour WHEN 0.5 THEN 1 - (0.7::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE ELSE (0.7::DOUBLE - 0.5::DOUBLE) / 0.5::DOUBLE END), 0)::INT FROM a WHERE hour IN (0.5, 1.0) GROUP BY ALL)
+        SELECT scene_id, t, count(*) AS n, sum(value)::BIGINT AS total, min(value) AS least FROM v WHERE value > 0 GROUP BY ALL"""),
+    "p14_point_lists": with_views("drops", """h AS (SELECT drop_id, x * 7 % 200 + CASE WHEN x % 3 = 0 THEN 0.5 ELSE 0 END AS a, y * 7 % 200 + CASE WHEN y % 3 = 0 THEN 0.5 ELSE 0 END AS b FROM drops)
+        SELECT drop_id, 0::BIGINT AS k, round_even(a, 0)::INT AS x, round_even(b, 0)::INT AS y FROM h UNION ALL
+        SELECT drop_id, 1, CASE WHEN drop_id % 4 > 0 THEN round_even(b, 0)::INT END, CASE WHEN drop_id % 4 > 0 THEN round_even(a, 0)::INT END FROM h"""),
+    "u5_conflict_cells": with_views("drops", f"""c AS (SELECT scene_id, drop_id AS leg, least(x // 5, {W // 5 - 1})::INT AS gx, least(y // 5, {H // 5 - 1})::INT AS gy FROM drops), b AS (
+        SELECT scene_id, leg - 1 AS leg, gx + dx AS cx, gy + dy AS cy, dx = 0 AND dy = 0 AS exact FROM c, {_offsets(masks.square(1))}), m AS (
+        SELECT scene_id, leg, cx, cy, bool_or(exact) AS exact FROM b WHERE cx BETWEEN 0 AND {W // 5 - 1} AND cy BETWEEN 0 AND {H // 5 - 1} GROUP BY ALL)
+        SELECT m.scene_id, m.leg, cx, cy, exact FROM m JOIN c ON c.scene_id = m.scene_id AND c.leg = m.leg WHERE NOT (cx = gx AND cy = gy) AND NOT (cx = {W // 10} AND cy = {H // 10})"""),
+    "j13_shared_points": with_views("drops", "SELECT scene_id, (x // 25)::BIGINT AS x, (y // 25)::BIGINT AS y, count(*)::INT AS n, min(drop_id) AS first FROM drops GROUP BY scene_id, x // 25, y // 25 HAVING count(*) > 1"),
+    "j15_near_regions": with_views("drops mask", "SELECT DISTINCT d.scene_id, drop_id FROM drops d JOIN mask m ON d.scene_id = m.scene_id AND (m.x - d.x) * (m.x - d.x) + (m.y - d.y) * (m.y - d.y) <= 625"),
     "a8_stage_counts": with_views("candidates drops scenes", f"""{_REACH}, {_ASSIGN} SELECT scene_id, count(*) AS drops, count(a.drop_id) AS coverable, count(a.drop_id) AS assigned, count(CASE WHEN distance_m < 400 THEN 1 END) AS delivered
         FROM drops LEFT JOIN assigned a USING (scene_id, drop_id) GROUP BY ROLLUP (scene_id)"""),
     "a11_map_sanity": with_views("pixels_hsv", """t AS (SELECT scene_id, s AS b, v AS g, h AS r, CASE WHEN x < 60 THEN 9 ELSE s END AS b2, CASE WHEN x < 60 THEN 9 ELSE v END AS g2, CASE WHEN x < 60 THEN 9 ELSE h END AS r2 FROM pixels_hsv), c AS (
@@ -230,5 +279,6 @@ ORACLES = {
         SELECT a.scene_id, round(a.hour, 4) AS hour, count(*) AS n FROM a JOIN n ON n.scene_id = a.scene_id AND n.hour = a.hour AND next IS NOT NULL LEFT JOIN a b ON b.scene_id = a.scene_id AND b.hour = next AND b.x = a.x AND b.y = a.y WHERE b.x IS NULL GROUP BY ALL"""),
 }
 
+ORACLES["q4_over_limit"] = "SELECT scene_id, base_id, sortie, battery FROM (" + ORACLES["a6_sortie_battery"] + ") WHERE over"
 #: The same crossings, with each drop served from the last site that reaches it.
 ORACLES["j9_crossings_far"] = ORACLES["j9_crossings"].replace(_ASSIGN, "assigned AS MATERIALIZED (SELECT scene_id, drop_id, max(cand_id) AS base_id FROM reached GROUP BY ALL)")

@@ -141,21 +141,49 @@ def j4_bracket(spark, sf_dir):
 
 
 def r9_flooded_at_arrival(spark, sf_dir):
-    """Drops flooded 1.5 h on, by interpolated fronts between two hourly frames."""
-    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 2.0, W, H).where("hour IN (0, 1, 2)")
+    """Drops flooded at an arrival time of each, by interpolated fronts between the frames of the forecast."""
+    frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
     area = X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y")
     wet = timeline.wet_intervals(frames, area)
-    points = X.drops(spark, sf_dir).withColumn("t", F.lit(1.5))
+    points = X.drops(spark, sf_dir).withColumn("t", F.col("drop_id") % 11 / 8.0 + 0.03)
     return timeline.flooded_at(points, wet, W, H).select("scene_id", "drop_id", "flooded")
 
 
+def r10_soft_blend(spark, sf_dir):
+    """The grey blend of the forecast's frames half an hour and 0.7 h on."""
+    frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
+    hours = frames.select("scene_id", "hour").distinct()
+    times = hours.select("scene_id").distinct().select("scene_id", F.explode(F.array(F.lit(0.5), F.lit(0.7))).alias("t"))
+    told = timeline.soft_blend(frames, timeline.bracket(times, hours))
+    return told.groupBy("scene_id", "t").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"))
+
+
+def p14_point_lists(spark, sf_dir):
+    """Sample points written as text, read back."""
+    half = lambda c: F.concat((F.col(c) * 7 % 200).cast("string"), F.when(F.col(c) % 3 == 0, ".5").otherwise(""))
+    told = X.drops(spark, sf_dir).select("drop_id", F.concat(half("x"), F.lit(","), half("y"), F.when(F.col("drop_id") % 4 > 0, F.concat(F.lit("; "), half("y"), F.lit(" , "), half("x"))).otherwise(F.lit(";bad"))).alias("text"))
+    return told.select("drop_id", F.posexplode(geodesy.point_list(F.col("text")))).select("drop_id", F.col("pos").cast("long").alias("k"), "col.x", "col.y")
+
+
+def u5_conflict_cells(spark, sf_dir):
+    """Cells that legs must leave: each drop is a leg from its scene's middle, and the drops of the next number are shared."""
+    cells = X.drops(spark, sf_dir).select("scene_id", F.col("drop_id").alias("leg"), F.expr(f"cast(least(x div 5, {W // 5 - 1}) AS int)").alias("gx"), F.expr(f"cast(least(y div 5, {H // 5 - 1}) AS int)").alias("gy"))
+    legs = cells.withColumn("sx", F.lit(W // 10)).withColumn("sy", F.lit(H // 10))
+    points = cells.select("scene_id", (F.col("leg") - 1).alias("leg"), F.col("gx").alias("cx"), F.col("gy").alias("cy"))
+    return reports.conflict_cells(points, legs, W // 5, H // 5)
+
+
+def q4_over_limit(spark, sf_dir):
+    """Sorties of the routes that need more battery than the reserve leaves."""
+    return a6_sortie_battery(spark, sf_dir).where("over").select("scene_id", "base_id", "sortie", "battery")
+
+
 def r1_components(spark, sf_dir):
-    labels, _ = regions.label(X.mask(spark, sf_dir))
-    return regions.components(labels).drop("region_id")
+    return regions.components(regions.external(X.mask(spark, sf_dir), W, H)).drop("region_id")
 
 
 def r2_large_regions(spark, sf_dir):
-    labels, _ = regions.label(X.mask(spark, sf_dir))
+    labels = stored(regions.external(X.mask(spark, sf_dir), W, H), "labels")
     return regions.large_regions(labels).select("scene_id", "area", "cx", "cy", "size", "min_x", "max_x", "min_y", "max_y", "n_drops")
 
 
@@ -280,12 +308,14 @@ def w4_sample_points(spark, sf_dir):
 
 
 def j13_shared_points(spark, sf_dir):
-    return reports.shared_points(X.drops(spark, sf_dir).withColumn("x", F.expr("x div 8")).withColumn("y", F.expr("y div 8"))).select("scene_id", "x", "y", F.size("drop_ids").alias("n"), F.array_min("drop_ids").alias("first"))
+    return reports.shared_points(X.drops(spark, sf_dir).withColumn("x", F.expr("x div 25")).withColumn("y", F.expr("y div 25"))).select("scene_id", "x", "y", F.size("drop_ids").alias("n"), F.array_min("drop_ids").alias("first"))
 
 
 def j15_near_regions(spark, sf_dir):
     drops = X.drops(spark, sf_dir)
-    return reports.near_regions(drops, masks.boundary(X.mask(spark, sf_dir).where("x > 100")), 25).select("scene_id", "drop_id")
+    mask = X.mask(spark, sf_dir)
+    near = reports.near_regions(drops, masks.boundary(mask), 25).select("scene_id", "drop_id")
+    return near.union(drops.join(mask, ["scene_id", "x", "y"], "left_semi").select("scene_id", "drop_id")).distinct()
 
 
 def a8_stage_counts(spark, sf_dir):
@@ -319,7 +349,7 @@ def u2_lost_pixels(spark, sf_dir):
 def f8_stop_plan(spark, sf_dir):
     """Closed sorties of every base; drops that the forecast floods at arrival, or that no battery serves, are rejects."""
     stops, homes = _stops(spark, sf_dir)
-    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H).where("hour IN (0, 0.5, 1)")
+    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H)
     wet = timeline.wet_intervals(frames, X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y"))
     wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
     plan = planning.stop_plan(sites.visit_order(stops, homes), homes, wind, wet, X.M_PER_PX, 0.5)
@@ -329,7 +359,7 @@ def f8_stop_plan(spark, sf_dir):
 def w8_drop_points(spark, sf_dir):
     """Drop points of regions of 200 and more: by size, at stations along the hull, on clear dry ground."""
     mask = X.mask(spark, sf_dir)
-    labels, _ = regions.label(mask)
+    labels = stored(regions.external(mask, W, H), "labels")
     large = stored(regions.large_regions(labels), "large")
     own = labels.join(large.select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi")
     band = stored(placement.candidate_band(own, mask, W, H), "band")
