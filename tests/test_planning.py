@@ -1,7 +1,9 @@
 """Stop plans, site choice, placement and repair on small cases."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,44 @@ def test_territories_go_as_far_as_free_cells(spark):
             todo = {(x + a, y + b) for x, y in todo for a in (-1, 0, 1) for b in (-1, 0, 1)} & free[scene] - seen
             seen = seen | todo
         assert (row["cells"], row["unreachable"]) == (len(seen), stuck.get(scene, 0))
+
+
+def test_full_routes_fly_round_what_is_wet_then(spark):
+    from tidemesh.operators import legs
+
+    width, height, inf = 60, 40, math.inf
+    wall = [(1, 30, y, 0.0, inf) for y in range(0, 30)] + [(2, 30, y, 0.0, 0.05) for y in range(0, 30)] + [(3, 30, y, 0.0, inf) for y in range(40)] + [(4, 50, 10, 0.0, inf)]
+    wet = spark.createDataFrame(wall, "scene_id long, x int, y int, t_from double, t_to double")
+    stops = [(s, 1, k, x, 10) for s in (1, 2, 3) for k, x in enumerate((10, 50, 10))] + [(4, 1, 0, 10, 10), (4, 1, 1, 52, 11), (5, 1, 0, 3, 3)]
+    points = spark.createDataFrame(stops, "scene_id long, base_id long, seq int, x int, y int").withColumn("t_from", F.lit("clash"))
+    got = {(r["scene_id"], r["leg"]): r for r in legs.full_routes(points, wet, width, height, 100.0).collect()}
+    assert set(got) == {(s, k) for s in (1, 2, 3) for k in (0, 1)} | {(4, 0)}
+    assert all(got[(1, k)]["status"] == "routed" and got[(1, k)]["route_flooded_px"] == 0 and got[(1, k)]["distance_m"] > 5000 for k in (0, 1))
+    assert got[(2, 0)]["distance_m"] == pytest.approx(4000, abs=300)  # the wall is dry again when it arrives
+    assert all((got[(3, k)]["status"], got[(3, k)]["reason"], got[(3, k)]["flooded_px"]) == ("fallback", "not connected", 1) for k in (0, 1))
+    assert got[(4, 0)]["status"] == "routed" and got[(4, 0)]["xs"][-1] == 52 and got[(4, 0)]["route_flooded_px"] == 0
+    assert got[(1, 1)]["arrival_h"] == pytest.approx((got[(1, 0)]["distance_m"] + 4000) / 18000)
+
+
+def test_paths_are_shortest():
+    from tidemesh.operators import legs
+
+    rng = random.Random(9)
+    image = np.zeros((60, 80), bool)
+    for _ in range(40):
+        image[rng.randrange(60), rng.randrange(80)] = True
+    ground = legs.Ground(image, 5)
+    cells = [(x, y) for y in range(12) for x in range(16) if ground.free[y, x]]
+    goal = cells[0]
+    far = dict.fromkeys(cells, math.inf) | {goal: 0.0}
+    for _ in cells:  # relax every step until nothing is left to relax
+        for x, y in cells:
+            for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+                if (x + dx, y + dy) in far:
+                    far[(x, y)] = min(far[(x, y)], far[(x + dx, y + dy)] + math.hypot(dx, dy))
+    costs = ground.costs(goal)
+    assert costs == {c: pytest.approx(d) for c, d in far.items() if d < math.inf}
+    for c in costs:
+        path = ground.path(c, costs)
+        assert path[0] == c and path[-1] == goal and sum(math.dist(a, b) for a, b in zip(path, path[1:])) == pytest.approx(costs[c])
+    assert legs.ring_order(1) == [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)] and len(legs.ring_order(4)) == 81

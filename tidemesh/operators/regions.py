@@ -152,7 +152,7 @@ def clearance(points: DataFrame, mask: DataFrame, most: int) -> DataFrame:
     return points.join(told.select("scene_id", "x", "y", "clearance"), ["scene_id", "x", "y"])
 
 
-def exact_clearance(points: DataFrame, mask: DataFrame, most: int, first: int = 16) -> DataFrame:
+def exact_clearance(points: DataFrame, mask: DataFrame, most: int, first: int = 3) -> DataFrame:
     """As clearance, but without its cap up to a distance of most: what has nothing within one cap goes on with a larger one.
 
     Few points are far from a boundary, so tiles grow with them only. Points with nothing within most have null.

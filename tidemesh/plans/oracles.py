@@ -279,6 +279,28 @@ ORACLES = {
         SELECT a.scene_id, round(a.hour, 4) AS hour, count(*) AS n FROM a JOIN n ON n.scene_id = a.scene_id AND n.hour = a.hour AND next IS NOT NULL LEFT JOIN a b ON b.scene_id = a.scene_id AND b.hour = next AND b.x = a.x AND b.y = a.y WHERE b.x IS NULL GROUP BY ALL"""),
 }
 
+ORACLES["a13_not_planned"] = with_views("candidates drops scenes", f"{_REACH}, {_ASSIGN} SELECT scene_id, drop_id, base_id, 'base has no route' AS reason FROM assigned WHERE base_id % 4 = 3")
+ORACLES["j14_legs_of_segments"] = with_views("candidates drops scenes", f"{_ROUTE} SELECT scene_id, base_id, seq AS seg, coalesce(sum((kind = 'drop')::INT) OVER (PARTITION BY scene_id, base_id ORDER BY seq), 0)::INT AS leg FROM route", True)
+ORACLES["p8_original_points"] = with_views("drops", "SELECT drop_id, round((x + 0.5::DOUBLE) / (1 / 3.0::DOUBLE) - 0.5::DOUBLE, 6) AS x, round((y + 0.5::DOUBLE) / (1 / 3.0::DOUBLE) - 0.5::DOUBLE, 6) AS y FROM drops")
+
+
+def _greedy(rounds: int, separation: float) -> str:
+    """Greedy cover, a round after the other: what earlier picks serve doesn't count, and sites near them are out."""
+    parts = ["picked0 AS MATERIALIZED (SELECT NULL::BIGINT AS scene_id, 0 AS rank, NULL::BIGINT AS cand_id, NULL::INT AS x, NULL::INT AS y, 0::BIGINT AS gain WHERE false)"]
+    for k in range(rounds):
+        parts.append(f"""picked{k + 1} AS MATERIALIZED (SELECT * FROM picked{k} UNION ALL SELECT scene_id, {k}, cand_id, x, y, gain FROM (
+          SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY gain DESC, cost, cand_id) AS r FROM (SELECT c.scene_id, c.cand_id, c.x, c.y, count(*) AS gain, round(sum(distance_m), 6) AS cost FROM candidates c JOIN reached r USING (scene_id, cand_id)
+          WHERE NOT EXISTS (SELECT 1 FROM picked{k} p JOIN reached q ON q.scene_id = p.scene_id AND q.cand_id = p.cand_id WHERE q.scene_id = r.scene_id AND q.drop_id = r.drop_id)
+            AND NOT EXISTS (SELECT 1 FROM picked{k} p WHERE p.scene_id = c.scene_id AND (p.cand_id = c.cand_id OR sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) < {separation}))
+          GROUP BY c.scene_id, c.cand_id, c.x, c.y)) WHERE r = 1)""")
+    return ", ".join(parts)
+
+
+_BASES = f"{_REACH}, {_greedy(D.MAX_BASES, 60.0)}"
+ORACLES["f1_greedy_bases"] = with_views("candidates drops scenes", f"{_BASES} SELECT scene_id, rank, cand_id, x, y, gain FROM picked{D.MAX_BASES}")
+ORACLES["u3_unserved"] = with_views("candidates drops scenes", f"""{_BASES}, n AS (SELECT scene_id, count(*) AS n FROM picked{D.MAX_BASES} GROUP BY scene_id), served AS (SELECT DISTINCT r.scene_id, r.drop_id FROM reached r JOIN picked{D.MAX_BASES} USING (scene_id, cand_id))
+  SELECT d.scene_id, d.drop_id, CASE WHEN r.drop_id IS NULL THEN 'battery' WHEN coalesce(n, 0) >= {D.MAX_BASES} THEN 'base cap' ELSE 'separation' END AS reason
+  FROM drops d LEFT JOIN (SELECT DISTINCT scene_id, drop_id FROM reached) r USING (scene_id, drop_id) LEFT JOIN n USING (scene_id) WHERE NOT EXISTS (SELECT 1 FROM served s WHERE s.scene_id = d.scene_id AND s.drop_id = d.drop_id)""")
 ORACLES["q4_over_limit"] = "SELECT scene_id, base_id, sortie, battery FROM (" + ORACLES["a6_sortie_battery"] + ") WHERE over"
 #: The same crossings, with each drop served from the last site that reaches it.
 ORACLES["j9_crossings_far"] = ORACLES["j9_crossings"].replace(_ASSIGN, "assigned AS MATERIALIZED (SELECT scene_id, drop_id, max(cand_id) AS base_id FROM reached GROUP BY ALL)")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions import colour, flight, geodesy
-from tidemesh.operators import grid, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
+from tidemesh.operators import grid, legs, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
 from tidemesh.operators.common import stored
 from tidemesh.sources import fixtures as X
 
@@ -356,6 +356,49 @@ def f8_stop_plan(spark, sf_dir):
     return plan.select("scene_id", "base_id", "seq", "x", "y", "kind", "drop_id", F.round("battery", 6).alias("battery"), "reason")
 
 
+def _flown_legs(spark, sf_dir):
+    frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
+    wet = timeline.wet_intervals(frames, X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y"))
+    return legs.full_routes(_routes(spark, sf_dir), wet, W, H, X.M_PER_PX)
+
+
+def f7_full_routes(spark, sf_dir):
+    """Every leg of every base's route, over ground that is dry when it is flown."""
+    told = _flown_legs(spark, sf_dir).select("scene_id", "base_id", "leg", "status", "reason", "arrival_h", "distance_m", "flooded_px", "route_flooded_px", F.size("xs").alias("points"))
+    return told.withColumn("arrival_h", F.round("arrival_h", 9)).withColumn("distance_m", F.round("distance_m", 6))
+
+
+def a9_leg_counts(spark, sf_dir):
+    return legs.routed_lengths(_flown_legs(spark, sf_dir)).withColumn("metres", F.round("metres", 6))
+
+
+def a13_not_planned(spark, sf_dir):
+    """Assigned drops of the bases whose routes are left out (those of the last site of each scene)."""
+    assigned = sites.assign(straight_reach(spark, sf_dir)).select("scene_id", "drop_id", "base_id")
+    return reports.not_planned(assigned, _routes(spark, sf_dir).where("base_id % 4 <> 3"))
+
+
+def j14_legs_of_segments(spark, sf_dir):
+    """The leg of each segment of a route, legs starting at drops."""
+    points = stored(_routes(spark, sf_dir), "points")
+    starts = points.where("kind = 'drop'").select("scene_id", "base_id", F.col("seq"), F.row_number().over(Window.partitionBy("scene_id", "base_id").orderBy("seq")).alias("leg"))
+    return reports.leg_of_segment(points.select("scene_id", "base_id", F.col("seq").alias("seg")), starts)
+
+
+def a12_outcomes(spark, sf_dir):
+    """How each scene came out, with the routes from the last site that reaches each drop."""
+    reached = straight_reach(spark, sf_dir)
+    n = reached.groupBy("scene_id", "drop_id").agg(F.max("cand_id").alias("b")).groupBy("scene_id").agg(F.countDistinct("b").alias("n_bases"))
+    summary = sites.reach_summary(reached, X.drops(spark, sf_dir)).join(n, "scene_id", "left")
+    return reports.outcomes(summary, j9_crossings_far(spark, sf_dir).where("scene_id % 2 = 0"))
+
+
+def p8_original_points(spark, sf_dir):
+    """Drops picked on a display of a third of the size, on the original image."""
+    told = X.drops(spark, sf_dir)
+    return told.select("drop_id", *(F.round(geodesy.display_to_original(F.col(c).cast("double"), F.lit(1 / 3)), 6).alias(c) for c in "xy"))
+
+
 def w8_drop_points(spark, sf_dir):
     """Drop points of regions of 200 and more: by size, at stations along the hull, on clear dry ground."""
     mask = X.mask(spark, sf_dir)
