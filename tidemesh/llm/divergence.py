@@ -45,24 +45,24 @@ def _covered(at: str, most: str) -> Column:
 def repeated_words(df: DataFrame, words: str, n_words: str, out: str) -> DataFrame:
     """Adds out: words that stand in a window of three words found twice or more in the row's array, first included.
 
-    A window's hash and its position share one long: as many low bits as positions need, the others (49 of 64 at
+    A window's hash and its position share one long: as many low bits as positions need, the others (48 of 63 at
     20,000 words) from the hash. Sorted, equal windows are neighbours. Neighbours whose hashes are equal are compared word
     by word; a row where any of these differ is counted again by sorting the windows' words themselves, so counts are exact.
     """
     m = F.greatest(F.col(n_words).cast("int") - 2, F.lit(0))
     df = _held(df, _m=m, _p=F.pow(F.lit(2.0), F.ceil(F.log2(m + 1.0))).cast("long"))
+    df = _held(df, _high=F.lit(2**63 - 1) - (F.col("_p") - 1))
     three = F.arrays_zip(*(F.slice(words, k, F.col("_m")).alias(f"w{k}") for k in (1, 2, 3)))
-    coded = F.transform(three, lambda s, i: _window_hash(s).bitwiseAND(-F.col("_p")) + i)
-    df = _held(df, _s=F.sort_array(coded))
-    beside = F.arrays_zip(F.col("_s").alias("at"), F.slice("_s", 2, F.greatest(F.col("_m"), F.lit(1))).alias("next"), F.concat(F.array(F.lit(None).cast("long")), F.col("_s")).alias("last"))
-    window = lambda x: x.bitwiseAND(-F.col("_p"))
+    df = _held(df, _s=F.sort_array(F.transform(three, lambda s, i: _window_hash(s).bitwiseAND(F.col("_high")) + i)))
+    # codes are not negative, so two of one hash differ in low bits only: one comparison for each window
+    code = lambda i: F.get("_s", i)
+    firsts = F.when(F.col("_m") > 1, F.sequence(F.lit(0), F.col("_m") - 2)).otherwise(F.array().cast("array<int>"))
+    df = _held(df, _met=F.filter(firsts, lambda i: code(i).bitwiseXOR(code(i + 1)) < F.col("_p")))
     place = lambda x: x.bitwiseAND(F.col("_p") - 1)
-    as_next = lambda s: F.coalesce(window(s["at"]) == window(s["next"]), F.lit(False))
-    same = F.filter(beside, lambda s: as_next(s) | F.coalesce(window(s["at"]) == window(s["last"]), F.lit(False)))
-    df = _held(df, _same=same)
-    word = lambda x, k: F.get(F.col(words), (place(x) + k).cast("int"))
-    unlike = lambda s: as_next(s) & ~((word(s["at"], 0) == word(s["next"], 0)) & (word(s["at"], 1) == word(s["next"], 1)) & (word(s["at"], 2) == word(s["next"], 2)))
-    df = _held(df, _at=F.sort_array(F.transform("_same", lambda s: place(s["at"]))), _clash=F.exists("_same", unlike))
+    df = _held(df, _pairs=F.transform("_met", lambda i: F.struct(place(code(i)).alias("a"), place(code(i + 1)).alias("b"))))
+    word = lambda at, k: F.get(F.col(words), (at + k).cast("int"))
+    unlike = lambda s: ~((word(s["a"], 0) == word(s["b"], 0)) & (word(s["a"], 1) == word(s["b"], 1)) & (word(s["a"], 2) == word(s["b"], 2)))
+    df = _held(df, _at=F.sort_array(F.array_distinct(F.concat("_pairs.a", "_pairs.b"))), _clash=F.exists("_pairs", unlike))
     # the windows themselves, for the rows where hashes clash
     spelt = F.sort_array(F.transform(three, lambda s, i: F.struct(s["w1"].alias("a"), s["w2"].alias("b"), s["w3"].alias("c"), i.cast("long").alias("i"))))
     df = _held(df, _w=F.when(F.col("_clash"), spelt))
@@ -70,7 +70,7 @@ def repeated_words(df: DataFrame, words: str, n_words: str, out: str) -> DataFra
     equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
     found = F.transform(F.filter(pairs, lambda s: equal(s["at"], s["next"]) | equal(s["at"], s["last"])), lambda s: s["at"]["i"])
     df = _held(df, _exact=F.when(F.col("_clash"), F.sort_array(F.filter(found, lambda i: i.isNotNull()))).otherwise(F.col("_at")))
-    return df.withColumn(out, _covered("_exact", "_m")).drop("_m", "_p", "_s", "_same", "_at", "_clash", "_w", "_exact")
+    return df.withColumn(out, _covered("_exact", "_m")).drop("_m", "_p", "_high", "_s", "_met", "_pairs", "_at", "_clash", "_w", "_exact")
 
 
 def _window_hash(window: Column) -> Column:
