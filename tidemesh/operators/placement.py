@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemesh import defaults as D
 from tidemesh.functions.flight import segment_distance
 from tidemesh.operators.common import stored
-from tidemesh.operators.regions import clearance
+from tidemesh.operators.regions import clearance, gaps, run_roots, runs
+from tidemesh.operators.routes import line_pixels
 
 TIERS = (5.0, 3.5, 2.0, 0.5)
 REGION = ["scene_id", "region_id"]
@@ -52,10 +53,33 @@ def sample_points(density: DataFrame, n: int = 3, apart: float = 40.0) -> DataFr
     return out
 
 
+def hull_outline(hulls: DataFrame) -> DataFrame:
+    """scene_id, region_id, x, y: the pixels on the sides of each hull, its corners included."""
+    ring = hulls.select("scene_id", F.col("region_id").alias("base_id"), F.posexplode(F.concat("hull", F.slice("hull", 1, 1))).alias("seq", "p")).select("scene_id", "base_id", "seq", "p.x", "p.y")
+    return line_pixels(ring).union(ring.select("scene_id", "base_id", "x", "y")).distinct().withColumnRenamed("base_id", "region_id")
+
+
+def dry_components(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """scene_id, x, y, component, size of the dry pixels of scenes with flood; pixels that touch at corners are joined."""
+    dry = gaps(runs(mask), width, height).where(F.col("y").between(0, height - 1))
+    dry = dry.withColumn("x1", F.greatest("x1", F.lit(0))).withColumn("x2", F.least("x2", F.lit(width - 1))).where("x1 <= x2")
+    dry = stored(dry, "dry")
+    told = stored(dry.join(run_roots(dry, 1), ["scene_id", "run_id"]), "dry-roots")
+    sizes = told.groupBy("scene_id", "root").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("size"))
+    return told.join(sizes, ["scene_id", "root"]).select("scene_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y", F.col("root").alias("component"), "size")
+
+
+def or_corners(candidates: DataFrame, hulls: DataFrame) -> DataFrame:
+    """candidates (scene_id, region_id, x, y, clearance), and the hull's corners, at no clearance, of regions without any."""
+    bare = hulls.join(candidates.select(*REGION).distinct(), REGION, "left_anti")
+    corners = bare.select(*REGION, F.explode("hull").alias("p")).select(*REGION, "p.x", "p.y", F.lit(0.0).alias("clearance"))
+    return candidates.select(*REGION, "x", "y", "clearance").union(corners)
+
+
 def candidate_band(labels: DataFrame, mask: DataFrame, width: int, height: int) -> DataFrame:
     """scene_id, region_id, x, y, clearance: dry pixels within the band of a region, of its best clearance tier.
 
-    labels are a region's pixels (its hull's, where one is wanted); the band is a square dilation of them, sent out
+    labels are a region's pixels, or its hull's outline (see hull_outline), as rows are taken from end to end; the band is a square dilation of them, sent out
     from each row's run ends so that a run gives a row per line of the band. Tiers are TIERS; a region without any
     keeps all its dry pixels.
     """

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
@@ -84,18 +84,40 @@ def score_sites(pairs: DataFrame, drops: DataFrame, wind: DataFrame, m_per_px: f
 
 def ranked_sites(scored: DataFrame) -> DataFrame:
     """The pairs that serve all their drops, ranked by cost, then position."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("scene_id", "group_id").orderBy(F.round("cost", 9), "x", "y")
     return scored.where("unserved = 0").withColumn("rank", F.row_number().over(order))
 
 
+def replaced(chosen: DataFrame, reached: DataFrame, place: DataFrame, drops: DataFrame, wind: DataFrame, m_per_px: float, most: int, separation: float, rounds: int) -> DataFrame:
+    """chosen (scene_id, rank, cand_id, x, y) after rounds in which each base, in the order of ranks, takes the cheapest
+    site that reaches all its drops and keeps its distance. Drops are assigned once a round."""
+    for _ in range(rounds):
+        before = chosen
+        owned = assign(reached, chosen).join(chosen.select("scene_id", F.col("cand_id").alias("base_id"), "rank"), ["scene_id", "base_id"])
+        owned = stored(owned.join(drops, ["scene_id", "drop_id"]).select("scene_id", "rank", F.lit(0).alias("group_id"), "drop_id", "x", "y"), "owned")
+        for rank in range(most):
+            mine = owned.where(F.col("rank") == rank).drop("rank")
+            if mine.isEmpty():
+                continue
+            base, others = chosen.where(F.col("rank") == rank), chosen.where(F.col("rank") != rank)
+            need = mine.groupBy("scene_id").agg(F.count("*").alias("need"))
+            fits = reached.join(mine.select("scene_id", "drop_id"), ["scene_id", "drop_id"], "left_semi").groupBy("scene_id", "cand_id").agg(F.count("*").alias("n")).join(need, "scene_id").where("n = need").select("scene_id", "cand_id")
+            open_sites = apart(place.join(fits, ["scene_id", "cand_id"]).join(others.select("scene_id", "cand_id"), ["scene_id", "cand_id"], "left_anti"), others, separation)
+            best = ranked_sites(score_sites(open_sites.withColumn("group_id", F.lit(0)), mine, wind, m_per_px)).where("rank = 1").select("scene_id", F.lit(rank).alias("rank"), "cand_id", "x", "y")
+            best = stored(best, "best")
+            chosen = stored(others.union(base.join(best.select("scene_id"), "scene_id", "left_anti")).union(best), "chosen")
+        if chosen.exceptAll(before).isEmpty():
+            break
+    return chosen
+
+
 def select_bases(candidates: DataFrame, drops: DataFrame, reached: DataFrame, wind: DataFrame, m_per_px: float, most: int = D.MAX_BASES, separation: float = D.SEPARATION, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(bases, assigned): scene_id, rank, cand_id, x, y, and scene_id, drop_id, base_id, distance_m.
 
     Where one site reaches all that any site reaches, the cheapest such site is the only base. Elsewhere the greedy
     cover is re-placed: base by base, the cheapest site that reaches all the base's drops and keeps its distance takes
-    its place, and drops are assigned anew, until nothing changes or for `rounds` rounds. Bases without drops go.
+    its place, then drops are assigned anew, until nothing changes or for `rounds` rounds. Bases without drops go; while
+    drops are open and the bases of a scene still change, its freed places are filled greedily and re-placed again.
     """
     reached = stored(reached, "reach")
     coverable = reached.select("scene_id", "drop_id").distinct().groupBy("scene_id").agg(F.count("*").alias("all"))
@@ -105,24 +127,27 @@ def select_bases(candidates: DataFrame, drops: DataFrame, reached: DataFrame, wi
     whole = place.join(full, ["scene_id", "cand_id"]).withColumn("group_id", F.lit(0))
     single = stored(ranked_sites(score_sites(whole, covered, wind, m_per_px)).where("rank = 1").select("scene_id", F.lit(0).alias("rank"), "cand_id", "x", "y"), "single")
     several = stored(reached.join(single.select("scene_id"), "scene_id", "left_anti"), "several")
-    chosen = stored(greedy_bases(place.join(single.select("scene_id"), "scene_id", "left_anti"), several, most, separation).select("scene_id", "rank", "cand_id", "x", "y"), "chosen")
-    for _ in range(rounds):
+    site = ["scene_id", "rank", "cand_id", "x", "y"]
+    live, chosen, done = several, None, None
+    for _ in range(most):
         before = chosen
-        for rank in range(most):
-            base = chosen.where(F.col("rank") == rank)
-            mine = assign(several, chosen).join(base.select("scene_id", F.col("cand_id").alias("base_id")), ["scene_id", "base_id"]).select("scene_id", "drop_id")
-            mine = stored(mine.join(drops, ["scene_id", "drop_id"]).select("scene_id", F.lit(0).alias("group_id"), "drop_id", "x", "y"), "mine")
-            if mine.isEmpty():
-                continue
-            need = mine.groupBy("scene_id").agg(F.count("*").alias("need"))
-            fits = several.join(mine.select("scene_id", "drop_id"), ["scene_id", "drop_id"], "left_semi").groupBy("scene_id", "cand_id").agg(F.count("*").alias("n")).join(need, "scene_id").where("n = need").select("scene_id", "cand_id")
-            others = chosen.where(F.col("rank") != rank)
-            open_sites = apart(place.join(fits, ["scene_id", "cand_id"]).join(others.select("scene_id", "cand_id"), ["scene_id", "cand_id"], "left_anti"), others, separation)
-            best = ranked_sites(score_sites(open_sites.withColumn("group_id", F.lit(0)), mine, wind, m_per_px)).where("rank = 1").select("scene_id", F.lit(rank).alias("rank"), "cand_id", "x", "y")
-            best = stored(best, "best")
-            chosen = stored(others.union(base.join(best.select("scene_id"), "scene_id", "left_anti")).union(best), "chosen")
-        if chosen.exceptAll(before).isEmpty():
+        more = greedy_bases(place.join(live.select("scene_id").distinct(), "scene_id", "left_semi"), live, most, separation, before).select(*site)
+        chosen = stored(more if before is None else before.union(more), "chosen")
+        chosen = replaced(chosen, live, place, drops, wind, m_per_px, most, separation, rounds)
+        used = assign(live, chosen).select("scene_id", F.col("base_id").alias("cand_id")).distinct()
+        kept = chosen.join(used, ["scene_id", "cand_id"], "left_semi")
+        chosen = stored(kept.withColumn("rank", F.row_number().over(Window.partitionBy("scene_id").orderBy("rank")) - 1).select(*site), "chosen")
+        served = live.join(chosen.select("scene_id", "cand_id"), ["scene_id", "cand_id"], "left_semi").select("scene_id", "drop_id").distinct()
+        again = live.join(served, ["scene_id", "drop_id"], "left_anti").select("scene_id").distinct()
+        if before is not None:
+            again = again.join(chosen.exceptAll(before).union(before.exceptAll(chosen)).select("scene_id").distinct(), "scene_id", "left_semi")
+        again = stored(again, "again")
+        ended = chosen.join(again, "scene_id", "left_anti")
+        done = ended if done is None else done.union(ended)
+        chosen, live = chosen.join(again, "scene_id", "left_semi"), live.join(again, "scene_id", "left_semi")
+        if again.isEmpty():
             break
+    chosen = stored(done.union(chosen), "chosen")
     bases = single.union(chosen)
     assigned = stored(assign(reached, bases), "assigned")
     return bases.join(assigned.select("scene_id", F.col("base_id").alias("cand_id")).distinct(), ["scene_id", "cand_id"], "left_semi").select("scene_id", "rank", "cand_id", "x", "y"), assigned

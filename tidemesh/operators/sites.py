@@ -56,19 +56,30 @@ def apart(sites: DataFrame, chosen: DataFrame, least: float = D.SEPARATION) -> D
     return sites.join(others, (sites["scene_id"] == others["scene_id"]) & near, "left_anti")
 
 
-def greedy_bases(candidates: DataFrame, reached: DataFrame, most: int = D.MAX_BASES, separation: float = D.SEPARATION) -> DataFrame:
+def greedy_bases(candidates: DataFrame, reached: DataFrame, most: int = D.MAX_BASES, separation: float = D.SEPARATION, chosen: DataFrame | None = None) -> DataFrame:
     """scene_id, rank, cand_id, x, y, gain: greedy cover of all scenes at once, `most` rounds.
 
+    chosen (scene_id, cand_id, x, y) are bases that stand already: they take their places, drops and ranks, and what is
+    returned is added to them.
+
     A round takes in every scene the separated candidate that serves most uncovered drops, then the least total
     distance to them, then the smallest id; scenes without such a candidate are done.
     """
     open_drops, left = stored(reached, "reach"), candidates.select("scene_id", "cand_id", "x", "y")
-    picked = None
+    picked = room = None
+    if chosen is not None:
+        room = chosen.groupBy("scene_id").agg(F.count("*").cast("int").alias("_n"))
+        taken = open_drops.join(chosen.select("scene_id", "cand_id"), ["scene_id", "cand_id"], "left_semi").select("scene_id", "drop_id").distinct()
+        open_drops = stored(open_drops.join(taken, ["scene_id", "drop_id"], "left_anti"), "open")
+        left = stored(apart(left.join(chosen.select("scene_id", "cand_id"), ["scene_id", "cand_id"], "left_anti"), chosen, separation), "left")
     for rank in range(most):
         gain = open_drops.groupBy("scene_id", "cand_id").agg(F.count("*").alias("gain"), F.sum("distance_m").alias("cost"))
         ranked = left.join(gain, ["scene_id", "cand_id"])
         best = ranked.groupBy("scene_id").agg(F.max_by(F.struct("cand_id", "x", "y", "gain"), F.struct("gain", -F.round("cost", 6), -F.col("cand_id"))).alias("b"))
-        now = stored(best.select("scene_id", F.lit(rank).alias("rank"), "b.*"), "picked")
+        best = best.select("scene_id", F.lit(rank).alias("rank"), "b.*")
+        if room is not None:
+            best = best.join(room, "scene_id", "left").withColumn("rank", F.col("rank") + F.coalesce("_n", F.lit(0))).where(F.col("rank") < most).drop("_n")
+        now = stored(best, "picked")
         if now.isEmpty():
             break
         picked = now if picked is None else picked.union(now)

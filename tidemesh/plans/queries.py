@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions import colour, flight, geodesy
-from tidemesh.operators import grid, legs, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
+from tidemesh.operators import detours, grid, legs, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
 from tidemesh.operators.common import stored
 from tidemesh.sources import fixtures as X
 
@@ -400,13 +400,16 @@ def p8_original_points(spark, sf_dir):
 
 
 def w8_drop_points(spark, sf_dir):
-    """Drop points of regions of 200 and more: by size, at stations along the hull, on clear dry ground."""
+    """Drop points of regions of 200 and more: by size, at stations along the hull, on clear dry ground round the hull that
+    is no small island."""
     mask = X.mask(spark, sf_dir)
     labels = stored(regions.external(mask, W, H), "labels")
     large = stored(regions.large_regions(labels), "large")
     own = labels.join(large.select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi")
-    band = stored(placement.candidate_band(own, mask, W, H), "band")
-    stations = stored(placement.perimeter_stations(regions.hulls(own), large), "stations")
+    hulls = stored(regions.hulls(own), "hulls")
+    band = stored(placement.candidate_band(placement.hull_outline(hulls), mask, W, H), "band")
+    band = stored(placement.or_corners(placement.main_component(band, placement.dry_components(mask, W, H)), hulls), "band")
+    stations = stored(placement.perimeter_stations(hulls, large), "stations")
     many = placement.pick_at_stations(band, stations.join(large.where("n_drops > 1").select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi"))
     single = large.where("n_drops = 1").select("scene_id", "region_id")
     one = placement.nearest_to_line(band.join(single, ["scene_id", "region_id"], "left_semi"), large.select("scene_id", "region_id", "cx", "cy"))
@@ -447,18 +450,32 @@ def w11_ranked_sites(spark, sf_dir):
 
 
 def f13_repaired_crossings(spark, sf_dir):
-    """Crossings left after repair, from routes that serve each drop from the last site that reaches it."""
+    """Crossings left after repair, from routes that serve each drop from the last site that reaches it; the points of
+    detours round what is flooded now, and the bases that moved."""
     reached = straight_reach(spark, sf_dir)
     drops = X.drops(spark, sf_dir)
     homes = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("base_id"), "x", "y")
 
-    def replan(assigned):
+    mask = X.mask(spark, sf_dir)
+    wet = mask.select("scene_id", "x", "y", F.lit(0.0).alias("t_from"), F.lit(float("inf")).alias("t_to"))
+    wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
+
+    def replan(assigned, homes):
         return routes.closed_routes(sites.visit_order(drops.join(assigned, ["scene_id", "drop_id"]), homes), homes, 4)
 
     start = reached.groupBy("scene_id", "drop_id").agg(F.max("cand_id").alias("base_id"))
-    assigned, points, left = repair.repair(start, drops, reached, replan)
+    assigned, points, left = repair.repair(
+        start, drops, reached, replan, homes=homes,
+        reroute=lambda points, crossed: detours.detours(points, crossed, wet, wind, W, H, X.M_PER_PX),
+        nudge=lambda own, others, mine: repair.nudges(own, others, mine, mask, wind, X.M_PER_PX, W, H, separation=30.0),
+        reach_of=lambda own: sites.reach(own, drops, wind, X.M_PER_PX),
+    )
     counts = left.groupBy("scene_id").agg(F.count("*").alias("crossings"))
-    return assigned.groupBy("scene_id").agg(F.count("*").alias("drops"), F.countDistinct("base_id").alias("bases")).join(counts, "scene_id", "left").na.fill(0, ["crossings"])
+    moved = points.where("kind = 'home'").select("scene_id", "base_id", "x", "y").distinct().join(homes, ["scene_id", "base_id", "x", "y"], "left_anti")
+    moved = moved.groupBy("scene_id").agg(F.count("*").alias("moved"))
+    bends = points.groupBy("scene_id").agg(F.count_if(F.col("kind") == "bend").alias("bends"))
+    told = assigned.groupBy("scene_id").agg(F.count("*").alias("drops"), F.countDistinct("base_id").alias("bases"))
+    return told.join(counts, "scene_id", "left").join(bends, "scene_id", "left").join(moved, "scene_id", "left").na.fill(0, ["crossings", "bends", "moved"])
 
 
 def f12_nudges(spark, sf_dir):
