@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh.llm.common import saved, table
@@ -26,15 +26,15 @@ RINGS, BLOCK, CHUNK, SLICE = 64, 8192, 4096, 256
 EXACT, LEAST, MOST = 2.0**53, -(1 << 63), (1 << 63) - 1
 
 
-def scaled(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key as id and v, the vector's floor(256 * x) as doubles, which hold these integers exactly.
+def scaled(df: DataFrame, key: str, vector: str, *others: Column) -> DataFrame:
+    """key as id, the other columns, and v, the vector's floor(256 * x) as doubles, which hold these integers exactly.
 
-    Vectors null or with null or non-finite components (or such of 256 * x) are left out. Other columns are not read.
+    Vectors null or with null or non-finite components (or such of 256 * x) are left out. No more columns are read.
     """
     wide = F.transform(F.col(vector), lambda x: x.cast("double") * 256)
     fine = F.forall(wide, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
     whole = F.transform(wide, lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x))
-    return df.where(F.col(vector).isNotNull() & fine).select(F.col(key).alias("id"), whole.alias("v"))
+    return df.where(F.col(vector).isNotNull() & fine).select(F.col(key).alias("id"), *others, whole.alias("v"))
 
 
 def numbered(df: DataFrame) -> DataFrame:

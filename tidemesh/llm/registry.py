@@ -1,7 +1,7 @@
 """The corpus queries, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from tidemesh.llm import crf, divergence, divergence_trees, linkgraph, mixing, neardup, packing, pivots, sharding, substrings, toxicity, warc
+from tidemesh.llm import crf, divergence, divergence_trees, linkgraph, mixing, neardup, negatives, packing, pivots, sharding, substrings, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_curriculum_mix": mixing.op10_curriculum_mix,
         "op11_divergence_trees": divergence_trees.op11_divergence_trees,
+        "op12_segment_negatives": negatives.op12_segment_negatives,
         "op13_substring_doubling": substrings.op13_substring_doubling,
         "pipeline": corpus_pipeline.run,
     }
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_capture_index": warc.OP6_SQL,
         "op10_curriculum_mix": mixing.OP10_SQL,
         "op11_divergence_trees": divergence_trees.OP11_SQL,
+        "op12_segment_negatives": negatives.OP12_SQL,
         "op13_substring_doubling": substrings.OP13_SQL,
     }
