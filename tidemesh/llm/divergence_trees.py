@@ -40,7 +40,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, d) in held.items():
                 terms = list(n)
-                columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), pa.array([n[t] for t in terms], pa.int64()), pa.array([d[t] for t in terms], pa.int64())]
+                columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()), pa.array([n[t] for t in terms], pa.int64()), pa.array([d[t] for t in terms], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             held.clear()
 

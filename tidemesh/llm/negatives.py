@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh.llm.common import saved, scratch, small_batches, table
-from tidemesh.llm.pivots import LEAST, inner, matrix, scaled
+from tidemesh.llm.pivots import LEAST, MOST, inner, matrix, scaled
 
 #: Segments of a vector at the finest level (a power of two), vectors in a block, block summaries in a page, queries that
 #: meet a block or page at once, vectors that are scored at once.
@@ -57,8 +57,10 @@ class Miner:
     def __init__(self, width: int, unit: float):
         self.width, self.unit, self.size = width, unit, -(-max(width, 1) // SEGMENTS)
 
-    def units(self, score: np.ndarray) -> np.ndarray:
-        return np.asarray(score, float) / self.unit / self.unit
+    def units(self, floor: np.ndarray, cap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Floors and caps of scores in units; a long's ends stand for all that lies beyond."""
+        floor, cap = np.asarray(floor), np.asarray(cap)
+        return np.where(floor <= LEAST, -np.inf, floor / self.unit / self.unit), np.where(cap >= MOST, np.inf, cap / self.unit / self.unit)
 
     def slack(self) -> float:
         return 1e-9 * (self.width + 1)
@@ -88,7 +90,8 @@ class Miner:
             floor, cap = (np.stack(queries[c].to_numpy()) for c in ("floor", "cap"))
             ok = np.zeros(low.shape, bool)
             for k in range(floor.shape[1]):
-                ok |= (high >= self.units(floor[:, [k]])) & (low <= self.units(cap[:, [k]])) & (floor[:, [k]] <= cap[:, [k]])
+                least, most = self.units(floor[:, [k]], cap[:, [k]])
+                ok |= (high >= least) & (low <= most) & (floor[:, [k]] <= cap[:, [k]])
             i, j = np.nonzero(ok & ((queries["label"].to_numpy()[:, None] == blocks["label"].to_numpy()) == same))
             return pd.DataFrame({"query": queries["row"].to_numpy()[i], "cell": blocks["cell"].to_numpy()[j], "cut": blocks["cut"].to_numpy()[j]})
 
@@ -108,7 +111,7 @@ class Miner:
         return alive[order], top[order]
 
     def scan(self, k: int, seen: Accumulator | None = None):
-        """query, band, id, row, score: of a block the first k of each query and band, best first.
+        """query, band, none, id, row, score: of a block the first k of each query and band, best first.
 
         The vectors that are left after refining are scored in slices, best bound first, until no bound reaches the
         worst of k that were found.
@@ -119,27 +122,27 @@ class Miner:
             if len(queries) and len(vectors):
                 x, q = matrix(vectors["v"], self.width), matrix(queries["v"], self.width)
                 theirs, mine = (levels(np.stack(df["mean"].to_numpy()), np.stack(df["dev"].to_numpy()), self.size) for df in (vectors, queries))
-                ids, rows = vectors["id"].to_list(), vectors["row"].to_numpy()
+                ids, none, rows = (vectors[c].to_list() for c in ("id", "none", "row"))
+                numbers = np.array(rows)
                 for i, (own, floors, caps) in enumerate(zip(queries["row"], queries["floor"], queries["cap"], strict=True)):
                     for band, (floor, cap) in enumerate(zip(floors, caps, strict=True)):
                         if floor > cap:
                             continue
                         best: list[tuple] = []
-                        left, top = self.survivors(i, mine, theirs, self.units(floor), self.units(cap))
+                        left, top = self.survivors(i, mine, theirs, *self.units(floor, cap))
                         for at in range(0, len(left), SLICE):
-                            if top[at] < self.units(floor):
+                            if top[at] < self.units(floor, cap)[0]:
                                 break
                             some = left[at : at + SLICE]
                             score = inner(q[[i]], x[some])[0]
                             if seen is not None:
                                 seen.add(len(some))
-                            hit = np.flatnonzero((score >= floor) & (score <= cap) & (rows[some] != own))
-                            best += [(-int(score[h]), ids[some[h]] is None or ids[some[h]] != ids[some[h]], ids[some[h]], int(rows[some[h]])) for h in hit]
-                            best = sorted(best, key=lambda t: (t[0], t[1], 0 if t[1] else t[2], t[3]))[:k]
+                            hit = np.flatnonzero((score >= floor) & (score <= cap) & (numbers[some] != own))
+                            best = sorted(best + [(-int(score[h]), none[at_], ids[at_], rows[at_]) for h, at_ in zip(hit, some[hit].tolist(), strict=True)])[:k]
                             if len(best) == k:
                                 floor = max(floor, -best[-1][0])
-                        out += [(own, band, None if none else id_, row, -s) for s, none, id_, row in best]
-            return pd.DataFrame(out, columns=["query", "band", "id", "row", "score"]).astype({"id": "Int64", "query": "int64", "band": "int32", "row": "int64", "score": "int64"})
+                        out += [(own, band, none_, id_, row, -s) for s, none_, id_, row in best]
+            return pd.DataFrame(out, columns=["query", "band", "none", "id", "row", "score"]).astype({"query": "int64", "band": "int32", "none": "bool", "id": "int64", "row": "int64", "score": "int64"})
 
         return run
 
@@ -165,7 +168,7 @@ def met(asks: DataFrame, stock: DataFrame, key: list[str], run: Callable, schema
 
 
 def first_of(miner: Miner, queries: DataFrame, rows: DataFrame, blocks: DataFrame, same: bool, k: int, seen: Accumulator | None) -> DataFrame:
-    """query, band, rank, id, row, score: the first k of each query and band among rows of the same label, or of others.
+    """query, band, rank, none, id, row, score: the first k of each query and band among rows of the same label, or of others.
 
     queries has row, label, v, mean, dev, floor and cap, the last two a list of bands each; scores outside don't count.
     """
@@ -173,8 +176,8 @@ def first_of(miner: Miner, queries: DataFrame, rows: DataFrame, blocks: DataFram
     asks = queries.drop("v").withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages))))
     pairs = saved(met(asks, blocks, ["page"], miner.admitted(same), "query long, cell long, cut long"), "asked")
     asks = pairs.join(queries.withColumnRenamed("row", "query"), "query").withColumnRenamed("query", "row").drop("label")
-    found = met(asks, rows.drop("label"), ["cell", "cut"], miner.scan(k, seen), "query long, band int, id long, row long, score long")
-    order = F.row_number().over(Window.partitionBy("query", "band").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row"))
+    found = met(asks, rows.drop("label"), ["cell", "cut"], miner.scan(k, seen), "query long, band int, none boolean, id long, row long, score long")
+    order = F.row_number().over(Window.partitionBy("query", "band").orderBy(F.desc("score"), "none", "id", "row"))
     return saved(saved(found, "found").withColumn("rank", order).where(F.col("rank") <= k), "first")
 
 
@@ -195,10 +198,10 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 1
     spark = vectors.sparkSession
     small_batches(spark, rows=2048)
     with scratch(spark):
-        rows = saved(vectors.where("label IS NOT NULL").select("id", F.col("label").cast("long").alias("label"), "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
+        rows = saved(vectors.where("label IS NOT NULL").select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), F.col("label").cast("long").alias("label"), "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
         width, unit = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
         miner = Miner(width or 0, unit or 1.0)
-        shape = "id long, label long, v array<double>, row long, mean array<double>, dev array<double>"
+        shape = "id long, none boolean, label long, v array<double>, row long, mean array<double>, dev array<double>"
         rows, blocks = dealt(rows.mapInPandas(miner.summed, f"{shape}, code int"))
         sample = rows.orderBy(F.xxhash64("row", F.lit(1)), "row").limit(SAMPLE).select("row", "label", "v").collect()
         known, known_rows, known_labels = matrix([r["v"] for r in sample], miner.width), np.array([r["row"] for r in sample]), np.array([r["label"] for r in sample])
@@ -210,11 +213,11 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 1
                 for own, label, s in zip(pdf["row"], pdf["label"], inner(matrix(pdf["v"], miner.width), known), strict=True):
                     s = np.sort(s[(known_labels == label) & (known_rows != own)])
                     low_.append([int(s[-positives]) if len(s) >= positives else LEAST])
-                yield pdf.assign(floor=low_, cap=[[2**63 - 1]] * len(pdf))
+                yield pdf.assign(floor=low_, cap=[[MOST]] * len(pdf))
 
-        anchors = saved(rows.where(anchor).select("id", "label", "v", "row", "mean", "dev"), "anchors")
+        anchors = saved(rows.where(f"NOT none AND ({anchor})").select("id", "none", "label", "v", "row", "mean", "dev"), "anchors")
         asking = saved(anchors.mapInPandas(floors, f"{shape}, floor array<long>, cap array<long>"), "asking")
-        first = first_of(miner, asking.drop("id"), rows, blocks, True, positives, seen)
+        first = first_of(miner, asking.drop("id", "none"), rows, blocks, True, positives, seen)
 
         def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """The band of each positive; its floor rises to the worst of `negatives` of the sample that lie in it."""
@@ -222,7 +225,7 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 1
                 floor, cap = [], []
                 for label, scores, s in zip(pdf["label"], pdf["scores"], inner(matrix(pdf["v"], miner.width), known), strict=True):
                     s = np.sort(s[known_labels != label])
-                    bottom, top = [max(-(-low * int(p) // 100), LEAST) for p in scores], [min(high * int(p) // 100, 2**63 - 1) for p in scores]
+                    bottom, top = [max(-(-low * int(p) // 100), LEAST) for p in scores], [min(high * int(p) // 100, MOST) for p in scores]
                     for i, (a, b) in enumerate(zip(bottom, top, strict=True)):
                         inside = s[(s >= a) & (s <= b)]
                         bottom[i] = int(inside[-negatives]) if len(inside) >= negatives else a
@@ -233,9 +236,9 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 1
         scores = first.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda p: p["score"]).alias("scores"))
         told = anchors.join(scores, anchors["row"] == scores["query"]).drop("query")
         asking = saved(told.mapInPandas(bands, f"{shape}, floor array<long>, cap array<long>"), "asking")
-        hard = first_of(miner, asking.drop("id"), rows, blocks, False, negatives, seen)
-        plus = first.select("query", (F.col("rank") - 1).alias("band"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-        minus = hard.select("query", "band", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+        hard = first_of(miner, asking.drop("id", "none"), rows, blocks, False, negatives, seen)
+        plus = first.select("query", (F.col("rank") - 1).alias("band"), F.when(~F.col("none"), F.col("id")).alias("positive_id"), F.col("score").alias("positive_score"))
+        minus = hard.select("query", "band", "rank", F.when(~F.col("none"), F.col("id")).alias("negative_id"), F.col("score").alias("negative_score"))
         named = anchors.select(F.col("row").alias("query"), F.col("id").alias("anchor_id"))
         result = minus.join(plus, ["query", "band"]).join(named, "query")
         return saved(result.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives", keep=True)
