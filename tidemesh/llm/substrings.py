@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def winnowed(short: np.ndarray, fits: np.ndarray, span: int) -> np.ndarray:
 def _lots(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose texts have about limit bytes together; a longer text is a run of its own."""
     size, start = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch["text"]).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
         if size and size + n > limit:
             yield start, i
             size, start = 0, i
@@ -106,7 +107,7 @@ def _lists(of: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The elements of a column of lists and the row of each; null is an empty list."""
     column = batch[name]
-    n = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
 
 
