@@ -42,8 +42,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _made.reset(outer)
         delete(spark, *paths)
-        gc.collect()
-        spark.sparkContext._jvm.java.lang.System.gc()  # lets Spark's cleaner remove the shuffles of frames that are gone
+        swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles of frames that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def delete(spark: SparkSession, *paths: str) -> None:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemesh.llm.common import saved, scratch, small_batches, table
+from tidemesh.llm.common import saved, scratch, small_batches, swept, table
 
 #: Words of a window whose repeats are removed, and of the windows that come first.
 WINDOW, FIRST = 20, 10
@@ -204,9 +204,12 @@ def repeats(nodes: DataFrame, window: int = WINDOW, first: int = FIRST) -> tuple
 
     A driver round for each length; to the driver comes whether any window is left.
     """
+    spark = nodes.sparkSession
+    swept(spark)
     level = saved(_wanted_level(nodes, _first_level(nodes, window, first), window, first), "windows")
     length, again, lengths = window, None, []
     while True:
+        swept(spark)
         judged = saved(_judged(level, length), "judged")
         again = judged.where(F.size("again") > 0).select("node", "again") if again is None else again
         lengths.append(judged.where("any").select("node", F.lit(length).cast("long").alias("length")))
