@@ -183,6 +183,7 @@ def test_negatives_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(negatives, "CHUNK", 8 if block == 16 else 2048)
     monkeypatch.setattr(negatives, "PAGE", 8 if block == 16 else 256)
     monkeypatch.setattr(negatives, "SAMPLE", 40)
+    monkeypatch.setattr(negatives, "TILE", 8 if block == 16 else 512)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(4, 24))
     rows = [(i if i != 77 else None, int(i % 4) if i % 50 else None, [float(np.float32(x)) for x in centres[(i + i // 40) % 4] + 0.3 * rng.normal(size=24)]) for i in range(300)]

@@ -21,8 +21,8 @@ from tidemesh.llm.common import saved, scratch, small_batches, table
 from tidemesh.llm.pivots import LEAST, MOST, inner, matrix, scaled
 
 #: Segments of a vector at the finest level (a power of two), vectors in a block, block summaries in a page, queries that
-#: meet a block or page at once, vectors that are scored at once.
-SEGMENTS, BLOCK, PAGE, CHUNK, SLICE = 16, 4096, 256, 2048, 64
+#: meet a block or page at once, vectors of a block that are refined at once.
+SEGMENTS, BLOCK, PAGE, CHUNK, TILE = 16, 8192, 256, 2048, 512
 #: Vectors of the bounded sample from which the first floors come, whatever the table's size.
 SAMPLE = 1024
 
@@ -85,78 +85,87 @@ class Miner:
 
         def run(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(blocks):
-                return pd.DataFrame({"query": [], "cell": [], "cut": []}).astype("int64")
+                return pd.DataFrame({"query": [], "block": []}).astype("int64")
             low, high = self.block_bounds(queries, blocks)
             floor, cap = (np.stack(queries[c].to_numpy()) for c in ("floor", "cap"))
             ok = np.zeros(low.shape, bool)
             for k in range(floor.shape[1]):
                 least, most = self.units(floor[:, [k]], cap[:, [k]])
                 ok |= (high >= least) & (low <= most) & (floor[:, [k]] <= cap[:, [k]])
-            i, j = np.nonzero(ok & ((queries["label"].to_numpy()[:, None] == blocks["label"].to_numpy()) == same))
-            return pd.DataFrame({"query": queries["row"].to_numpy()[i], "cell": blocks["cell"].to_numpy()[j], "cut": blocks["cut"].to_numpy()[j]})
+            label, first, last = queries["label"].to_numpy()[:, None], blocks["first"].to_numpy(), blocks["last"].to_numpy()
+            ok &= (first <= label) & (label <= last) if same else (first != label) | (label != last)
+            i, j = np.nonzero(ok)
+            return pd.DataFrame({"query": queries["row"].to_numpy()[i], "block": blocks["block"].to_numpy()[j]})
 
         return run
 
-    def survivors(self, q: int, mine: list, theirs: list, floor: float, cap: float) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of a block that no level excludes for query q, highest upper bound first, and those bounds."""
-        alive, top = np.arange(len(theirs[0][0])), np.zeros(0)
+    def left(self, mine: list, theirs: list, part: slice, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, vectors of the part, which of their pairs): what no level excludes from scores of least to most.
+
+        A query or vector none of whose pairs is left takes no part in the next level.
+        """
+        i, j = np.arange(len(least)), np.arange(part.start, min(part.stop, len(theirs[0][0])))
+        ok = np.ones((len(i), len(j)), bool)
         for (mq, dq, n), (mx, dx, _) in zip(mine, theirs, strict=True):
-            middle, room = n * (mx[alive] @ mq[q]), dx[alive] @ dq[q] + self.slack()
-            top = middle + room
-            ok = (top >= floor) & (middle - room <= cap)
-            alive, top = alive[ok], top[ok]
-            if not len(alive):
-                break
-        order = np.argsort(-top, kind="stable")
-        return alive[order], top[order]
-
-    def scan(self, k: int, seen: Accumulator | None = None):
+            middle, room = n * (mq[i] @ mx[j].T), dq[i] @ dx[j].T + self.slack()
+            ok &= (middle + room >= least[i, None]) & (middle - room <= most[i, None])
+            rows, columns = ok.any(1), ok.any(0)
+            i, j, ok = i[rows], j[columns], ok[rows][:, columns]
+        return i, j, ok
+
+    def scan(self, k: int, same: bool, seen: Accumulator | None = None):
         """query, band, none, id, row, score: of a block the first k of each query and band, best first.
 
-        The vectors that are left after refining are scored in slices, best bound first, until no bound reaches the
-        worst of k that were found.
+        Part after part is refined with floors that rise to the worst of k that were found; what is left is scored.
         """
 
         def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple] = []
+            best: dict[tuple[int, int], list[tuple]] = {}
             if len(queries) and len(vectors):
+                vectors = vectors.sort_values(["label", "code", "row"])
                 x, q = matrix(vectors["v"], self.width), matrix(queries["v"], self.width)
                 theirs, mine = (levels(np.stack(df["mean"].to_numpy()), np.stack(df["dev"].to_numpy()), self.size) for df in (vectors, queries))
-                ids, none, rows = (vectors[c].to_list() for c in ("id", "none", "row"))
-                numbers = np.array(rows)
-                for i, (own, floors, caps) in enumerate(zip(queries["row"], queries["floor"], queries["cap"], strict=True)):
-                    for band, (floor, cap) in enumerate(zip(floors, caps, strict=True)):
-                        if floor > cap:
-                            continue
-                        best: list[tuple] = []
-                        left, top = self.survivors(i, mine, theirs, *self.units(floor, cap))
-                        for at in range(0, len(left), SLICE):
-                            if top[at] < self.units(floor, cap)[0]:
-                                break
-                            some = left[at : at + SLICE]
-                            score = inner(q[[i]], x[some])[0]
-                            if seen is not None:
-                                seen.add(len(some))
-                            hit = np.flatnonzero((score >= floor) & (score <= cap) & (numbers[some] != own))
-                            best = sorted(best + [(-int(score[h]), none[at_], ids[at_], rows[at_]) for h, at_ in zip(hit, some[hit].tolist(), strict=True)])[:k]
-                            if len(best) == k:
-                                floor = max(floor, -best[-1][0])
-                        out += [(own, band, none_, id_, row, -s) for s, none_, id_, row in best]
+                ids, none, rows, labels = (vectors[c].to_numpy() for c in ("id", "none", "row", "label"))
+                own, label = queries["row"].to_numpy(), queries["label"].to_numpy()
+                floor, cap = (np.stack(queries[c].to_numpy()).astype(np.int64) for c in ("floor", "cap"))
+                for at in range(0, len(x), TILE):
+                    void = floor > cap
+                    least, most = self.units(np.where(void, MOST, floor).min(1), np.where(void, LEAST, cap).max(1))
+                    least[void.all(1)] = np.inf
+                    i, j, ok = self.left(mine, theirs, slice(at, at + TILE), least, most)
+                    ok &= ((label[i, None] == labels[j]) == same) & (own[i, None] != rows[j])
+                    score = inner(q[i], x[j])
+                    if seen is not None:
+                        seen.add(score.size)
+                    for band in range(floor.shape[1]):
+                        hit = ok & (score >= floor[i, None, band]) & (score <= cap[i, None, band])
+                        for a in np.flatnonzero(hit.any(1)):
+                            c = np.flatnonzero(hit[a])
+                            if len(c) > k:
+                                c = c[score[a, c] >= np.partition(score[a, c], -k)[-k]]
+                            found = zip((-score[a, c]).tolist(), *(column[j[c]].tolist() for column in (none, ids, rows)), strict=True)
+                            best[i[a], band] = first = sorted([*best.get((i[a], band), []), *found])[:k]
+                            if len(first) == k:
+                                floor[i[a], band] = max(floor[i[a], band], -first[-1][0])
+                out = [(own[n], band, none_, id_, row, -s) for (n, band), first in best.items() for s, none_, id_, row in first]
+            else:
+                out = []
             return pd.DataFrame(out, columns=["query", "band", "none", "id", "row", "score"]).astype({"query": "int64", "band": "int32", "none": "bool", "id": "int64", "row": "int64", "score": "int64"})
 
         return run
 
 
-def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks): rows with cell and cut, a block of about BLOCK rows of one label and one code (the signs of the
-    means of four quarters); blocks with the ranges of means and the most of deviations of each segment, and their page."""
-    cells = saved(rows.groupBy("label", "code").agg(F.ceil(F.count("*") / BLOCK).alias("cuts")).withColumn("cell", F.monotonically_increasing_id()), "cells")
-    rows = saved(rows.join(cells, ["label", "code"]).withColumn("cut", F.pmod(F.xxhash64("row"), "cuts")).drop("code", "cuts"), "dealt")
+def dealt(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks): the n rows with block, about BLOCK rows next to each other by label and code (the signs of the means
+    of four quarters); blocks with their labels from first to last, and the ranges of means and the most of deviations of
+    each segment. A label or code of many rows goes on through blocks."""
+    parts = max(1, -(-n // BLOCK))
+    rows = rows.repartitionByRange(parts, "label", "code", F.xxhash64("row")).withColumn("block", F.spark_partition_id().cast("long"))
+    rows = saved(rows, "dealt")
     ends = [f(F.col(c)[s]).alias(f"{label}{s}") for f, c, label in ((F.min, "mean", "low"), (F.max, "mean", "high"), (F.max, "dev", "most")) for s in range(SEGMENTS)]
-    blocks = rows.groupBy("cell", "cut", "label").agg(*ends)
-    blocks = saved(blocks.select("cell", "cut", "label", *(F.array(*(f"{c}{s}" for s in range(SEGMENTS))).alias(c) for c in ("low", "high", "most"))), "blocks")
-    pages = -(-max(blocks.count(), 1) // PAGE)
-    return rows, blocks.withColumn("page", F.pmod(F.xxhash64("cell", "cut"), F.lit(pages)).cast("int"))
+    blocks = rows.groupBy("block").agg(F.min("label").alias("first"), F.max("label").alias("last"), *ends)
+    blocks = blocks.select("block", "first", "last", *(F.array(*(f"{c}{s}" for s in range(SEGMENTS))).alias(c) for c in ("low", "high", "most")))
+    return rows, saved(blocks.withColumn("page", F.expr(f"block div {PAGE}")), "blocks")
 
 
 def met(asks: DataFrame, stock: DataFrame, key: list[str], run: Callable, schema: str) -> DataFrame:
@@ -174,9 +183,9 @@ def first_of(miner: Miner, queries: DataFrame, rows: DataFrame, blocks: DataFram
     """
     pages = blocks.agg(F.max("page")).first()[0] or 0
     asks = queries.drop("v").withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages))))
-    pairs = saved(met(asks, blocks, ["page"], miner.admitted(same), "query long, cell long, cut long"), "asked")
-    asks = pairs.join(queries.withColumnRenamed("row", "query"), "query").withColumnRenamed("query", "row").drop("label")
-    found = met(asks, rows.drop("label"), ["cell", "cut"], miner.scan(k, seen), "query long, band int, none boolean, id long, row long, score long")
+    pairs = saved(met(asks, blocks, ["page"], miner.admitted(same), "query long, block long"), "asked")
+    asks = pairs.join(queries.withColumnRenamed("row", "query"), "query").withColumnRenamed("query", "row")
+    found = met(asks, rows, ["block"], miner.scan(k, same, seen), "query long, band int, none boolean, id long, row long, score long")
     order = F.row_number().over(Window.partitionBy("query", "band").orderBy(F.desc("score"), "none", "id", "row"))
     return saved(saved(found, "found").withColumn("rank", order).where(F.col("rank") <= k), "first")
 
@@ -193,16 +202,16 @@ def mine(vectors: DataFrame, anchor: str, positives: int = 5, negatives: int = 1
     positives or negatives have no rows, nor have empty tables.
 
     All bounds hold for all rows: nothing is sampled but the SAMPLE rows that give the first floors. To the driver come
-    those, a sum, a maximum and the number of blocks. seen counts the exact scores of blocks.
+    those, two maxima, the number of rows and that of pages. seen counts the exact scores of blocks.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=2048)
     with scratch(spark):
         rows = saved(vectors.where("label IS NOT NULL").select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), F.col("label").cast("long").alias("label"), "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
-        width, unit = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+        width, unit, n = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs))), F.count("*")).first()
         miner = Miner(width or 0, unit or 1.0)
         shape = "id long, none boolean, label long, v array<double>, row long, mean array<double>, dev array<double>"
-        rows, blocks = dealt(rows.mapInPandas(miner.summed, f"{shape}, code int"))
+        rows, blocks = dealt(rows.mapInPandas(miner.summed, f"{shape}, code int"), n)
         sample = rows.orderBy(F.xxhash64("row", F.lit(1)), "row").limit(SAMPLE).select("row", "label", "v").collect()
         known, known_rows, known_labels = matrix([r["v"] for r in sample], miner.width), np.array([r["row"] for r in sample]), np.array([r["label"] for r in sample])
 
