@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemesh.operators.grid import cost
+from tidemesh.operators.grid import nearest_source
 
 
 def leg_status(legs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -34,10 +34,9 @@ def attach_routed(legs: DataFrame, by_leg: DataFrame, by_drop: DataFrame) -> Dat
     return told.withColumn("distance_m", F.coalesce("_leg", "_drop", "straight_m")).drop("_leg", "_drop")
 
 
-def territories(fields: DataFrame) -> DataFrame:
-    """scene_id, cx, cy, base_id of the least field (source_id is the base); ties to the smaller base."""
-    least = fields.groupBy("scene_id", "cx", "cy").agg(F.min(F.struct(F.round(cost(), 9).alias("d"), "source_id")).alias("b"))
-    return least.select("scene_id", "cx", "cy", F.col("b.source_id").alias("base_id"))
+def territories(sources: DataFrame, free: DataFrame) -> DataFrame:
+    """scene_id, cx, cy, base_id: the base whose sources (scene_id, source_id, cx, cy) are nearest, ties to the smaller."""
+    return nearest_source(sources, free).select("scene_id", "cx", "cy", F.col("source_id").alias("base_id"))
 
 
 def territory_violations(territory: DataFrame, drops: DataFrame) -> DataFrame:

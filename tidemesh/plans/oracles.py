@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemesh import defaults as D
-from tidemesh.operators import masks, mission, spread, weather
+from tidemesh.operators import grid, masks, mission, spread, weather
 from tidemesh.sources.fixtures import HEIGHT as H
 from tidemesh.sources.fixtures import M_PER_PX as M
 from tidemesh.sources.fixtures import WIDTH as W
@@ -304,3 +304,57 @@ ORACLES["u3_unserved"] = with_views("candidates drops scenes", f"""{_BASES}, n A
 ORACLES["q4_over_limit"] = "SELECT scene_id, base_id, sortie, battery FROM (" + ORACLES["a6_sortie_battery"] + ") WHERE over"
 #: The same crossings, with each drop served from the last site that reaches it.
 ORACLES["j9_crossings_far"] = ORACLES["j9_crossings"].replace(_ASSIGN, "assigned AS MATERIALIZED (SELECT scene_id, drop_id, max(cand_id) AS base_id FROM reached GROUP BY ALL)")
+
+_CX, _CY = W // 5, H // 5
+_MOVES = "(VALUES (0, 0, 0, 0), " + ", ".join(f"({a}, {b}, {int(not (a and b))}, {int(bool(a and b))})" for a, b in grid.STEPS) + ") m(dx, dy, s, g)"
+_FREE = f"""grown AS ({_dilated('mask', masks.square(1))}), blocked AS (SELECT DISTINCT scene_id, x // 5 AS cx, y // 5 AS cy FROM grown), free AS MATERIALIZED (
+  FROM (SELECT scene_id, cx, cy FROM scenes, (SELECT unnest(range(0, {_CX}))::INT AS cx), (SELECT unnest(range(0, {_CY}))::INT AS cy)) ANTI JOIN blocked USING (scene_id, cx, cy))"""
+_CELL = f"least({_CX - 1}, x // 5)::INT AS cx, least({_CY - 1}, y // 5)::INT AS cy"
+# A point on a blocked cell goes to the first free one of the ring whose centre a dry line reaches.
+_LOCATED = f"""{_FREE}, points AS (SELECT 0 AS side, scene_id, cand_id AS id, x, y FROM candidates UNION ALL SELECT 1, scene_id, drop_id, x, y FROM drops), own AS MATERIALIZED (
+  SELECT side, scene_id, id, x, y, {_CELL} FROM points SEMI JOIN scenes USING (scene_id)), ring(k, dx, dy) AS (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(grid.ring_order(4)) if k)}), stuck AS (
+  FROM own ANTI JOIN free USING (scene_id, cx, cy)), near AS MATERIALIZED (
+  SELECT o.side, o.scene_id, o.id, o.x, o.y, k, f.cx, f.cy, f.cx * 5 + 2 AS qx, f.cy * 5 + 2 AS qy FROM stuck o CROSS JOIN ring JOIN free f ON f.scene_id = o.scene_id AND f.cx = o.cx + dx AND f.cy = o.cy + dy), line AS (
+  SELECT *, unnest(range(0, n + 1)) / n::DOUBLE AS t FROM (SELECT *, greatest(abs(qx - x), abs(qy - y), 1) AS n FROM near)), wet AS (
+  SELECT DISTINCT side, l.scene_id, id, k FROM line l JOIN mask m ON m.scene_id = l.scene_id AND m.x = floor(l.x + (qx - l.x) * t + 0.5) AND m.y = floor(l.y + (qy - l.y) * t + 0.5)), moved AS (
+  SELECT side, scene_id, id, min({{'k': k, 'cx': cx, 'cy': cy}}) AS b FROM near ANTI JOIN wet USING (side, scene_id, id, k) GROUP BY ALL), located AS MATERIALIZED (
+  SELECT side, scene_id, id, cx, cy, false AS snapped FROM own SEMI JOIN free USING (scene_id, cx, cy)
+  UNION ALL SELECT side, scene_id, id, b.cx, b.cy, true FROM stuck LEFT JOIN moved USING (side, scene_id, id))"""
+
+
+def _walk(start: str, key: str, least: str, more: str, rounds: int) -> str:
+    """Best paths of up to so many steps: every round, all cells offer their paths to their neighbours and themselves."""
+    return f"""walk AS (
+  SELECT {key}, {least}, 0 AS k FROM ({start}) SEMI JOIN free USING (scene_id, cx, cy) GROUP BY ALL
+  UNION ALL SELECT {key}, {least}, k + 1 AS k FROM (
+    SELECT scene_id, w.b.source_id AS source_id, w.cx + dx AS cx, w.cy + dy AS cy, w.b.ns + s AS ns, w.b.nd + g AS nd, k FROM walk w, {_MOVES} WHERE k < {rounds})
+  SEMI JOIN free USING (scene_id, cx, cy) WHERE {more} GROUP BY {key}, k), field AS MATERIALIZED (SELECT * FROM walk WHERE k = {rounds})"""
+
+
+_LEAST = "min({'d': ns + nd * sqrt(2), 'source_id': source_id, 'ns': ns, 'nd': nd}) AS b"
+_MOST = (1 - D.RESERVE) * D.ENDURANCE_MIN * 60 * D.SPEED_MPS / 2 / (5 * M)
+_ROUTED = f"""{_LOCATED}, {_walk("SELECT scene_id, cx, cy, id AS source_id, 0 AS ns, 0 AS nd FROM located WHERE side = 0", "scene_id, source_id, cx, cy", _LEAST, f"ns + nd * sqrt(2) <= {_MOST!r}::DOUBLE", int(_MOST))}, reached AS MATERIALIZED (SELECT * FROM (
+  SELECT f.scene_id, f.source_id AS cand_id, l.id AS drop_id, b.d * {5 * M}::DOUBLE AS distance_m FROM field f JOIN located l ON l.side = 1 AND l.scene_id = f.scene_id AND l.cx = f.cx AND l.cy = f.cy)
+  WHERE {_NEED} <= 1 - {D.RESERVE}::DOUBLE)""".replace(f"{30.0}::DOUBLE / 3.6", "CASE WHEN scene_id IN (SELECT scene_id FROM scenes) THEN 30.0::DOUBLE ELSE 0 END / 3.6")
+_VIEWS = "candidates drops mask scenes"
+ORACLES["f3_located"] = with_views(_VIEWS, f"{_LOCATED} SELECT scene_id, id AS drop_id, cx, cy, snapped FROM located WHERE side = 1", True)
+ORACLES["f5_routed_reach"] = with_views(_VIEWS, f"{_ROUTED} SELECT scene_id, cand_id, drop_id, round(distance_m, 6) AS distance_m FROM reached", True)
+ORACLES["w2_routed_assignment"] = with_views(_VIEWS, f"{_ROUTED}, {_ASSIGN} SELECT scene_id, drop_id, base_id, round(distance_m, 6) AS distance_m FROM assigned", True)
+ORACLES["f1_routed_bases"] = with_views(_VIEWS, f"{_BASES.replace(_REACH, _ROUTED)} SELECT scene_id, rank, cand_id, x, y, gain FROM picked{D.MAX_BASES}", True)
+_SITES = f"SELECT scene_id, {_CELL}, cand_id AS source_id, 0 AS ns, 0 AS nd FROM candidates"
+_FIELD = f"""{_FREE}, {_walk(_SITES, "scene_id, source_id, cx, cy", _LEAST, "ns + nd * sqrt(2) <= 20", 20)}"""
+ORACLES["f4_distance_field"] = with_views(_VIEWS, f"{_FIELD} SELECT scene_id, source_id, count(*) AS cells, sum(b.ns)::BIGINT AS straight, sum(b.nd)::BIGINT AS diagonal FROM field GROUP BY ALL", True)
+ORACLES["f6_paths"] = with_views(_VIEWS, f"""{_FIELD}, back AS MATERIALIZED (
+  SELECT a.scene_id, a.source_id, a.cx, a.cy, min({{'t': round(n.b.d + sqrt(abs(n.cx - a.cx) + abs(n.cy - a.cy)), 9), 'py': n.cy, 'px': n.cx}}) AS p FROM field a CROSS JOIN {_MOVES}
+  JOIN field n ON n.scene_id = a.scene_id AND n.source_id = a.source_id AND n.cx = a.cx + dx AND n.cy = a.cy + dy AND n.b.d < a.b.d GROUP BY ALL), path AS (
+  SELECT f.scene_id, f.source_id, drop_id AS goal_id, 0 AS step, f.cx, f.cy FROM (SELECT scene_id, drop_id, {_CELL} FROM drops) d JOIN field f USING (scene_id, cx, cy)
+  UNION ALL SELECT scene_id, source_id, goal_id, step + 1, p.px, p.py FROM path JOIN back USING (scene_id, source_id, cx, cy))
+  SELECT scene_id, source_id, goal_id, step, cx, cy FROM path""", True)
+ORACLES["w13_territories"] = with_views(_VIEWS, f"""{_REACH}, {_ASSIGN}, {_FREE}, mine AS MATERIALIZED (SELECT scene_id, drop_id, base_id, {_CELL} FROM assigned JOIN drops USING (scene_id, drop_id)),
+  {_walk(f"{_SITES} UNION ALL SELECT scene_id, cx, cy, base_id, 0, 0 FROM mine", "scene_id, cx, cy", _LEAST, "true", 150)}, bad AS (
+  SELECT m.scene_id, count(*) FILTER (b.source_id <> base_id) AS violations, count(*) FILTER (b IS NULL) AS unreachable FROM mine m LEFT JOIN field USING (scene_id, cx, cy) GROUP BY m.scene_id)
+  SELECT scene_id, cells, bases, checksum, coalesce(violations, 0) AS violations, coalesce(unreachable, 0) AS unreachable FROM (
+    SELECT scene_id, count(*) AS cells, count(DISTINCT b.source_id) AS bases, sum((cx * 100 + cy) * b.source_id)::BIGINT AS checksum FROM field GROUP BY scene_id) LEFT JOIN bad USING (scene_id)""", True)
+ORACLES["a12_outcomes"] = f"""WITH x AS ({ORACLES["j9_crossings_far"]}), s AS ({ORACLES["a7_reach_summary"]}), n AS (
+  SELECT scene_id, count(DISTINCT b) AS n FROM (SELECT scene_id, drop_id, max(cand_id) AS b FROM ({ORACLES["j8_reach"]}) GROUP BY ALL) GROUP BY scene_id)
+  SELECT s.scene_id, CASE WHEN s.scene_id IN (SELECT scene_id FROM x) THEN 'unresolved' WHEN mode = 'multi' THEN 'multi_' || n ELSE mode END AS outcome FROM s LEFT JOIN n USING (scene_id)"""

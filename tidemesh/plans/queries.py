@@ -282,10 +282,56 @@ def q1_mission_checks(spark, sf_dir):
     return mission.problems(X.mission_raw(spark, sf_dir))
 
 
+def _free(spark, sf_dir):
+    """The free cells of 5 pixels, written once, as every round of a wave meets them."""
+    return stored(grid.free_cells(masks.block_occupancy(X.mask(spark, sf_dir), 5, W, H), X.scenes(spark, sf_dir), 5), "free")
+
+
+def routed_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each site serves alone over routed distances, ends on blocked cells being moved to free ones near."""
+    free, scenes, mask = _free(spark, sf_dir), X.scenes(spark, sf_dir), X.mask(spark, sf_dir)
+    own = X.candidates(spark, sf_dir).withColumn("side", F.lit(0)).withColumnRenamed("cand_id", "id")
+    every = own.unionByName(X.drops(spark, sf_dir).withColumn("side", F.lit(1)).withColumnRenamed("drop_id", "id"))
+    placed = stored(grid.located(every.select("scene_id", F.struct("side", "id").alias("id"), "x", "y"), free, mask, scenes, 5), "placed")
+    sources, targets = (placed.where(F.col("id.side") == side).select("scene_id", F.col("id.id").alias(name), "cx", "cy") for side, name in enumerate(("source_id", "target_id")))
+    most = (1 - D.RESERVE) * D.ENDURANCE_MIN * 60 * D.SPEED_MPS / 2
+    metres = grid.routed_distances(sources, targets, free, 5, X.M_PER_PX, most).select("scene_id", F.col("source_id").alias("cand_id"), F.col("target_id").alias("drop_id"), "distance_m")
+    wind = scenes.select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
+    return sites.reach(X.candidates(spark, sf_dir), X.drops(spark, sf_dir), wind, X.M_PER_PX, distances=metres)
+
+
+def f5_routed_reach(spark, sf_dir):
+    return routed_reach(spark, sf_dir).withColumn("distance_m", F.round("distance_m", 6))
+
+
+def f3_located(spark, sf_dir):
+    """The cell of every drop, its own or the nearest free one that a dry line reaches."""
+    points = X.drops(spark, sf_dir).withColumnRenamed("drop_id", "id")
+    told = grid.located(points, _free(spark, sf_dir), X.mask(spark, sf_dir), X.scenes(spark, sf_dir), 5)
+    return told.select("scene_id", F.col("id").alias("drop_id"), "cx", "cy", "snapped")
+
+
+def w2_routed_assignment(spark, sf_dir):
+    return sites.assign(routed_reach(spark, sf_dir)).withColumn("distance_m", F.round("distance_m", 6))
+
+
+def f1_routed_bases(spark, sf_dir):
+    return sites.greedy_bases(X.candidates(spark, sf_dir), routed_reach(spark, sf_dir), separation=60.0)
+
+
+def f6_paths(spark, sf_dir):
+    """A shortest path over free cells from every drop within 20 cells of a site that stands dry, back to that site."""
+    free = _free(spark, sf_dir)
+    cell = (flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
+    own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), *cell)
+    field = stored(grid.distance_field(own, free, 20.0), "field")
+    goals = X.drops(spark, sf_dir).select("scene_id", F.col("drop_id").alias("goal_id"), *cell).join(own.select("scene_id", "source_id"), "scene_id")
+    return grid.path_cells(field, goals.select("scene_id", "source_id", "goal_id", "cx", "cy"))
+
+
 def f4_distance_field(spark, sf_dir):
     """Routed distances of the launch sites that stand dry, over blocks of 5 pixels, up to 20 cells."""
-    blocked = masks.block_occupancy(X.mask(spark, sf_dir), 5, W, H)
-    free = grid.free_cells(blocked, X.scenes(spark, sf_dir), 5)
+    free = _free(spark, sf_dir)
     own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
     field = grid.distance_field(own, free, 20.0)
     return field.groupBy("scene_id", "source_id").agg(F.count("*").alias("cells"), F.sum("n_straight").alias("straight"), F.sum("n_diag").alias("diagonal"))
@@ -390,7 +436,7 @@ def a12_outcomes(spark, sf_dir):
     reached = straight_reach(spark, sf_dir)
     n = reached.groupBy("scene_id", "drop_id").agg(F.max("cand_id").alias("b")).groupBy("scene_id").agg(F.countDistinct("b").alias("n_bases"))
     summary = sites.reach_summary(reached, X.drops(spark, sf_dir)).join(n, "scene_id", "left")
-    return reports.outcomes(summary, j9_crossings_far(spark, sf_dir).where("scene_id % 2 = 0"))
+    return reports.outcomes(summary, j9_crossings_far(spark, sf_dir))
 
 
 def p8_original_points(spark, sf_dir):
@@ -417,19 +463,18 @@ def w8_drop_points(spark, sf_dir):
 
 
 def w13_territories(spark, sf_dir):
-    """Territories by the fields over each base's home and drops, as far as free cells go; drops on cells that no field
+    """Territories by one wave from each base's home and drops, as far as free cells go; drops on cells that no wave
     reaches are unreachable, not violations."""
-    blocked = masks.block_occupancy(X.mask(spark, sf_dir), 5, W, H)
-    free = grid.free_cells(blocked, X.scenes(spark, sf_dir), 5)
+    free = _free(spark, sf_dir)
     cell = (flight.cell_of(F.col("x"), 5, F.lit(W // 5)).alias("cx"), flight.cell_of(F.col("y"), 5, F.lit(H // 5)).alias("cy"))
     assigned = sites.assign(straight_reach(spark, sf_dir)).select("scene_id", "drop_id", "base_id")
     mine = stored(assigned.join(X.drops(spark, sf_dir).select("scene_id", "drop_id", *cell), ["scene_id", "drop_id"]), "mine")
     own = X.candidates(spark, sf_dir).select("scene_id", F.col("cand_id").alias("source_id"), *cell)
-    own = own.union(mine.select("scene_id", F.col("base_id").alias("source_id"), "cx", "cy")).distinct()
-    every = float((W // 5) * (H // 5))  # no shortest path has more cells
-    land = stored(reports.territories(grid.distance_field(own, free, every)), "land")
+    own = own.union(mine.select("scene_id", F.col("base_id").alias("source_id"), "cx", "cy"))
+    land = stored(reports.territories(own, free), "land")
     bad = reports.territory_violations(land, mine).groupBy("scene_id").agg(F.count_if(F.col("owner") != -1).alias("violations"), F.count_if(F.col("owner") == -1).alias("unreachable"))
-    return land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases")).join(bad, "scene_id", "left").na.fill(0, ["violations", "unreachable"])
+    sums = land.groupBy("scene_id").agg(F.count("*").alias("cells"), F.countDistinct("base_id").alias("bases"), F.sum((F.col("cx") * 100 + F.col("cy")) * F.col("base_id")).alias("checksum"))
+    return sums.join(bad, "scene_id", "left").na.fill(0, ["violations", "unreachable"])
 
 
 def f1_select_bases(spark, sf_dir):
