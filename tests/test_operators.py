@@ -284,3 +284,39 @@ def test_weather_stream_equals_batch(spark, tmp_path):
     want = {(r["site_id"], str(r["hour_start"])): (r["n"], r["precipitation"]) for r in weather.hourly(batch).collect()}
     assert got and all(want[k] == v for k, v in got.items())
     assert D.RESERVE == 0.2
+
+
+@pytest.mark.parametrize("band", [1, 3, 256])
+def test_regions_across_bands(spark, monkeypatch, band):
+    monkeypatch.setattr(regions, "BAND", band)
+    rng = random.Random(band)
+    pixels = {(s, x, y) for s in (1, 2) for x in range(30) for y in range(26) if rng.random() < 0.42}
+    pixels |= {(3, x, y) for x in range(20) for y in range(24) if (x % 4 == 0 and y < 23) or y == 0 or (y == 23 and x in (5, 9))}  # a comb
+
+    def walked(cells, near):
+        out, left = {}, set(cells)
+        while left:
+            todo = [min(left, key=lambda c: (c[1], c[0]))]
+            first = todo[0]
+            left.discard(first)
+            while todo:
+                x, y = todo.pop()
+                out[x, y] = first
+                for n in [(x + a, y + b) for a, b in near if (x + a, y + b) in left]:
+                    left.discard(n)
+                    todo.append(n)
+        return out
+
+    mask = spark.createDataFrame(sorted(pixels), "scene_id long, x int, y int")
+    sides, corners = [(0, 1), (1, 0), (0, -1), (-1, 0)], [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    got = {(r["scene_id"], r["x"], r["y"]): r["region_id"] for r in regions.external(mask, 30, 26).collect()}
+    sizes = {(r["scene_id"], r["region_id"]): (r["size"], r["min_x"], r["max_y"]) for r in regions.components(regions.external_runs(mask, 30, 26)).collect()}
+    for s in (1, 2, 3):
+        wet = {(x, y) for t, x, y in pixels if t == s}
+        dry = walked({(x, y) for x in range(-1, 31) for y in range(-1, 27)} - wet, sides)
+        whole = wet | {c for c, first in dry.items() if first != (-1, -1)}
+        want = walked(whole, corners)
+        assert {k[1:]: v for k, v in got.items() if k[0] == s} == {c: f[1] * (1 << 20) + f[0] for c, f in want.items()}
+        for f in set(want.values()):
+            own = [c for c, g in want.items() if g == f]
+            assert sizes[s, f[1] * (1 << 20) + f[0]] == (len(own), min(x for x, _ in own), max(y for _, y in own))

@@ -64,7 +64,7 @@ def dry_components(mask: DataFrame, width: int, height: int) -> DataFrame:
     dry = gaps(runs(mask), width, height).where(F.col("y").between(0, height - 1))
     dry = dry.withColumn("x1", F.greatest("x1", F.lit(0))).withColumn("x2", F.least("x2", F.lit(width - 1))).where("x1 <= x2")
     dry = stored(dry, "dry")
-    told = stored(dry.join(run_roots(dry, 1), ["scene_id", "run_id"]), "dry-roots")
+    told = stored(run_roots(dry, 1), "dry-roots")
     sizes = told.groupBy("scene_id", "root").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("size"))
     return told.join(sizes, ["scene_id", "root"]).select("scene_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y", F.col("root").alias("component"), "size")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from tidemesh.functions.flight import drop_count
 from tidemesh.operators.common import stored
 
 
+#: Rows of a scene whose runs one task joins.
+BAND = 256
+
+
 def runs(mask: DataFrame) -> DataFrame:
     """scene_id, run_id, y, x1, x2: the maximal horizontal runs of a mask (gaps and islands, one sort per row)."""
     row = Window.partitionBy("scene_id", "y").orderBy("x")
@@ -19,22 +25,55 @@ def runs(mask: DataFrame) -> DataFrame:
 
 
 def label(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, runs): 8-connected component of every pixel, and of every run; region_id is the least run_id.
+    """(labels, runs): 8-connected component of every pixel, and of every run; region_id is the least run_id."""
+    told = run_roots(runs(mask), 1).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
+    return told.select("scene_id", "region_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"), told
+
 
-    Runs of neighbouring rows that touch are edges. Rounds of hooking each root to its least neighbour and following
-    hooks to their ends halve the roots at least; a round is a few joins over all scenes.
+def band_roots(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the first run that each run is joined to, of runs in order of (y, x1).
+
+    The runs of the next row that a run touches lie next to each other, so two searches find them all. Each root hooks
+    to the least it touches, and hooks are followed to their ends, until no touching runs have different roots.
     """
-    r = stored(runs(mask), "runs")
-    told = r.join(run_roots(r, 1), ["scene_id", "run_id"]).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
-    return told.select("scene_id", "region_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"), told
+    row, far = y.astype(np.int64) << 32, np.int64(1) << 32
+    low = np.searchsorted(row + x2, row + far + np.maximum(x1 - reach, -1), "left")
+    high = np.searchsorted(row + x1, row + far + x2 + reach, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(y))
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def run_roots(r: DataFrame, reach: int) -> DataFrame:
-    """scene_id, run_id, root of runs: reach 1 joins runs that touch at corners, 0 only those that share a side."""
-    low = r.select("scene_id", F.col("run_id").alias("a"), (F.col("y") + 1).alias("y"), (F.col("x1") - reach).alias("l"), (F.col("x2") + reach).alias("h"))
-    edges = low.join(r, ["scene_id", "y"]).where("x1 <= h AND x2 >= l").select("scene_id", "a", F.col("run_id").alias("b"))
-    root = r.select("scene_id", "run_id", F.col("run_id").alias("root"))
-    left = stored(edges, "run-edges")
+    """r (scene_id, run_id, y, x1, x2) with root, the least run_id of its component: reach 1 joins runs that touch at
+    corners, 0 only those that share a side.
+
+    Two levels: a task joins the runs of one band of BAND rows of a scene; then only the bands' roots that meet at a
+    border are contracted, in rounds that hook each to its least neighbour and follow hooks to their ends.
+    """
+    kinds = ", ".join(f"{c} {t}" for c, t in r.dtypes)
+
+    def fold(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values("run_id")
+        root = band_roots(*(runs[c].to_numpy() for c in ("y", "x1", "x2")), reach)
+        return runs.assign(root=runs["run_id"].to_numpy()[root])
+
+    row = F.col("y") + 1  # an image's frame lies in the band of its first rows
+    banded = stored(r.groupBy("scene_id", F.floor(row / BAND).alias("band")).applyInPandas(lambda key, runs: fold(runs), f"{kinds}, root long"), "bands")
+    upper = banded.where(F.pmod(row, F.lit(BAND)) == BAND - 1).select("scene_id", F.col("root").alias("a"), (F.col("y") + 1).alias("y"), (F.col("x1") - reach).alias("l"), (F.col("x2") + reach).alias("h"))
+    lower = banded.where(F.pmod(row, F.lit(BAND)) == 0).select("scene_id", "y", "x1", "x2", F.col("root").alias("b"))
+    left = stored(upper.join(lower, ["scene_id", "y"]).where("x1 <= h AND x2 >= l").select("scene_id", "a", "b").distinct(), "borders")
+    top = None
     while not left.isEmpty():
         both = left.union(left.select("scene_id", "b", "a"))
         hook = stored(both.groupBy("scene_id", F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "hooks")
@@ -44,11 +83,17 @@ def run_roots(r: DataFrame, reach: int) -> DataFrame:
             hook = jumped.select("scene_id", "node", "to")
             if jumped.where("moved").isEmpty():
                 break
-        up = hook.select("scene_id", F.col("node").alias("root"), "to")
-        root = stored(root.join(up, ["scene_id", "root"], "left").select("scene_id", "run_id", F.coalesce("to", "root").alias("root")), "roots")
+        if top is None:
+            top = hook
+        else:
+            up = hook.select("scene_id", F.col("node").alias("to"), F.col("to").alias("far"))
+            top = stored(top.join(up, ["scene_id", "to"], "left").select("scene_id", "node", F.coalesce("far", "to").alias("to")), "tops")
         a, b = hook.select("scene_id", F.col("node").alias("a"), F.col("to").alias("a2")), hook.select("scene_id", F.col("node").alias("b"), F.col("to").alias("b2"))
-        left = stored(left.join(a, ["scene_id", "a"]).join(b, ["scene_id", "b"]).where("a2 <> b2").select("scene_id", F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "run-edges")
-    return root
+        left = stored(left.join(a, ["scene_id", "a"]).join(b, ["scene_id", "b"]).where("a2 <> b2").select("scene_id", F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "borders")
+    if top is None:
+        return banded
+    named = top.select("scene_id", F.col("node").alias("root"), "to")
+    return banded.join(named, ["scene_id", "root"], "left").select(*r.columns, F.coalesce("to", "root").alias("root"))
 
 
 def gaps(r: DataFrame, width: int, height: int) -> DataFrame:
@@ -62,23 +107,34 @@ def gaps(r: DataFrame, width: int, height: int) -> DataFrame:
     return out.select("scene_id", (F.col("y").cast("long") * (1 << 20) + F.col("g1")).alias("run_id"), "y", F.col("g1").alias("x1"), F.col("g2").alias("x2"))
 
 
-def filled(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """The mask with its holes: dry ground that no path over sides of pixels joins to the image's border."""
-    dry = stored(gaps(runs(mask), width, height), "gaps")
+def filled_runs(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """The runs of the mask with its holes: dry ground that no path over sides of pixels joins to the image's border."""
     outside = -(1 << 20) - 1  # the frame's first run has the least number of all
-    holes = dry.join(run_roots(dry, 0).where(F.col("root") != outside), ["scene_id", "run_id"])
-    return mask.select("scene_id", "x", "y").union(holes.select("scene_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y"))
+    wet = stored(runs(mask), "runs")
+    holes = run_roots(gaps(wet, width, height), 0).where(F.col("root") != outside)
+    row = Window.partitionBy("scene_id", "y").orderBy("x1")
+    parts = wet.select("scene_id", "y", "x1", "x2").union(holes.select("scene_id", "y", "x1", "x2"))
+    parts = parts.withColumn("_first", F.coalesce(F.lag("x2").over(row) + 1 < F.col("x1"), F.lit(True)).cast("int"))
+    out = parts.withColumn("_i", F.sum("_first").over(row)).groupBy("scene_id", "y", "_i").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    return out.select("scene_id", (F.col("y").cast("long") * (1 << 20) + F.col("x1")).alias("run_id"), "y", "x1", "x2")
+
+
+def external_runs(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """scene_id, region_id, y, x1, x2: the runs of the mask's outermost regions with all that they enclose; regions in
+    holes are part of those round them."""
+    return run_roots(filled_runs(mask, width, height), 1).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
 
 
 def external(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """scene_id, region_id, x, y: the mask's outermost regions with all that they enclose; regions in holes are part of
-    those round them."""
-    return label(filled(mask, width, height))[0]
+    """scene_id, region_id, x, y of the outermost regions (see external_runs)."""
+    return external_runs(mask, width, height).select("scene_id", "region_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y")
 
 
-def components(labels: DataFrame) -> DataFrame:
-    """scene_id, region_id, size and box of every component."""
-    return labels.groupBy("scene_id", "region_id").agg(F.count("*").alias("size"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+def components(regions: DataFrame) -> DataFrame:
+    """scene_id, region_id, size and box of every component, of its pixels (x, y) or its runs (y, x1, x2)."""
+    left, right = ("x1", "x2") if "x1" in regions.columns else ("x", "x")
+    size = F.sum(F.col(right) - F.col(left) + 1).cast("long")
+    return regions.groupBy("scene_id", "region_id").agg(size.alias("size"), F.min(left).alias("min_x"), F.max(right).alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
 def polygon_area(labels: DataFrame) -> DataFrame:

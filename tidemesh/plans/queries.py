@@ -179,7 +179,7 @@ def q4_over_limit(spark, sf_dir):
 
 
 def r1_components(spark, sf_dir):
-    return regions.components(regions.external(X.mask(spark, sf_dir), W, H)).drop("region_id")
+    return regions.components(regions.external_runs(X.mask(spark, sf_dir), W, H)).drop("region_id")
 
 
 def r2_large_regions(spark, sf_dir):
