@@ -24,6 +24,15 @@ def runs(mask: DataFrame) -> DataFrame:
     return out.select("scene_id", (F.col("y").cast("long") * (1 << 20) + F.col("x1")).alias("run_id"), "y", "x1", "x2")
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """scene_id, y, x1, x2: the fewest runs that cover the same pixels as runs that may overlap or touch."""
+    row = Window.partitionBy("scene_id", "y").orderBy("x1", "x2")
+    before = F.max("x2").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_first", F.coalesce(before + 1 < F.col("x1"), F.lit(True)).cast("int"))
+    numbered = parts.withColumn("_i", F.sum("_first").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("scene_id", "y", "_i").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("_i")
+
+
 def label(mask: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, runs): 8-connected component of every pixel, and of every run; region_id is the least run_id."""
     told = run_roots(runs(mask), 1).select("scene_id", F.col("root").alias("region_id"), "y", "x1", "x2")
@@ -112,10 +121,7 @@ def filled_runs(mask: DataFrame, width: int, height: int) -> DataFrame:
     outside = -(1 << 20) - 1  # the frame's first run has the least number of all
     wet = stored(runs(mask), "runs")
     holes = run_roots(gaps(wet, width, height), 0).where(F.col("root") != outside)
-    row = Window.partitionBy("scene_id", "y").orderBy("x1")
-    parts = wet.select("scene_id", "y", "x1", "x2").union(holes.select("scene_id", "y", "x1", "x2"))
-    parts = parts.withColumn("_first", F.coalesce(F.lag("x2").over(row) + 1 < F.col("x1"), F.lit(True)).cast("int"))
-    out = parts.withColumn("_i", F.sum("_first").over(row)).groupBy("scene_id", "y", "_i").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    out = merged(wet.select("scene_id", "y", "x1", "x2").union(holes.select("scene_id", "y", "x1", "x2")))
     return out.select("scene_id", (F.col("y").cast("long") * (1 << 20) + F.col("x1")).alias("run_id"), "y", "x1", "x2")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.operators.common import stored
-from tidemesh.operators.masks import PIXEL, boundary
+from tidemesh.operators.masks import PIXEL
+from tidemesh.operators.regions import merged, runs
 
 SUB_HOURS = (1 / 12, 1 / 6, 0.5, 1.0)
 
@@ -28,21 +29,20 @@ def spread_step(mask: DataFrame, weather: DataFrame, hours: float, width: int, h
     """The mask after one step: itself, its growth, and the growth shifted downwind, clipped to the image.
 
     weather has one row a scene; scenes without one don't change. A growth as large as the image's diagonal floods
-    all. Rows of the disc are sent out as ranges, so that a pixel gives 2 * radius + 1 rows, not an area.
+    all. A run of pixels grows to one range a row of the disc; ranges that overlap are merged before pixels are made,
+    so each pixel is made once.
     """
     radius, dx, dy = reach_and_shift(F.lit(float(hours)))
     most = int((width * width + height * height) ** 0.5) + 1
     told = weather.select("scene_id", F.least(radius, F.lit(most)).alias("r"), dx.alias("sx"), dy.alias("sy"))
-    edge = boundary(mask.select(*PIXEL)).join(told, "scene_id")
-    rows = edge.withColumn("oy", F.explode(F.sequence(-F.col("r"), F.col("r"))))
+    body = runs(mask).select("scene_id", "y", "x1", "x2")
+    rows = body.join(told, "scene_id").withColumn("oy", F.explode(F.sequence(-F.col("r"), F.col("r"))))
     half = F.rint(F.sqrt((F.col("r") * F.col("r") - F.col("oy") * F.col("oy")).cast("double"))).cast("int")
-    runs = rows.select("scene_id", (F.col("y") + F.col("oy")).alias("y"), (F.col("x") - half).alias("x1"), (F.col("x") + half).alias("x2"), "sx", "sy")
-    both = runs.select("scene_id", "y", "x1", "x2").union(runs.select("scene_id", F.col("y") + F.col("sy"), F.col("x1") + F.col("sx"), F.col("x2") + F.col("sx")))
-    clipped = both.where((F.col("y") >= 0) & (F.col("y") < height)).select("scene_id", "y", F.greatest("x1", F.lit(0)).alias("x1"), F.least("x2", F.lit(width - 1)).alias("x2")).where("x1 <= x2")
-    grown = clipped.distinct().select("scene_id", F.explode(F.sequence(F.col("x1").cast("int"), F.col("x2").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"))
-    body = mask.select(*PIXEL).join(told.select("scene_id", "sx", "sy"), "scene_id")
-    moved = body.select("scene_id", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y")).where(f"x >= 0 AND y >= 0 AND x < {width} AND y < {height}")
-    return grown.union(moved).union(mask.select(*PIXEL)).distinct()
+    grown = rows.select("scene_id", (F.col("y") + F.col("oy")).alias("y"), (F.col("x1") - half).alias("x1"), (F.col("x2") + half).alias("x2"), F.explode(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")), F.struct(F.col("sx").alias("x"), F.col("sy").alias("y")))).alias("s"))
+    grown = grown.select("scene_id", (F.col("y") + F.col("s.y")).alias("y"), (F.col("x1") + F.col("s.x")).alias("x1"), (F.col("x2") + F.col("s.x")).alias("x2"))
+    every = grown.union(body)
+    clipped = every.where((F.col("y") >= 0) & (F.col("y") < height)).select("scene_id", "y", F.greatest("x1", F.lit(0)).alias("x1"), F.least("x2", F.lit(width - 1)).alias("x2")).where("x1 <= x2")
+    return merged(clipped).select("scene_id", F.explode(F.sequence(F.col("x1").cast("int"), F.col("x2").cast("int"))).alias("x"), F.col("y").cast("int").alias("y"))
 
 
 def frame_plan(horizon: float) -> list[tuple[float, float | None, float]]:
