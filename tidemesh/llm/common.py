@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,9 +47,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffles of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    """Lets Spark's cleaner remove the shuffles of frames that are gone; twice, as Python tells the JVM of them meanwhile."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.2)
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
@@ -59,14 +62,20 @@ def delete(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def place(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new folder's path for a table; without keep it is deleted where the innermost open scratch ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not keep and (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
 def saved(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors.
 
     With keep, or outside of a scratch, the table stays until the folder is cleared, as returned frames may read it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    if not keep and (made := _made.get()) is not None:
-        made.append(path)
+    path = place(df.sparkSession, label, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

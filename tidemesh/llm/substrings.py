@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemesh.llm.common import saved, scratch, small_batches, swept, table
+from tidemesh.llm.common import delete, place, saved, scratch, small_batches, swept, table
 
 #: Words of a window whose repeats are removed, and of the windows that come first.
 WINDOW, FIRST = 20, 10
@@ -122,8 +122,10 @@ def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = F.min(F.struct(F.col("owner").isNull().alias("none"), "owner")).alias("first")
     ordered = read.groupBy("digest").agg(least).orderBy("first", "digest")
     numbers = saved(ordered.select("digest", F.col("first.owner").alias("owner"), F.monotonically_increasing_id().alias("node")), "numbers")
-    once = read.groupBy("digest").agg(F.first("text").alias("text"))
-    return numbers, saved(once.join(numbers, "digest").select("node", "text"), "nodes")
+    once = read.groupBy("digest").agg(F.first("text").alias("text")).join(numbers, "digest").select("node", "text")
+    path = place(docs.sparkSession, "nodes")
+    once.write.option("compression", "zstd").parquet(path)
+    return numbers, docs.sparkSession.read.schema(once.schema).parquet(path)
 
 
 def _first_level(nodes: DataFrame, window: int, first: int) -> DataFrame:
@@ -202,19 +204,28 @@ def repeats(nodes: DataFrame, window: int = WINDOW, first: int = FIRST) -> tuple
     """(again, longest): node and the places whose windows repeat an earlier one; node and the longest doubled length at
     which one of its windows occurs more than once. Texts without a repeated window have no row in either.
 
-    A driver round for each length; to the driver comes whether any window is left.
+    A driver round for each length; to the driver comes whether any window is left. A level's windows are deleted once
+    the next level's are written.
     """
     spark = nodes.sparkSession
+
+    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        path = place(spark, label)
+        df.write.parquet(path)
+        swept(spark)
+        return spark.read.schema(df.schema).parquet(path), path
+
     swept(spark)
-    level = saved(_wanted_level(nodes, _first_level(nodes, window, first), window, first), "windows")
+    level, old = written(_wanted_level(nodes, _first_level(nodes, window, first), window, first), "windows")
     length, again, lengths = window, None, []
     while True:
-        swept(spark)
-        judged = saved(_judged(level, length), "judged")
-        again = judged.where(F.size("again") > 0).select("node", "again") if again is None else again
-        lengths.append(judged.where("any").select("node", F.lit(length).cast("long").alias("length")))
-        level = judged.where(F.size("at") > 0).select("node", "at", "h1", "h2")
+        judged, path = written(_judged(level, length), "judged")
+        delete(spark, old)
+        again = saved(judged.where(F.size("again") > 0).select("node", "again"), "again") if again is None else again
+        lengths.append(saved(judged.where("any").select("node", F.lit(length).cast("long").alias("length")), "lengths"))
+        level, old = judged.where(F.size("at") > 0).select("node", "at", "h1", "h2"), path
         if level.isEmpty():
+            delete(spark, old)
             break
         length *= 2
     longest = lengths[0]
