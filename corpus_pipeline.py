@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemesh.llm import crf, divergence, mixing, neardup, packing
-from tidemesh.llm.common import saved, table
+from tidemesh.llm.common import delete, place, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,9 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other. A stage's inner tables are deleted once its output is written, and so is its input;
+    what stays until the folder is cleared is the last stage's input and its tables, which the returned rows are read from.
+    """
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs, name)
-    return docs
+    read = None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            out, path = stage(spark, docs, sf_dir), place(spark, name, keep=True)
+            out.write.parquet(path)
+        if read:
+            delete(spark, read)
+        docs, read = spark.read.schema(out.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
