@@ -227,3 +227,15 @@ def test_operators_leave_only_their_results(spark, tmp_path):
         new = {n for n in os.listdir(folder) if not n.startswith(".")} - before
         assert len(new) == 1
         before |= new
+
+
+def test_pipeline_deletes_what_stages_have_read(spark):
+    import os
+
+    import corpus_pipeline
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    left = {n.split("-")[0] for n in set(os.listdir(folder)) - before}
+    assert left <= {"curriculum_mix", "pieces", "classes"} and "curriculum_mix" in left
