@@ -124,6 +124,37 @@ def test_exact_clearance_has_no_cap(spark):
     assert got == {(1, 0): pytest.approx(math.hypot(89, 3)), (1, 90): 1.0, (2, 5): None}
 
 
+def test_distances_are_exact_over_bands_and_keys(spark):
+    rng = random.Random(9)
+    mask = [(s, w, rng.randrange(-3, 60), rng.randrange(-40, 150)) for s, w in ((1, True), (1, False), (2, True)) for _ in range(40)]
+    mask += [(2, True, 7, y) for y in range(20, 75)] + mask[:5]  # a tall run over three bands, and repeated rows
+    asked = [(s, w, rng.randrange(-10, 70), rng.randrange(-50, 160)) for s, w in ((1, True), (1, False), (2, True), (3, True)) for _ in range(150)]
+    kinds = "scene_id long, w boolean, x int, y int"
+    got = {tuple(r)[:4]: r["distance"] for r in regions.distances(spark.createDataFrame(asked + asked[:9], kinds), spark.createDataFrame(mask, kinds), 300, ("scene_id", "w")).collect()}
+    for s, w, x, y in asked:
+        near = [math.hypot(x - a, y - b) for t, v, a, b in mask if (t, v) == (s, w)]
+        assert (s, w, x, y) not in got if not near else got[(s, w, x, y)] == pytest.approx(min(near))
+    short = regions.distances(spark.createDataFrame(asked, kinds), spark.createDataFrame(mask, kinds), 6, ("scene_id", "w")).collect()
+    assert {tuple(r)[:4] for r in short} == {k for k, d in got.items() if d <= 6}
+    assert regions.distances(spark.createDataFrame(asked, kinds), spark.createDataFrame([], kinds), 9, ("scene_id", "w")).count() == 0
+
+
+def test_signed_distance(spark):
+    pixels = {(x, y) for x in range(4, 12) for y in range(0, 9)} - {(6, 3)}
+    every = [(x, y) for x in range(20) for y in range(15)]
+    points = spark.createDataFrame([(1, x, y, "a") for x, y in every] + [(2, 3, 3, "b")], "scene_id long, x int, y int, name string")
+    full = spark.createDataFrame([(3, x, y) for x, y in every], "scene_id long, x int, y int")
+    got = regions.signed_distance(points.union(full.limit(2).withColumn("name", F.lit("c"))), mask_of(spark, pixels).union(full), 20, 15).collect()
+    assert len(got) == len(every) + 3
+    for r in got:
+        if r["scene_id"] != 1:
+            assert r["signed_distance"] is None
+            continue
+        own = (r["x"], r["y"]) in pixels
+        near = min(math.hypot(r["x"] - a, r["y"] - b) for a, b in every if ((a, b) in pixels) != own)
+        assert r["signed_distance"] == pytest.approx(-near if own else near)
+
+
 def test_point_list(spark):
     from tidemesh.functions import geodesy
 

@@ -14,6 +14,8 @@ from tidemesh.operators.common import stored
 
 #: Rows of a scene whose runs one task joins.
 BAND = 256
+#: Rows of a scene whose points one task measures.
+ROWS = 32
 
 
 def runs(mask: DataFrame) -> DataFrame:
@@ -214,17 +216,100 @@ def clearance(points: DataFrame, mask: DataFrame, most: int) -> DataFrame:
     return points.join(told.select("scene_id", "x", "y", "clearance"), ["scene_id", "x", "y"])
 
 
-def exact_clearance(points: DataFrame, mask: DataFrame, most: int, first: int = 3) -> DataFrame:
-    """As clearance, but without its cap up to a distance of most: what has nothing within one cap goes on with a larger one.
+def column_runs(mask: DataFrame, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
+    """keys, x, y1, y2, lo, hi: the vertical runs of a mask, and the rows lo to hi to which the run is the nearest of its
+    column (halfway rows go to the upper run; null: no other run on that side). One sort by column."""
+    column = Window.partitionBy(*keys, "x")
+    marked = mask.select(*keys, "x", "y", (F.col("y") - F.dense_rank().over(column.orderBy("y"))).alias("_i"))
+    told = marked.groupBy(*keys, "x", "_i").agg(F.min("y").alias("y1"), F.max("y").alias("y2"))
+    order = column.orderBy("y1")
+    lo, hi = F.floor((F.lag("y2").over(order) + F.col("y1")) / 2) + 1, F.floor((F.col("y2") + F.lead("y1").over(order)) / 2)
+    return told.select(*keys, "x", "y1", "y2", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
-    Few points are far from a boundary, so tiles grow with them only. Points with nothing within most have null.
+
+def row_minima(y: np.ndarray, x: np.ndarray, ey: np.ndarray, ex: np.ndarray, eg: np.ndarray) -> np.ndarray:
+    """The least (x - ex)^2 + eg over the entries of each point's row, -1 where its row has none.
+
+    Points and entries are in order of (row, x). Along a row the best entry never moves left, so points are solved by
+    halving: each looks only between the entries that its solved neighbours on either side took.
     """
-    cap, open_, out = first, points, None
-    while True:
-        told = stored(clearance(open_, mask, cap), "clearance")
-        done = told.where(F.col("clearance") < cap) if cap <= most else told.withColumn("clearance", F.when(F.col("clearance") < cap, F.col("clearance")))
-        out = done if out is None else out.union(done)
-        open_ = told.where(F.col("clearance") >= cap).drop("clearance")
-        if cap > most or open_.isEmpty():
-            return out
-        cap *= 4
+    first, last = np.searchsorted(ey, y, "left"), np.searchsorted(ey, y, "right") - 1
+    row = np.searchsorted(y, y, "left")
+    rank, size = np.arange(len(y)) - row, np.searchsorted(y, y, "right") - row
+    best, least = np.zeros(len(y), np.int64), np.full(len(y), -1, np.int64)
+    step = 1 << int(size.max(initial=0)).bit_length()
+    while step:
+        at = np.flatnonzero(((rank + 1) % (2 * step) == step) & (first <= last))
+        left, right = at - step, at + step
+        low = np.where(rank[at] >= step, best[np.maximum(left, 0)], first[at])
+        high = np.where(rank[at] + step < size[at], best[np.minimum(right, len(y) - 1)], last[at])
+        n = high - low + 1
+        starts = np.cumsum(n) - n
+        if len(at):
+            entry = np.arange(n.sum()) - np.repeat(starts - low, n)
+            cost = (np.repeat(x[at], n) - ex[entry]) ** 2 + eg[entry]
+            least[at] = np.minimum.reduceat(cost, starts)
+            best[at] = np.minimum.reduceat(np.where(cost == np.repeat(least[at], n), entry, len(ex)), starts)
+        step >>= 1
+    return least
+
+
+def distances(points: DataFrame, mask: DataFrame, most: int, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
+    """keys, x, y, distance of each different point to the nearest pixel of the mask with its keys, exact and at most most.
+
+    Points without one are left out. Two passes: columns shrink to runs that know their rows; then a task takes ROWS rows
+    of a scene, each with one entry a column, and finds the least sums along them. A task holds ROWS times the image's
+    width, whatever the mask; the bands of a run outside the points' rows are not made.
+    """
+    band = lambda c: F.floor(c / ROWS).cast("int")
+    spots = points.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct().withColumn("band", band(F.col("y")))
+    span = spots.groupBy(*keys).agg(F.min("band").alias("_b1"), F.max("band").alias("_b2"))
+    low, high = F.greatest("lo", F.col("y1") - most), F.least("hi", F.col("y2") + most)
+    told = column_runs(mask, keys).withColumn("lo", low).withColumn("hi", high).join(span, list(keys))
+    told = told.withColumn("_b1", F.greatest("_b1", band(F.col("lo")))).withColumn("_b2", F.least("_b2", band(F.col("hi")))).where("_b1 <= _b2")
+    parts = told.select(*keys, F.explode(F.sequence("_b1", "_b2")).alias("band"), "x", "y1", "y2", "lo", "hi")
+    kinds = ", ".join(f"{c} {t}" for c, t in spots.dtypes if c in keys)
+
+    def fold(asked: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or runs.empty:
+            return asked.iloc[:0].drop(columns="band").assign(square=np.int64(0))
+        asked = asked.sort_values(["y", "x"])
+        top = int(asked["band"].iloc[0]) * ROWS
+        x, y1, y2, lo, hi = (runs[c].to_numpy(np.int64) for c in ("x", "y1", "y2", "lo", "hi"))
+        lo, hi = np.maximum(lo, top), np.minimum(hi, top + ROWS - 1)
+        n = np.maximum(hi - lo + 1, 0)
+        ey = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
+        ex, gap = np.repeat(x, n), np.maximum(np.maximum(np.repeat(y1, n) - ey, ey - np.repeat(y2, n)), 0)
+        order = np.lexsort((ex, ey))
+        least = row_minima(asked["y"].to_numpy(np.int64), asked["x"].to_numpy(np.int64), ey[order], ex[order], (gap * gap)[order])
+        told = asked.drop(columns="band").assign(square=least)
+        return told[(least >= 0) & (least <= most * most)]
+
+    found = spots.groupBy(*keys, "band").cogroup(parts.groupBy(*keys, "band")).applyInPandas(fold, f"{kinds}, x int, y int, square long")
+    return found.select(*keys, "x", "y", F.sqrt(F.col("square").cast("double")).alias("distance"))
+
+
+def exact_clearance(points: DataFrame, mask: DataFrame, most: int) -> DataFrame:
+    """As clearance, but without its cap up to a distance of most; points with nothing within most have null."""
+    told = distances(points, mask, most).withColumnRenamed("distance", "clearance")
+    return points.join(told, ["scene_id", "x", "y"], "left")
+
+
+def dry_edge(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """The dry pixels of the image with a flooded one at a side."""
+    from tidemesh.operators.masks import PIXEL, boundary, inside
+
+    beside = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
+    near = boundary(mask.select(*PIXEL)).select(*PIXEL, beside.alias("o")).select("scene_id", (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"))
+    return inside(near, width, height).distinct().join(mask.select(*PIXEL), PIXEL, "left_anti")
+
+
+def signed_distance(points: DataFrame, mask: DataFrame, width: int, height: int) -> DataFrame:
+    """points (scene_id, x, y, ...) with signed_distance: to the nearest flooded pixel, or less than 0, on flooded ground,
+    to the nearest dry one. Null where the scene has no pixel of the other kind."""
+    wet = mask.select("scene_id", "x", "y").distinct()
+    sides = points.select("scene_id", "x", "y").distinct().join(wet.withColumn("wet", F.lit(True)), ["scene_id", "x", "y"], "left").na.fill(False, ["wet"])
+    other = wet.withColumn("wet", F.lit(False)).unionByName(dry_edge(wet, width, height).withColumn("wet", F.lit(True)))
+    far = distances(sides.select("scene_id", "wet", "x", "y"), other, width + height, ("scene_id", "wet"))
+    signed = F.when(F.col("wet"), -F.col("distance")).otherwise(F.col("distance"))
+    return points.join(far.select("scene_id", "x", "y", signed.alias("signed_distance")), ["scene_id", "x", "y"], "left")

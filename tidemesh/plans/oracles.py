@@ -246,6 +246,11 @@ ORACLES = {
         SELECT scene_id, region, abs(sum(twice)) / 2.0::DOUBLE AS hull_area FROM hull GROUP BY ALL), box AS (SELECT scene_id, region, count(*) AS size, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM px GROUP BY ALL)
         SELECT scene_id, area, floor(mx / area + 1e-9)::INT AS cx, floor(my / area + 1e-9)::INT AS cy, size, min_x, max_x, min_y, max_y, least({D.MAX_DROPS}, 1 + {" + ".join(f"(hull_area >= {a})::INT" for a in D.DROP_AREAS)})::INT AS n_drops
         FROM area JOIN held USING (scene_id, region) JOIN box USING (scene_id, region)""", True),
+    "r7_signed_distance": with_views("drops mask scenes", f"""px AS MATERIALIZED (SELECT s.scene_id, x, y, (m.scene_id IS NOT NULL) AS wet FROM scenes s CROSS JOIN (SELECT unnest(range(0, {W}))::INT AS x) a
+        CROSS JOIN (SELECT unnest(range(0, {H}))::INT AS y) b LEFT JOIN mask m USING (scene_id, x, y)), d AS (
+        SELECT d.*, coalesce(p.wet, false) AS wet FROM drops d LEFT JOIN px p USING (scene_id, x, y)), t AS (
+        SELECT d.scene_id, drop_id, d.wet, sqrt(min((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y))) AS far FROM d LEFT JOIN px p ON p.scene_id = d.scene_id AND p.wet <> d.wet GROUP BY ALL)
+        SELECT scene_id, drop_id, round(CASE WHEN wet THEN -far ELSE far END, 6)::DOUBLE AS signed_distance FROM t"""),
     "r9_flooded_at_arrival": with_views("mask weather_obs drops pixels_hsv", f"""{_WEATHER}, {_F1}, a AS MATERIALIZED ({_F1_ALL}), hs AS (SELECT scene_id, hour, lead(hour) OVER (PARTITION BY scene_id ORDER BY hour) AS next FROM (SELECT DISTINCT scene_id, hour FROM a)), t AS MATERIALIZED (
         SELECT d.scene_id, drop_id, x, y, drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE AS t, hour, next FROM drops d LEFT JOIN hs ON hs.scene_id = d.scene_id AND hour <= drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE AND (next IS NULL OR next > drop_id % 11 / 8.0::DOUBLE + 0.03::DOUBLE)), w AS (
         SELECT t.*, (a.x IS NOT NULL) AS w0, (b.x IS NOT NULL) AS w1 FROM t LEFT JOIN a ON a.scene_id = t.scene_id AND a.hour = t.hour AND a.x = t.x AND a.y = t.y LEFT JOIN a b ON b.scene_id = t.scene_id AND b.hour = t.next AND b.x = t.x AND b.y = t.y), c AS MATERIALIZED (

@@ -140,6 +140,12 @@ def j4_bracket(spark, sf_dir):
     return timeline.bracket(times, hours).select("scene_id", "drop_id", F.round("t", 6).alias("t"), "lower", "upper", F.round("alpha", 6).alias("alpha"), "source")
 
 
+def r7_signed_distance(spark, sf_dir):
+    """Each drop's distance to the flood's front, below 0 on flooded ground."""
+    told = regions.signed_distance(X.drops(spark, sf_dir), X.mask(spark, sf_dir), W, H)
+    return told.select("scene_id", "drop_id", F.round("signed_distance", 6).alias("signed_distance"))
+
+
 def r9_flooded_at_arrival(spark, sf_dir):
     """Drops flooded at an arrival time of each, by interpolated fronts between the frames of the forecast."""
     frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
