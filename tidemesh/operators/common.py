@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the cluster's shared folder (spark.checkpoint.dir) and read again."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir)."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the cluster's shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -170,6 +170,10 @@ ORACLES = {
                count(*) AS n, round(sum(coalesce(p, 0)), 4) AS rain, sum(coalesce(s, 0)) AS wind, sum((p IS NULL)::INT + (s IS NULL)::INT + (d IS NULL)::INT)::BIGINT AS bad FROM t GROUP BY ALL"""),
     "t1_hourly_weather": with_views("weather_obs", """SELECT site_id, date_trunc('hour', obs_ts) AS hour_start, count(*) AS n, round(avg(coalesce(precipitation, 0)), 6) AS precipitation,
         round(avg(coalesce(wind_speed_10m, 0)), 6) AS wind_speed_10m, round(avg(coalesce(wind_direction_10m, 0)), 6) AS wind_direction_10m FROM weather_obs GROUP BY ALL"""),
+    "t1_weather_stream": with_views("weather_obs", """SELECT site_id, date_trunc('hour', obs_ts) AS hour_start, count(*) AS n, round(avg(coalesce(precipitation, 0)), 6) AS precipitation,
+        round(avg(coalesce(wind_speed_10m, 0)), 6) AS wind_speed_10m, round(avg(coalesce(wind_direction_10m, 0)), 6) AS wind_direction_10m FROM weather_obs GROUP BY ALL"""),
+    "t1_stream_sites": with_views("weather_obs", """SELECT site_id, max(obs_ts) AS newest_ts, arg_max(coalesce(precipitation, 0), obs_ts)::DOUBLE AS precipitation, arg_max(wind_speed_10m, obs_ts)::DOUBLE AS wind_speed_10m,
+        arg_max(wind_direction_10m, obs_ts)::DOUBLE AS wind_direction_10m, count(*) AS n, 0::BIGINT AS late, (count(*) - count(DISTINCT obs_ts))::BIGINT AS repeated FROM weather_obs GROUP BY site_id"""),
     "p7_pixel_to_latlon": with_views("drops scenes", f"""t AS (SELECT d.scene_id, drop_id, {_LAT} AS lat, {_LON.replace('s.lon', '179.995::DOUBLE')} AS lon, drop_id % 50 = 7 AS bad FROM drops d JOIN scenes s USING (scene_id))
         SELECT scene_id, drop_id, CASE WHEN NOT bad THEN round(lat, 6) END AS lat, CASE WHEN NOT bad THEN round(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, 6) END AS lon, CASE WHEN bad THEN 'scale' END AS error FROM t"""),
     "p10_leg_costs": with_views("drops weather_obs", f"""{_WEATHER}, t AS (

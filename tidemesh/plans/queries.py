@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions import colour, flight, geodesy
 from tidemesh.operators import detours, grid, legs, masks, mission, placement, planning, regions, repair, reports, routes, selection, sites, spread, timeline, weather
-from tidemesh.operators.common import stored
+from tidemesh.operators.common import shared_folder, stored
 from tidemesh.sources import fixtures as X
+from tidemesh.streaming import weather as feed
 
 W, H = X.WIDTH, X.HEIGHT
 
@@ -75,6 +78,22 @@ def t1_hourly_weather(spark, sf_dir):
     return weather.hourly(X.weather_obs(spark, sf_dir)).select("site_id", "hour_start", "n", *(F.round(c, 6).alias(c) for c in weather.FIELDS))
 
 
+def _replayed(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    feed.replay(X.weather_feed(spark, sf_dir), folder)
+    return folder
+
+
+def t1_weather_stream(spark, sf_dir):
+    """The hourly means of the feed taken in as a stream."""
+    return feed.replayed_hours(spark, _replayed(spark, sf_dir)).select("site_id", "hour_start", "n", *(F.round(c, 6).alias(c) for c in weather.FIELDS))
+
+
+def t1_stream_sites(spark, sf_dir):
+    """The newest reading of every site of the feed taken in as a stream."""
+    return feed.replayed_sites(spark, _replayed(spark, sf_dir))
+
+
 def p7_pixel_to_latlon(spark, sf_dir):
     told = X.drops(spark, sf_dir).join(X.scenes(spark, sf_dir), "scene_id")
     scale = F.when(F.col("drop_id") % 50 == 7, -1.0).otherwise(F.col("m_per_px"))

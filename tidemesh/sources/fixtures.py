@@ -33,8 +33,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").selectExpr("s_suppkey div 4 AS scene_id", "s_suppkey AS cand_id", f"cast((s_suppkey * 7919 + 13) % {WIDTH} AS int) AS x", f"cast((s_suppkey * 104729 + 7) % {HEIGHT} AS int) AS y")
 
 
+def weather_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of weather_obs as a stream of files, whether the table is one file or a folder (hence the pattern)."""
+    path = f"{sf_dir}/events.parquet"
+    return _readings(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")).drop("scene_id")
+
+
 def weather_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").selectExpr(
+    return _readings(_table(spark, sf_dir, "events"))
+
+
+def _readings(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "user_id AS site_id", "user_id div 6 AS scene_id", "ts AS obs_ts", "value % 20 AS rain", "event_type", "cast(get_json_object(props, '$.k') AS int) % 50 AS wind", "(event_id * 37) % 360 AS direction"
     ).selectExpr("site_id", "scene_id", "obs_ts", "CASE WHEN event_type <> 'error' THEN rain END AS precipitation", "cast(wind AS double) AS wind_speed_10m", "cast(direction AS double) AS wind_direction_10m")
 
