@@ -3,6 +3,7 @@
 import math
 import random
 
+import costs
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,12 +51,12 @@ def test_refine_ends_in_each_way(spark):
 
 
 def test_sortie_cost_by_hand():
-    cost, hours, worst, unserved = selection.sortie_cost((0, 0), [(100, 0), (200, 0)], 0.0, 0.0, 1.0)
+    cost, hours, worst, unserved = costs.sortie_cost((0, 0), [(100, 0), (200, 0)], 0.0, 0.0, 1.0)
     battery = (100 / 5 / 60 * (1 + 0.5 * 0.08) + 100 / 5 / 60 * (1 + 0.25 * 0.08) + 200 / 5 / 60) / 7
     assert hours == pytest.approx(400 / 5 / 3600) and worst == pytest.approx(battery) and cost == pytest.approx(hours + battery) and unserved == 0
-    assert selection.sortie_cost((0, 0), [(2000, 0)], 0.0, 0.0, 1.0)[3] == 1
-    east = selection.sortie_cost((0, 0), [(100, 0)], 10.0, 90.0, 1.0)[2]
-    assert east > selection.sortie_cost((0, 0), [(100, 0)], 0.0, 90.0, 1.0)[2]
+    assert costs.sortie_cost((0, 0), [(2000, 0)], 0.0, 0.0, 1.0)[3] == 1
+    east = costs.sortie_cost((0, 0), [(100, 0)], 10.0, 90.0, 1.0)[2]
+    assert east > costs.sortie_cost((0, 0), [(100, 0)], 0.0, 90.0, 1.0)[2]
 
 
 def test_select_bases_single_and_several(spark):
@@ -105,6 +106,29 @@ def test_reports(spark):
     assert [r["drop_id"] for r in kept.collect()] == [1] and {r["drop_id"]: r["reason"] for r in out.collect()} == {2: "cut off from home", 3: "drop is not on free ground"}
 
 
+def test_sortie_folds_equal_sorties_flown_one_by_one(spark):
+    rng = random.Random(12)
+    drops, pairs, winds = {}, [], {}
+    for s, (n, reach) in enumerate([(1, 50), (7, 300), (40, 60), (45, 200), (12, 900), (6, 2500), (33, 0), (70, 15)]):
+        drops[s] = [(rng.randrange(-reach, reach + 1), rng.randrange(-reach, reach + 1)) for _ in range(n)]
+        drops[s] += drops[s][: n // 4]  # ties and repeated places
+        pairs += [(s, 0, 10 * s + k, *p) for k, p in enumerate([(0, 0), drops[s][0], (rng.randrange(50), -20)])]
+        winds[s] = (rng.choice([0.0, 11.0, 40.0]), rng.choice([0.0, 100.0, 270.0])) if s % 3 else None
+    rows = [(s, 0, k, *p) for s, ps in drops.items() for k, p in enumerate(ps)]
+    wind = spark.createDataFrame([(s, *w) for s, w in winds.items() if w], "scene_id long, wind_speed_10m double, wind_direction_10m double")
+    told = selection.score_sites(spark.createDataFrame(pairs, "scene_id long, group_id int, cand_id long, x int, y int"), spark.createDataFrame(rows, "scene_id long, group_id int, drop_id long, x int, y int"), wind, 3.0)
+    assert "Python" not in told._jdf.queryExecution().toString() and "InPandas" not in told._jdf.queryExecution().toString()
+    got = {r["cand_id"]: r for r in told.collect()}
+    assert len(got) == len(pairs)
+    failed = 0
+    for s, _, c, x, y in pairs:
+        kmh, side = winds[s] or (0.0, 0.0)
+        cost, hours, worst, unserved = costs.sortie_cost((x, y), drops[s], kmh / 3.6, side, 3.0)
+        failed += unserved
+        assert (got[c]["unserved"], got[c]["cost"], got[c]["hours"], got[c]["worst"]) == (unserved, pytest.approx(cost), pytest.approx(hours), pytest.approx(worst))
+    assert failed > 0
+
+
 def test_sites_are_ranked_over_all_drops(spark):
     sf = "/root/testdata/sf0.001"
     told = {(r["scene_id"], r["cand_id"]): r for r in queries.w11_ranked_sites(spark, sf).collect()}
@@ -116,7 +140,7 @@ def test_sites_are_ranked_over_all_drops(spark):
     winds = {r["scene_id"] for r in X.scenes(spark, sf).collect()}
     for r in homes:
         wind = (30 / 3.6, 270.0) if r["scene_id"] in winds else (0.0, 0.0)
-        cost, _, worst, unserved = selection.sortie_cost((r["x"], r["y"]), drops[r["scene_id"]], *wind, X.M_PER_PX)
+        cost, _, worst, unserved = costs.sortie_cost((r["x"], r["y"]), drops[r["scene_id"]], *wind, X.M_PER_PX)
         row = told[r["scene_id"], r["cand_id"]]
         assert row["unserved"] == unserved and abs(row["worst"] - worst) < 1e-5 and abs(row["cost"] - cost) < 1e-4 and (row["rank"] is None) == (unserved > 0)
 

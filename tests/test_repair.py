@@ -3,6 +3,7 @@
 import math
 import random
 
+import costs
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,8 +71,8 @@ def plain_bases(cands, drops, most, apart, rounds=3):
     """Chosen sites of one scene by the rules of select_bases, over dictionaries of points."""
     reach = {c: {d for d, q in drops.items() if 2 * math.dist(p, q) <= LIMIT} for c, p in cands.items()}
     every = set().union(*reach.values())
-    cost = lambda c, ds: round(selection.sortie_cost(cands[c], [drops[d] for d in sorted(ds)], 0.0, 0.0, 2.0)[0], 9)
-    serves = lambda c, ds: selection.sortie_cost(cands[c], [drops[d] for d in sorted(ds)], 0.0, 0.0, 2.0)[3] == 0
+    cost = lambda c, ds: round(costs.sortie_cost(cands[c], [drops[d] for d in sorted(ds)], 0.0, 0.0, 2.0)[0], 9)
+    serves = lambda c, ds: costs.sortie_cost(cands[c], [drops[d] for d in sorted(ds)], 0.0, 0.0, 2.0)[3] == 0
     best = lambda cs, ds: min((c for c in cs if serves(c, ds)), key=lambda c: (cost(c, ds), cands[c]), default=None)
     whole = best([c for c in cands if reach[c] == every], every) if every else None
     if whole is not None or not every:

@@ -2,84 +2,93 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
-from tidemesh.functions.flight import drops_per_load
+from tidemesh.functions.flight import drops_per_load, headwind, leg_battery, wind_mps
 from tidemesh.operators.common import stored
 from tidemesh.operators.sites import apart, assign, greedy_bases
 
 
-def _against(a: tuple, b: tuple, wind: float, wind_from: float) -> float:
-    if a == b:
-        return 0.0
-    heading = math.degrees(math.atan2(b[0] - a[0], a[1] - b[1])) % 360
-    return max(0.0, wind * math.cos(math.radians(wind_from - heading)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _leg(a: tuple, b: tuple, kg: float, wind: float, wind_from: float, scale: float) -> tuple[float, float]:
-    metres = math.dist(a, b) * scale
-    return metres, metres / D.SPEED_MPS / 60 * (1 + kg * D.PAYLOAD_FACTOR + _against(a, b, wind, wind_from) * D.WIND_FACTOR) / D.ENDURANCE_MIN
+def nearest_order(ps: Column, x: Column, y: Column) -> Column:
+    """The array ps (structs with x, y) from (x, y) on, always to the nearest of those left, the first of equals."""
+    square = lambda p, s: (p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"])
+    start = F.struct(ps.alias("left"), x.alias("x"), y.alias("y"), F.filter(ps, lambda _: F.lit(False)).alias("order"))
 
+    def step(s: Column, _: Column) -> Column:
+        nearest = F.array_min(F.transform(s["left"], lambda p, i: F.struct(square(p, s).alias("d"), i.alias("i"), p.alias("p"))))
+        return _let(nearest, lambda b: F.struct(F.filter(s["left"], lambda _, i: i != b["i"]).alias("left"), b["p"]["x"].alias("x"), b["p"]["y"].alias("y"), F.concat(s["order"], F.array(b["p"])).alias("order")))
 
-def sortie_cost(home: tuple, drops: list[tuple], wind: float, wind_from: float, scale: float, reserve: float = D.RESERVE) -> tuple[float, float, float, int]:
-    """(cost, hours, worst sortie, unserved) of serving drops from home; cost is hours plus battery of all sorties.
+    return F.aggregate(ps, start, step, lambda s: s["order"])
 
-    Drops are flown in nearest-neighbour order. A sortie takes as many of the next ones as leave the reserve; a drop
-    that fails alone counts as unserved, at two of its legs.
+
+def sortie_totals(order: Column, x: Column, y: Column, wind: Column, wind_from: Column, scale: float, reserve: float = D.RESERVE) -> Column:
+    """Struct (metres, battery, worst, unserved) of flying to the stops of an array in its order, from (x, y) and back.
+
+    A sortie takes the next stop if with it and the way back it leaves the reserve; else it closes and the next starts
+    with that stop. A stop that fails alone counts as unserved, at two of its legs. Each stop taken adds its load to all
+    legs before it, so the state holds the way out, its metres and what closing now would take; no sortie is flown twice.
     """
-    left, at, order = list(drops), home, []
-    while left:
-        at = min(left, key=lambda p: (p[0] - at[0]) ** 2 + (p[1] - at[1]) ** 2)  # the first of equals
-        left.remove(at)
-        order.append(at)
-
-    def closed(part: list[tuple]) -> tuple[float, float]:
-        metres = battery = 0.0
-        for i, (a, b) in enumerate(zip([home, *part], [*part, home], strict=True)):
-            m, used = _leg(a, b, (len(part) - i) * D.PER_DROP_KG, wind, wind_from, scale)
-            metres, battery = metres + m, battery + used
-        return metres, battery
-
-    total, battery, worst, unserved, k = 0.0, 0.0, 0.0, 0, 0
-    while k < len(order):
-        best = None
-        for n in range(1, min(drops_per_load(), len(order) - k) + 1):
-            trial = closed(order[k : k + n])
-            if trial[1] > 1 - reserve:
-                break
-            best = n, *trial
-        if best is None:
-            metres, used = closed(order[k : k + 1])
-            best, unserved = (1, metres, used), unserved + 1
-        k, total, battery, worst = k + best[0], total + best[1], battery + best[2], max(worst, best[2])
-    hours = total / D.SPEED_MPS / 3600
-    return hours + battery, hours, worst, unserved
+    kg, none = F.lit(D.PER_DROP_KG), F.lit(0.0)
+
+    def flown(ax: Column, ay: Column, bx: Column, by: Column, load: Column) -> tuple[Column, Column]:
+        dx, dy = (bx - ax).cast("double"), (by - ay).cast("double")
+        metres = F.hypot(dx, dy) * scale
+        return metres, leg_battery(metres, load, headwind(dx, dy, wind, wind_from))
+
+    def step(s: Column, p: Column) -> Column:
+        direct, alone = flown(x, y, p["x"], p["y"], kg)
+        _, home = flown(p["x"], p["y"], x, y, none)
+        leg, used = flown(s["x"], s["y"], p["x"], p["y"], kg)
+        more = s["out"] + leg_battery(s["long"], kg, none) - leg_battery(s["long"], none, none) + used
+        flights = F.struct(direct.alias("direct"), alone.alias("alone"), home.alias("home"), leg.alias("leg"), more.alias("more"))
+
+        def told(v: Column) -> Column:
+            joins = (s["n"] > 0) & (s["n"] < drops_per_load()) & (v["more"] + v["home"] <= 1 - reserve)
+            fits = v["alone"] + v["home"] <= 1 - reserve
+            pick = lambda joined, first, lost: F.when(joins, joined).when(fits, first).otherwise(lost)
+            back = v["alone"] + v["home"]
+            return F.struct(
+                pick(v["more"], v["alone"], none).alias("out"), pick(s["long"] + v["leg"], v["direct"], none).alias("long"), pick(s["n"] + 1, F.lit(1), F.lit(0)).alias("n"),
+                p["x"].alias("x"), p["y"].alias("y"),
+                pick(v["more"] + v["home"], back, none).alias("shut"), pick(s["long"] + v["leg"] + v["direct"], 2 * v["direct"], none).alias("far"),
+                (s["metres"] + pick(none, s["far"], s["far"] + 2 * v["direct"])).alias("metres"),
+                (s["battery"] + pick(none, s["shut"], s["shut"] + back)).alias("battery"),
+                F.greatest(s["worst"], pick(none, s["shut"], F.greatest(s["shut"], back))).alias("worst"),
+                (s["unserved"] + pick(F.lit(0), F.lit(0), F.lit(1))).alias("unserved"),
+            )
+
+        return _let(flights, told)
+
+    zero = F.struct(none.alias("out"), none.alias("long"), F.lit(0).alias("n"), x.alias("x"), y.alias("y"), *(none.alias(c) for c in ("shut", "far", "metres", "battery", "worst")), F.lit(0).alias("unserved"))
+    return F.aggregate(order, zero, step, lambda s: F.struct((s["metres"] + s["far"]).alias("metres"), (s["battery"] + s["shut"]).alias("battery"), F.greatest(s["worst"], s["shut"]).alias("worst"), s["unserved"].cast("long").alias("unserved")))
 
 
 def score_sites(pairs: DataFrame, drops: DataFrame, wind: DataFrame, m_per_px: float) -> DataFrame:
-    """pairs (scene_id, group_id, cand_id, x, y) with cost, hours, worst and unserved of serving the group's drops.
+    """pairs (scene_id, group_id, cand_id, x, y) with cost, hours, worst and unserved of serving the group's drops in
+    nearest-neighbour order; cost is hours plus battery of all sorties.
 
     drops has scene_id, group_id, drop_id, x, y: a group is what one site serves, some dozens. wind has scene_id,
-    wind_speed_10m and wind_direction_10m. A pair is one row of work, so tasks share them evenly.
+    wind_speed_10m and wind_direction_10m. A pair is one row of work, so tasks share them evenly; both folds stay on the
+    JVM, and the groups are joined after their drops are gathered.
     """
-    groups = drops.groupBy("scene_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("drop_id", "x", "y"))).alias("ps"))
+    place = lambda c: F.col(c).cast("long").alias(c)
+    groups = drops.groupBy("scene_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("drop_id", place("x"), place("y")))).alias("ps"))
     told = pairs.join(groups, ["scene_id", "group_id"]).join(wind.select("scene_id", "wind_speed_10m", "wind_direction_10m"), "scene_id", "left")
-    told = told.select("scene_id", "group_id", "cand_id", "x", "y", "ps", (F.greatest(F.lit(0.0), F.coalesce("wind_speed_10m", F.lit(0.0))) / 3.6).alias("w"), F.coalesce("wind_direction_10m", F.lit(0.0)).alias("f"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [sortie_cost((r.x, r.y), [(p["x"], p["y"]) for p in r.ps], r.w, r.f, m_per_px) for r in pdf.itertuples(index=False)]
-            yield pd.concat([pdf[["scene_id", "group_id", "cand_id", "x", "y"]].reset_index(drop=True), pd.DataFrame(got, columns=["cost", "hours", "worst", "unserved"])], axis=1)
-
-    kinds = dict(told.dtypes)
-    keys = ", ".join(f"{c} {kinds[c]}" for c in ("scene_id", "group_id", "cand_id", "x", "y"))
-    return told.mapInPandas(run, f"{keys}, cost double, hours double, worst double, unserved long")
+    home = F.col("x").cast("long"), F.col("y").cast("long")
+    speed = wind_mps(F.coalesce("wind_speed_10m", F.lit(0.0)))
+    told = told.withColumn("_o", nearest_order(F.col("ps"), *home))
+    told = told.withColumn("_t", sortie_totals(F.col("_o"), *home, speed, F.coalesce("wind_direction_10m", F.lit(0.0)), m_per_px))
+    hours = F.col("_t.metres") / D.SPEED_MPS / 3600
+    return told.select("scene_id", "group_id", "cand_id", "x", "y", (hours + F.col("_t.battery")).alias("cost"), hours.alias("hours"), F.col("_t.worst").alias("worst"), F.col("_t.unserved").alias("unserved"))
 
 
 def ranked_sites(scored: DataFrame) -> DataFrame:
