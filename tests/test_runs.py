@@ -81,8 +81,10 @@ def test_a_stream_stops_and_goes_on(spark, tmp_path, monkeypatch):
     take()  # nothing new
     put(2, third)
     take()
+    put(3, [(1, at(0, 1), 1.0, 1.0, 1.0)])  # nothing but a late reading
+    take()
     sites = {r["site_id"]: r for r in feed.replayed_sites(spark, f"file://{tmp_path}/out").collect()}
-    assert {s: (r["n"], r["late"], r["repeated"]) for s, r in sites.items()} == {1: (18, 3, 1), 2: (16, 0, 0), 3: (1, 0, 1)}
+    assert {s: (r["n"], r["late"], r["repeated"]) for s, r in sites.items()} == {1: (18, 4, 1), 2: (16, 0, 0), 3: (1, 0, 1)}
     assert str(sites[1]["newest_ts"])[11:16] == "04:55" and sites[1]["wind_direction_10m"] == 20.0 and sites[3]["precipitation"] == 0.0
     kept = first + [second[0], second[2], second[4], third[0], third[3]]
     batch = weather.hourly(spark.createDataFrame(kept, KINDS).withColumn("obs_ts", F.to_timestamp("t")))

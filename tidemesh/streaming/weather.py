@@ -52,7 +52,7 @@ def fold_batch(rows: DataFrame, k: int, folder: str, late: str) -> None:
     both = sites.join(came.join(new, "site_id", "left"), "site_id", "full").na.fill(0, ["n", "late", "repeated", "_all", "_l", "_n"])
     newer = F.coalesce(F.col("_b.obs_ts") > F.col("newest_ts"), F.col("_b").isNotNull())
     value = lambda c, b: F.when(newer, F.col(b)).otherwise(F.col(c)).alias(c)
-    put(both.select("site_id", value("newest_ts", "_b.obs_ts"), *(value(c, f"_b.r.{c}") for c in FIELDS), (F.col("n") + F.col("_n")).alias("n"), (F.col("late") + F.col("_l")).alias("late"), (F.col("repeated") + F.col("_all") - F.col("_l") - F.col("_n")).alias("repeated")), now("sites"))
+    put(both.select("site_id", value("newest_ts", "_b.obs_ts"), *(value(c, f"_b.r.{c}") for c in FIELDS), (F.col("n") + F.col("_n")).alias("n"), (F.col("late") + F.col("_l")).alias("late"), (F.col("repeated") + F.col("_all") - F.col("_l") - F.col("_n")).alias("repeated"), F.lit(k).cast("long").alias("batch")), now("sites"))
     kept = recent.union(fresh.select("site_id", "obs_ts")).join(spark.read.schema(SITES).parquet(now("sites")).select("site_id", "newest_ts"), "site_id")
     put(kept.where(F.col("obs_ts") >= edge).select("site_id", "obs_ts"), now("recent"))
 
@@ -78,5 +78,5 @@ def replayed_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 def replayed_sites(spark: SparkSession, folder: str) -> DataFrame:
     """Each site's newest reading, and its numbers of readings, late ones and repeated ones (SITES)."""
-    last = spark.read.parquet(f"{folder}/hours").agg(F.max("batch")).first()[0]
-    return spark.read.schema(SITES).parquet(f"{folder}/sites-{last % 2}")
+    both = spark.read.schema(f"{SITES}, batch long").parquet(f"{folder}/sites-*")
+    return both.where(F.col("batch") == both.agg(F.max("batch")).first()[0]).drop("batch")
