@@ -48,6 +48,8 @@ def test_refine_ends_in_each_way(spark):
     done, outcomes = planning.refine(start, step, 4)
     assert {r["base_id"]: (r["outcome"], r["rounds"]) for r in outcomes.collect()} == {1: ("converged", 1), 2: ("cycle", 2), 3: ("iteration_cap", 4)}
     assert done.count() == 3
+    caps = spark.createDataFrame([(1, 3, 2)], "scene_id long, base_id long, cap int")
+    assert {r["base_id"]: (r["outcome"], r["rounds"]) for r in planning.refine(start, step, 4, caps)[1].collect()}[3] == ("iteration_cap", 2)
 
 
 def test_sortie_cost_by_hand():

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions.flight import drops_per_load, headwind, leg_battery, wind_mps
-from tidemesh.operators.common import stored
+from tidemesh.operators.common import let, stored
 from tidemesh.operators.sites import apart, assign, greedy_bases
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def nearest_order(ps: Column, x: Column, y: Column) -> Column:
     """The array ps (structs with x, y) from (x, y) on, always to the nearest of those left, the first of equals."""
     square = lambda p, s: (p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"])
@@ -25,7 +18,7 @@ def nearest_order(ps: Column, x: Column, y: Column) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         nearest = F.array_min(F.transform(s["left"], lambda p, i: F.struct(square(p, s).alias("d"), i.alias("i"), p.alias("p"))))
-        return _let(nearest, lambda b: F.struct(F.filter(s["left"], lambda _, i: i != b["i"]).alias("left"), b["p"]["x"].alias("x"), b["p"]["y"].alias("y"), F.concat(s["order"], F.array(b["p"])).alias("order")))
+        return let(nearest, lambda b: F.struct(F.filter(s["left"], lambda _, i: i != b["i"]).alias("left"), b["p"]["x"].alias("x"), b["p"]["y"].alias("y"), F.concat(s["order"], F.array(b["p"])).alias("order")))
 
     return F.aggregate(ps, start, step, lambda s: s["order"])
 
@@ -66,7 +59,7 @@ def sortie_totals(order: Column, x: Column, y: Column, wind: Column, wind_from:
                 (s["unserved"] + pick(F.lit(0), F.lit(0), F.lit(1))).alias("unserved"),
             )
 
-        return _let(flights, told)
+        return let(flights, told)
 
     zero = F.struct(none.alias("out"), none.alias("long"), F.lit(0).alias("n"), x.alias("x"), y.alias("y"), *(none.alias(c) for c in ("shut", "far", "metres", "battery", "worst")), F.lit(0).alias("unserved"))
     return F.aggregate(order, zero, step, lambda s: F.struct((s["metres"] + s["far"]).alias("metres"), (s["battery"] + s["shut"]).alias("battery"), F.greatest(s["worst"], s["shut"]).alias("worst"), s["unserved"].cast("long").alias("unserved")))

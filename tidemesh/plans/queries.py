@@ -417,16 +417,35 @@ def u2_lost_pixels(spark, sf_dir):
     return spread.lost_pixels(frames).groupBy("scene_id", F.round("hour", 4).alias("hour")).agg(F.count("*").alias("n"))
 
 
-def f8_stop_plan(spark, sf_dir):
-    """Closed sorties of every base; drops that the forecast floods at arrival, or that no battery serves, are rejects."""
+def _stop_inputs(spark, sf_dir):
+    """Visit order, homes, wind and wet intervals of the hourly forecast."""
     stops, homes = _stops(spark, sf_dir)
-    frames = spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H)
+    frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
     wet = timeline.wet_intervals(frames, X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y"))
     wind = X.scenes(spark, sf_dir).select("scene_id", F.lit(30.0).alias("wind_speed_10m"))
-    plan = planning.stop_plan(sites.visit_order(stops, homes), homes, wind, wet, X.M_PER_PX, 0.5)
+    return sites.visit_order(stops, homes), homes, wind, wet
+
+
+def f8_stop_plan(spark, sf_dir):
+    """Closed sorties of every base; drops that the forecast floods at arrival, or that no battery serves, are rejects."""
+    plan = planning.stop_plan(*_stop_inputs(spark, sf_dir), X.M_PER_PX, 0.5)
     return plan.select("scene_id", "base_id", "seq", "x", "y", "kind", "drop_id", F.round("battery", 6).alias("battery"), "reason")
 
 
+def f9_settled_plans(spark, sf_dir):
+    """How every base's plan settles as its legs are routed over ground that is dry when flown: outcome and rounds, and the
+    points, rejects and closed sorties of its last plan."""
+    order, homes, wind, wet = _stop_inputs(spark, sf_dir)
+    wet = stored(wet, "wet")
+    plans, outcomes = planning.settled_plans(order, homes, wind, wet, X.M_PER_PX, lambda points: legs.full_routes(points, wet, W, H, X.M_PER_PX), 0.5)
+    closed = F.col("kind").isin("home", "reload") & (F.col("seq") > 0)
+    told = plans.groupBy("scene_id", "base_id").agg(
+        F.count_if(F.col("kind") != "reject").alias("points"), F.count_if(F.col("kind") == "reject").alias("rejects"), F.count_if(closed).alias("sorties"),
+        F.sum(F.when(F.col("kind") == "drop", F.col("seq") * F.col("drop_id"))).alias("checksum"), F.round(F.min(F.when(closed, F.col("battery"))), 6).alias("least_battery"),
+    )
+    return outcomes.join(told, ["scene_id", "base_id"])
+
+
 def _flown_legs(spark, sf_dir):
     frames = stored(spread.forecast(X.mask(spark, sf_dir), _scene_weather(spark, sf_dir), 1.0, W, H), "frames")
     wet = timeline.wet_intervals(frames, X.pixels_hsv(spark, sf_dir).select("scene_id", "x", "y"))
