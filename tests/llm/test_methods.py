@@ -1,13 +1,17 @@
 """Operators that SQL can't express: brute force, round trips and held-out accuracy."""
 
+import math
 import random
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemesh.llm import crf, linkgraph, mixing, neardup, packing, pivots, sharding, toxicity
+from tidemesh.llm import crf, divergence, linkgraph, mixing, neardup, packing, pivots, sharding, toxicity
 from tidemesh.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -22,6 +26,26 @@ def test_jump_moves_only_into_the_new_shard(spark):
     assert 300 < moved.where("a <> b").count() < 700
 
 
+def test_shards_are_those_of_a_walk_by_hand(spark):
+    def walk(key, n):
+        at = jump = 0
+        while jump < n:
+            at = jump
+            draw = xxhash.xxh64_intdigest(struct.pack("<q", at), seed=xxhash.xxh64_intdigest(("\0null" if key is None else str(key)).encode(), seed=42)) >> 33
+            jump = math.floor((at + 1) / ((draw + 1) / (1 << 31)))
+        return at
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (-5, "é"), (-5, "é"), (2**62, "")], "doc_id long, text string"))
+    rows = docs.collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), walk(r["doc_id"], 40), walk(r["doc_id"], 41)) for r in rows)
+    got = sharding.shard_documents(docs, 40).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == want
+    for shard in range(40):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_demand_inverse_inverts_the_schedule(spark):
     rows = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
     for ramp in (-0.5, 0.0, 0.5):
@@ -300,7 +324,6 @@ def test_packing_round_trip(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     packed = packing.pack(packing.pieces(docs, path, ids=True)).toPandas()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for doc_id, text in docs.select("doc_id", "text").collect():
         own = packed[packed.doc_id == doc_id].sort_values("start")
         want = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
@@ -439,3 +462,44 @@ def test_pipeline_keeps_clean_documents(spark):
     lost = good - {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert len(lost) <= 0.05 * len(good)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_stages_by_hand(spark, tmp_path):
+    """Each stage against its operator or brute force, and the packed tokens against the unmodified library's ids of the mix."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    outs = [table(spark, sf, "documents").select(*corpus_pipeline.COLUMNS)]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, outs[-1], sf).write.parquet(str(tmp_path / name))
+        outs.append(spark.read.parquet(str(tmp_path / name)))
+    docs, good, ruled, single, mixed, packed = outs
+    of = lambda df: Counter(tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect())
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    for before, after in ((docs, good), (good, ruled), (ruled, single)):
+        assert not of(after) - of(before) and after.count() > 0
+    assert not set(of(mixed)) - set(of(single)) and max(of(mixed).values()) <= 2
+    assert ids(good) == ids(crf.op1_line_crf(spark, sf).where("predicted = 1"))
+    assert ids(ruled) == ids(divergence.judge(good).where("kept"))
+
+    rows = ruled.select("doc_id", "text").collect()
+    classes, _ = classes_by_force([r["text"] for r in rows], neardup.corpus_weights(ruled))
+    least = {}
+    for r, c in zip(rows, classes, strict=True):
+        least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    assert sorted(least.values()) == sorted(r["doc_id"] for r in single.select("doc_id").collect())
+
+    library, want, got = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter(), Counter()
+    tokens = {}
+    for r in mixed.select("doc_id", "text").collect():
+        tokens[r["doc_id"]] = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        want[r["doc_id"]] += len(tokens[r["doc_id"]])
+    used = Counter()
+    for r in packed.collect():
+        own = tokens[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        got[r["doc_id"]] += r["length"]
+        used[r["sequence_id"]] += r["length"]
+    assert got == want and max(used.values()) <= 2048

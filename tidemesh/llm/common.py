@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -21,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or the context's checkpoint folder. One must be set."""
+    """The URI of the folder that the cluster shares: spark.checkpoint.dir, or the context's checkpoint folder. One must be
+    set; a path without a scheme is on the cluster's default file system, as Spark itself takes it."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
 
 
 #: Folders of the tables that are deleted where the innermost open scratch ends; None outside of any.

@@ -395,7 +395,9 @@ def bucket_links(rest: DataFrame, nodes: DataFrame, texts: DataFrame, weights: B
     different classes and gives out links only, one for a node and class. A pair is looked at in the first band that it
     shares.
     """
-    sizes = rest.groupBy("key").agg(F.count("*").alias("size"), F.mode("root", True).alias("main")).where(F.col("size") > SMALL)
+    each = rest.groupBy("key", "root").agg(F.count("*").alias("n"))
+    commonest = F.max_by("root", F.struct("n", "root")).alias("main")
+    sizes = each.groupBy("key").agg(F.sum("n").alias("size"), commonest).where(F.col("size") > SMALL)
     large = saved(rest.join(sizes, "key").select("key", "band", "node", "root", "main"), "large")
     counts = large.groupBy("key").agg(F.count_if(F.col("root") != F.col("main")).alias("_asked"), F.count("*").alias("_held"))
     counts = counts.select("key", F.ceil(F.col("_asked") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("_held") / BLOCK).cast("int").alias("columns"))
