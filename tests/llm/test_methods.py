@@ -303,6 +303,54 @@ def test_added_tokens_as_the_library():
     assert np.frombuffer(t.encode(texts[0]), "<u4").tolist() == [50256, 2124]
 
 
+def test_pre_tokens_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, library = packing.ByteTokenizer(path), Tokenizer.from_file(path)
+    chars = [chr(c) for c in (*range(0x2B0), *range(0x2010, 0x2028), *range(0x2030, 0x205F))]
+    texts = [x for c in chars for x in (c, f"a{c}a", f"1{c}1", f"%{c}%", f" {c} {c}", f"{c}{c} a", f"\n{c}\n", f"'{c}")]
+    rng = random.Random(3)
+    mixed = [*chars, *([" ", "\n", "'", "s", "re", "ll", "a", "é", "1", "²", "%", "—", "’", "\xa0", "\x1c", "ʰ", "字", "<|endoftext|>"] * 40)]
+    texts += ["".join(rng.choice(mixed) for _ in range(20)) for _ in range(3000)]
+    for text in texts:
+        assert t.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_each_pre_token_meets_the_library_once(monkeypatch):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, asked = tokenizers.Tokenizer.from_file(path), []
+
+    class Model:
+        def tokenize(self, token):
+            asked.append(token)
+            return library.model.tokenize(token)
+
+    class Counted:
+        model = Model()
+        get_added_tokens_decoder = library.get_added_tokens_decoder
+
+        @classmethod
+        def from_file(cls, _):
+            return cls()
+
+        def encode(self, text, **how):
+            asked.append(text)
+            return library.encode(text, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    t = packing.ByteTokenizer(path)
+    asked.clear()
+    stems, marks = ["ening", "réa", "Übung"], [",", ".", "%%%", "’", ""]
+    texts = [f"{a}{m}\n{b}{n} {a}{n} | {b}{m}  12" for a in stems for b in stems for m in marks for n in marks]
+    assert [t.encode(x) for x in texts] == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert sorted(asked) == sorted({w for x in texts for w, _ in library.pre_tokenizer.pre_tokenize_str(x)})
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(60):

@@ -29,6 +29,13 @@ LONG = 256
 #: A line break that is a pre-token of its own, as it stands alone between other characters than white space.
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _BREAKS = "\n\t\r\v\f\x1c\x1d\x1e\x1f"
+#: White space, letters and numbers of a range in which the library's classes are fixed: Latin, and punctuation that isn't ASCII.
+_SPACES, _LETTERS, _NUMBERS = r"\t-\r \x85\xa0", r"A-Za-zªµºÀ-ÖØ-öø-ʯ", r"0-9²³¹¼-¾"
+_OTHER = re.compile(r"[^\x00-ʯ\u2010-\u2027\u2030-\u205e]")
+#: The pre-tokens of the library's byte-level split, for texts without _OTHER.
+_TOKEN = re.compile(
+    rf" [{_LETTERS}]++|[{_LETTERS}]++| ?[{_NUMBERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]++|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]++"
+)
 _WIDE_BREAKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -53,28 +60,44 @@ class Words(dict):
 class ByteTokenizer:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokens never reach over a single space that stands between other characters than white space, so a text
-    is encoded word by word and equal words only once; other texts are encoded whole, as are those that hold the literal
-    of an added token, which the library takes for that token.
+    A text of Latin letters, ASCII and general punctuation is cut into pre-tokens as the library does, and its model encodes
+    each different one once. Pre-tokens never reach over a single space that stands between other characters than white
+    space, so a text with other characters is encoded word by word, equal words once; if it has other white space it is
+    encoded whole, as are texts that hold the literal of an added token, which the library takes for that token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokens = Words(self.token)
         self.bare, self.spaced = Words(lambda w: self.word("", w)), Words(lambda w: self.word(" ", w))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
         self.line = self.whole("\n")
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.space = chr(self.shown[ord(" ")])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def token(self, token: str) -> bytes:
+        """A pre-token, which the model encodes without further search."""
+        if token.isascii() and token.isprintable():
+            shown = token.replace(" ", self.space)
+        else:
+            shown = token.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def known(self, text: str) -> bytes:
+        """A text without _OTHER."""
+        return b"".join(map(self.tokens.__getitem__, _TOKEN.findall(text)))
+
     def word(self, prefix: str, word: str) -> bytes:
-        """A word that spaces bound; Latin letters are one pre-token, which the model encodes without further search."""
-        if word.isalpha() and max(word) < "ɐ":
-            return array("I", [t.id for t in self.tokenizer.model.tokenize((prefix + word).encode().decode("latin-1").translate(self.shown))]).tobytes()
+        """A word that spaces bound."""
+        if not _OTHER.search(word):
+            return self.known(prefix + word)
         own = self.spaced if prefix else self.bare
         if "\n" in word:
             first, *rest = _LINE.split(word)
@@ -91,7 +114,11 @@ class ByteTokenizer:
         return text.isascii() or not any(c in text for c in _WIDE_BREAKS)
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added) or not self.plain(text):
+        if any(a in text for a in self.added):
+            return self.whole(text)
+        if text.isascii() or not _OTHER.search(text):
+            return self.known(text)
+        if not self.plain(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
