@@ -25,6 +25,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_scene(df: DataFrame) -> DataFrame:
+    """df dealt by scene: steps keyed by scene and more need no other shuffle, nor do joins with what is dealt alike.
+
+    The partitions are as many as spark.sql.shuffle.partitions says, and aren't merged by their bytes, which say nothing
+    of the pixels that are made of their rows. Joins of pixels carry merge hints as well, for the same reason.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene_id")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once."""
     return F.transform(F.array(value), body)[0]
