@@ -74,10 +74,12 @@ def close_open(mask: DataFrame, r: int, width: int, height: int) -> DataFrame:
 def sample_thresholds(pixels: DataFrame, samples: DataFrame, radius: int = 5) -> DataFrame:
     """Per scene: h_lo, h_hi, s_lo, s_hi, v_lo, v_hi and wrap from the patches round its sample points.
 
-    A patch is clipped to the image. Hue opens by 20, saturation and value by 30; wrap means red at either end.
+    A patch is clipped to the image. Hue opens by 20, saturation and value by 30; wrap means red at either end. A scene's
+    samples are few, so pixels meet them by scene, and those in two patches may count twice.
     """
-    tiles = samples.select("scene_id", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)).alias("x"), "y").select("scene_id", "x", F.explode(F.sequence(F.col("y") - radius, F.col("y") + radius)).alias("y")).distinct()
-    patch = pixels.join(tiles, PIXEL)
+    at = samples.select("scene_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    near = (F.abs(F.col("x") - F.col("_x")) <= radius) & (F.abs(F.col("y") - F.col("_y")) <= radius)
+    patch = pixels.join(at.hint("shuffle_hash"), "scene_id").where(near)
     span = [f(c).alias(f"{c}_{k}") for c in "hsv" for k, f in (("lo", F.min), ("hi", F.max))]
     ends = patch.groupBy("scene_id").agg(*span)
     low = lambda c, d: F.greatest(F.lit(0), F.col(f"{c}_lo") - d).cast("int").alias(f"{c}_lo")
@@ -88,7 +90,7 @@ def sample_thresholds(pixels: DataFrame, samples: DataFrame, radius: int = 5) ->
 
 def threshold(pixels: DataFrame, limits: DataFrame) -> DataFrame:
     """The pixels between their scene's limits: one row of limits a scene, joined by scene."""
-    joined = pixels.join(limits, "scene_id")
+    joined = pixels.join(limits.hint("shuffle_hash"), "scene_id")
     c = F.col
     return joined.where(in_band(c("h"), c("s"), c("v"), (c("h_lo"), c("s_lo"), c("v_lo")), (c("h_hi"), c("s_hi"), c("v_hi")), c("wrap"))).select(*PIXEL)
 
@@ -97,7 +99,7 @@ def normalise(values: DataFrame) -> DataFrame:
     """scene_id, x, y, value scaled to 0..255 by the scene's least and largest; a flat scene is scaled by 255."""
     ends = values.groupBy("scene_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("value") - F.col("_lo")) * 255.0 / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("value") * 255.0)))
-    return values.join(ends, "scene_id").select("scene_id", "x", "y", F.rint(scaled).cast("int").alias("value"))
+    return values.join(ends.hint("shuffle_hash"), "scene_id").select("scene_id", "x", "y", F.rint(scaled).cast("int").alias("value"))
 
 
 def coverage(mask: DataFrame, scenes: DataFrame, most: float | None = None) -> DataFrame:
