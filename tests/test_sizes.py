@@ -40,7 +40,7 @@ def random_frames(spark):
     return spark.createDataFrame([(s, t, x, y) for (s, t), ps in frames.items() for x, y in ps], "scene_id long, hour double, x int, y int"), frames
 
 
-@pytest.mark.parametrize("name", ["p1_bgr_to_hsv", "a1_dominant_hue", "a11_map_sanity", "a3_sample_thresholds"])
+@pytest.mark.parametrize("name", ["p1_bgr_to_hsv", "a1_dominant_hue", "a11_map_sanity", "a3_sample_thresholds", "p3_threshold_mask"])
 def test_scene_pixels_are_neither_broadcast_nor_shuffled(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert not broadcasts(text) and not pixel_shuffles(text)
