@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemesh.operators import routes
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
 
@@ -44,3 +45,8 @@ def random_frames(spark):
 def test_scene_pixels_are_neither_broadcast_nor_shuffled(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert not broadcasts(text) and not pixel_shuffles(text)
+
+
+def test_flooded_ground_is_not_broadcast(spark):
+    points = spark.createDataFrame([(1, 4, 0, 0, 0), (1, 4, 1, 50, 20)], "scene_id long, base_id long, seq int, x int, y int")
+    assert not broadcasts(plan(routes.flooded_under(points, X.mask(spark, SF))))
