@@ -50,3 +50,7 @@ def test_scene_pixels_are_neither_broadcast_nor_shuffled(spark, name):
 def test_flooded_ground_is_not_broadcast(spark):
     points = spark.createDataFrame([(1, 4, 0, 0, 0), (1, 4, 1, 50, 20)], "scene_id long, base_id long, seq int, x int, y int")
     assert not broadcasts(plan(routes.flooded_under(points, X.mask(spark, SF))))
+
+
+def test_near_regions_broadcast_no_boundary(spark):
+    assert not broadcasts(plan(registry.QUERIES["j15_near_regions"](spark, SF)))

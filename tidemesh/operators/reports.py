@@ -41,7 +41,7 @@ def territories(sources: DataFrame, free: DataFrame) -> DataFrame:
 
 def territory_violations(territory: DataFrame, drops: DataFrame) -> DataFrame:
     """Assigned drops (scene_id, drop_id, base_id, cx, cy) whose cell belongs to another base, or to none (-1)."""
-    told = drops.join(territory.withColumnRenamed("base_id", "owner"), ["scene_id", "cx", "cy"], "left")
+    told = drops.join(territory.withColumnRenamed("base_id", "owner").hint("merge"), ["scene_id", "cx", "cy"], "left")
     return told.withColumn("owner", F.coalesce("owner", F.lit(-1))).where("owner <> base_id").select("scene_id", "drop_id", "base_id", "owner")
 
 
@@ -77,7 +77,7 @@ def near_regions(drops: DataFrame, boundary: DataFrame, most: int = 25) -> DataF
     asked = drops.withColumn("o", F.explode(around)).withColumn("tx", tile("x") + F.col("o.a")).withColumn("ty", tile("y") + F.col("o.b"))
     stock = boundary.select("scene_id", F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("tx", F.floor(F.col("_x") / most)).withColumn("ty", F.floor(F.col("_y") / most))
     near = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) <= most * most
-    return asked.join(stock, ["scene_id", "tx", "ty"]).where(near).select(*drops.columns).distinct()
+    return asked.join(stock.hint("merge"), ["scene_id", "tx", "ty"]).where(near).select(*drops.columns).distinct()
 
 
 def shared_points(drops: DataFrame) -> DataFrame:
