@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemesh.operators import routes
+from tidemesh import defaults as D
+from tidemesh.operators import regions, repair, routes, sites
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
 
@@ -54,3 +56,25 @@ def test_flooded_ground_is_not_broadcast(spark):
 
 def test_near_regions_broadcast_no_boundary(spark):
     assert not broadcasts(plan(registry.QUERIES["j15_near_regions"](spark, SF)))
+
+
+def test_clearance_broadcasts_no_mask(spark):
+    assert not broadcasts(plan(regions.clearance(X.candidates(spark, SF), X.mask(spark, SF), 16)))
+
+
+def test_places_reach_all_drops_by_the_farthest(spark):
+    sites_ = spark.createDataFrame([(1, 1, 50, 50), (1, 2, 150, 100)], "scene_id long, cand_id long, x int, y int")
+    drops = spark.createDataFrame([(1, 1, 10, 5, 5), (1, 1, 11, 95, 60), (1, 2, 12, 190, 150)], "scene_id long, base_id long, drop_id long, x int, y int")
+    wind = spark.createDataFrame([(1, 10.0)], "scene_id long, wind_speed_10m double")
+    mask, scale = told(spark, {(60, 60), (140, 90)}), 55.0
+    places = repair.nudges(sites_, sites_, drops, mask, wind, scale, W, H, separation=30.0)
+    assert not re.search(r"Broadcast\w*Join \[scene_id#\d+L, (spot|cand)_id", plan(places))
+    got = {(r["cand_id"], r["x"], r["y"]) for r in places.collect()}
+    ring = [(c, x + a, y + b) for c, x, y in ((1, 50, 50), (2, 150, 100)) for a in range(-50, 51, 5) for b in range(-50, 51, 5) if (a or b) and a * a + b * b <= 2500 and 0 <= x + a < W and 0 <= y + b < H]
+    spots = spark.createDataFrame([(1, c, k, x, y) for k, (c, x, y) in enumerate(ring)], "scene_id long, cand_id long, k long, x int, y int")
+    clear = sites.apart(regions.clearance(spots, mask, 9).where(F.col("clearance") >= D.CLEARANCE), sites_, 30.0)
+    near = sites.reach(spots.select("scene_id", F.col("k").alias("cand_id"), "x", "y"), drops, wind, scale).groupBy("cand_id").agg(F.collect_set("drop_id").alias("ds")).collect()
+    reached = {r["cand_id"]: set(r["ds"]) for r in near}
+    own = {1: {10, 11}, 2: {12}}
+    want = {(r["cand_id"], r["x"], r["y"]) for r in clear.collect() if own[r["cand_id"]] <= reached.get(r["k"], set())}
+    assert got == want and 0 < len(got) < len(ring)

@@ -49,12 +49,12 @@ def nudges(sites: DataFrame, others: DataFrame, drops: DataFrame, mask: DataFram
     spots = spots.where(f"(dx <> 0 OR dy <> 0) AND dx * dx + dy * dy <= {most * most}").selectExpr("scene_id", "cand_id", "cast(hx + dx AS int) AS x", "cast(hy + dy AS int) AS y", "dx * dx + dy * dy AS moved2").where(f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}")
     clear = clearance(spots, mask, int(D.CLEARANCE) + 1).where(F.col("clearance") >= D.CLEARANCE).drop("clearance")
     clear = stored(apart(clear, others, separation).withColumn("spot_id", F.monotonically_increasing_id()), "spots")
-    mine = drops.select("scene_id", "base_id", "drop_id", "x", "y")
-    need = mine.groupBy("scene_id", "base_id").agg(F.count("*").alias("need"))
-    near = reach(clear.select("scene_id", F.col("spot_id").alias("cand_id"), "x", "y"), mine, wind, m_per_px).withColumnRenamed("cand_id", "spot_id")
-    hit = near.join(clear.select("scene_id", "spot_id", F.col("cand_id").alias("base_id")), ["scene_id", "spot_id"]).join(mine.select("scene_id", "base_id", "drop_id"), ["scene_id", "base_id", "drop_id"])
-    able = hit.groupBy("scene_id", "base_id", "spot_id").agg(F.count("*").alias("n")).join(need, ["scene_id", "base_id"]).where("n = need").select("scene_id", "spot_id")
-    return clear.join(able, ["scene_id", "spot_id"]).drop("spot_id")
+    # a place that reaches a base's farthest drop reaches all, so a place is one pair, however many drops there are
+    mine = drops.groupBy("scene_id", F.col("base_id").alias("cand_id")).agg(F.collect_list(F.struct("x", "y")).alias("ps"))
+    away = F.transform("ps", lambda p: F.hypot((p["x"] - F.col("x")).cast("double"), (p["y"] - F.col("y")).cast("double")))
+    pairs = clear.join(mine.hint("merge"), ["scene_id", "cand_id"]).select("scene_id", F.col("spot_id").alias("cand_id"), F.lit(0).alias("drop_id"), (F.array_max(away) * m_per_px).alias("distance_m"))
+    able = reach(clear, drops, wind, m_per_px, distances=pairs).select("scene_id", F.col("cand_id").alias("spot_id"))
+    return clear.join(able.hint("merge"), ["scene_id", "spot_id"], "left_semi").drop("spot_id")
 
 
 def moved_bases(crossed: DataFrame, points: DataFrame, assigned: DataFrame, drops: DataFrame, homes: DataFrame, replan: Callable[[DataFrame, DataFrame], DataFrame], nudge: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
