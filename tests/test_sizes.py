@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
-from tidemesh.operators import regions, repair, routes, sites
+from tidemesh.operators import grid, masks, regions, repair, routes, sites
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
 
@@ -62,6 +62,13 @@ def test_clearance_broadcasts_no_mask(spark):
     assert not broadcasts(plan(regions.clearance(X.candidates(spark, SF), X.mask(spark, SF), 16)))
 
 
+def test_located_points_broadcast_no_mask(spark):
+    mask, scenes = X.mask(spark, SF), X.scenes(spark, SF)
+    free = grid.free_cells(masks.block_occupancy(mask, 5, W, H), scenes, 5)
+    assert not broadcasts(plan(free))
+    assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
+
+
 def test_places_reach_all_drops_by_the_farthest(spark):
     sites_ = spark.createDataFrame([(1, 1, 50, 50), (1, 2, 150, 100)], "scene_id long, cand_id long, x int, y int")
     drops = spark.createDataFrame([(1, 1, 10, 5, 5), (1, 1, 11, 95, 60), (1, 2, 12, 190, 150)], "scene_id long, base_id long, drop_id long, x int, y int")
