@@ -1,5 +1,6 @@
 """Plans and results of pixel steps that must hold as tables grow: what is broadcast, what is shuffled, and brute force."""
 
+import math
 import random
 import re
 
@@ -69,6 +70,29 @@ def test_located_points_broadcast_no_mask(spark):
     assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
 
 
+def test_waves_over_wide_and_shifted_grounds(spark):
+    rng = random.Random(11)
+    cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}
+    free = spark.createDataFrame([(1, x, y) for x, y in cells] + [(2, 5, 5)], "scene_id long, cx int, cy int")
+    starts = [(1, 7, 0, 0), (1, 8, 100, 2), (1, 9, 500, 0), (3, 1, 0, 0)]
+    field = grid.distance_field(spark.createDataFrame(starts, "scene_id long, source_id long, cx int, cy int"), free, 30.0)
+    assert not re.findall(r"Exchange hashpartitioning\(scene_id#\d+L, \w+#", plan(field))
+    got = {(r["source_id"], r["cx"], r["cy"]): r["n_straight"] + r["n_diag"] * math.sqrt(2) for r in field.collect()}
+    want = {}
+    for _, source, x, y in starts[:2]:
+        left, best = [(x, y)], {(x, y): 0.0}
+        while left:
+            ahead = {}
+            for at in left:
+                for dx, dy in grid.STEPS:
+                    to, d = (at[0] + dx, at[1] + dy), best[at] + math.hypot(dx, dy)
+                    if to in cells and d <= 30 and d < best.get(to, 99) - 1e-9:
+                        best[to] = ahead[to] = d
+            left = list(ahead)
+        want |= {(source, *p): d for p, d in best.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_places_reach_all_drops_by_the_farthest(spark):
     sites_ = spark.createDataFrame([(1, 1, 50, 50), (1, 2, 150, 100)], "scene_id long, cand_id long, x int, y int")
     drops = spark.createDataFrame([(1, 1, 10, 5, 5), (1, 1, 11, 95, 60), (1, 2, 12, 190, 150)], "scene_id long, base_id long, drop_id long, x int, y int")
