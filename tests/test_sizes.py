@@ -70,6 +70,12 @@ def test_located_points_broadcast_no_mask(spark):
     assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
 
 
+@pytest.mark.parametrize("name", ["j1_dilate"])
+def test_morphology_shuffles_no_pixels(spark, name):
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert not pixel_shuffles(text) and "Broadcast" not in text
+
+
 def test_waves_over_wide_and_shifted_grounds(spark):
     rng = random.Random(11)
     cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}

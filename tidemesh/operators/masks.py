@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions.colour import in_band
+from tidemesh.operators.regions import layers, merged, run_pixels, runs
 
 PIXEL = ["scene_id", "x", "y"]
 
@@ -22,10 +23,6 @@ def square(r: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
-def _offsets(offsets: list[tuple[int, int]]) -> Column:
-    return F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))
-
-
 def inside(df: DataFrame, width: int | str, height: int | str) -> DataFrame:
     return df.where(f"x >= 0 AND y >= 0 AND x < {width} AND y < {height}")
 
@@ -44,31 +41,47 @@ def boundary(mask: DataFrame) -> DataFrame:
     return told.where("NOT (_r AND _c)").drop("_r", "_c")
 
 
+def _spread(body: DataFrame, offsets: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    """Runs (scene_id, y, x1, x2) grown by offsets, clipped to the image: the fewest runs."""
+    rows = {dy: [dx for dx, at in offsets if at == dy] for _, dy in offsets}
+    ends = F.explode(F.array(*(F.struct(F.lit(dy).alias("y"), F.lit(min(xs)).alias("x1"), F.lit(max(xs)).alias("x2")) for dy, xs in sorted(rows.items()))))
+    grown = body.select("scene_id", "y", "x1", "x2", ends.alias("o")).select("scene_id", (F.col("y") + F.col("o.y")).alias("y"), F.greatest(F.col("x1") + F.col("o.x1"), F.lit(0)).alias("x1"), F.least(F.col("x2") + F.col("o.x2"), F.lit(width - 1)).alias("x2"))
+    return merged(grown.where(f"x1 <= x2 AND y >= 0 AND y < {height}"))
+
+
+def _worn(body: DataFrame, r: int, width: int, height: int) -> DataFrame:
+    """The runs of pixels whose square neighbourhood of radius r is all in the runs of a mask (see runs).
+
+    Along rows a run loses r pixels at each end that isn't the image's; a pixel then stays if as many of the rows that
+    see it hold it as there are.
+    """
+    own = body.select("scene_id", "y", F.greatest("x1", F.lit(0)).alias("x1"), F.least("x2", F.lit(width - 1)).alias("x2")).where(f"y >= 0 AND y < {height}")
+    left, right = F.when(F.col("x1") > 0, F.col("x1") + r).otherwise(F.col("x1")), F.when(F.col("x2") < width - 1, F.col("x2") - r).otherwise(F.col("x2"))
+    own = own.select("scene_id", "y", left.alias("x1"), right.alias("x2")).where("x1 <= x2")
+    low, high = F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.lit(height - 1))
+    seen = layers(own.select("scene_id", F.explode(F.sequence(low, high)).alias("y"), "x1", "x2"), F.lit(1))
+    return merged(seen.where(F.col("n") == high - low + 1).drop("n"))
+
+
 def dilate(mask: DataFrame, offsets: list[tuple[int, int]], width: int, height: int) -> DataFrame:
     """The mask grown by offsets, clipped to the image.
 
-    Only boundary pixels are spread, which is exact for the symmetric, row-convex elements of this module. Null-free
-    distinct pixels are expected; an empty mask stays empty.
+    A run of pixels grows to one range a row of the element, which is exact for the row-convex elements of this module;
+    ranges are merged before pixels are made. An empty mask stays empty.
     """
-    grown = boundary(mask.select(*PIXEL)).select("scene_id", "x", "y", F.explode(_offsets(offsets)).alias("o")).select("scene_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return inside(grown, width, height).union(mask.select(*PIXEL)).distinct()
+    return run_pixels(_spread(runs(mask), offsets, width, height))
 
 
 def erode(mask: DataFrame, r: int, width: int, height: int) -> DataFrame:
-    """Pixels whose square neighbourhood of radius r is all in the mask; outside the image counts as in it.
-
-    Each pixel spreads to its neighbourhood, and a pixel stays if as many came as the image has there.
-    """
-    spread = mask.select(*PIXEL, F.explode(_offsets(square(r))).alias("o")).select("scene_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    counts = inside(spread, width, height).groupBy(*PIXEL).agg(F.count("*").alias("n"))
-    span = lambda c, size: F.least(F.col(c) + r, F.lit(size - 1)) - F.greatest(F.col(c) - r, F.lit(0)) + 1
-    return counts.where(F.col("n") == span("x", width) * span("y", height)).select(*PIXEL)
+    """Pixels whose square neighbourhood of radius r is all in the mask; outside the image counts as in it. Runs are worn,
+    not pixels."""
+    return run_pixels(_worn(runs(mask), r, width, height))
 
 
 def close_open(mask: DataFrame, r: int, width: int, height: int) -> DataFrame:
-    """Closing and then opening with a square of radius r: specks and pinholes go."""
-    closed = erode(dilate(mask, square(r), width, height), r, width, height)
-    return dilate(erode(closed, r, width, height), square(r), width, height)
+    """Closing and then opening with a square of radius r: specks and pinholes go. Pixels are made at the end."""
+    closed = _worn(_spread(runs(mask), square(r), width, height), r, width, height)
+    return run_pixels(_spread(_worn(closed, r, width, height), square(r), width, height))
 
 
 def sample_thresholds(pixels: DataFrame, samples: DataFrame, radius: int = 5) -> DataFrame:
