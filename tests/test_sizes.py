@@ -70,7 +70,7 @@ def test_located_points_broadcast_no_mask(spark):
     assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
 
 
-@pytest.mark.parametrize("name", ["j1_dilate"])
+@pytest.mark.parametrize("name", ["j1_dilate", "j2_erode"])
 def test_morphology_shuffles_no_pixels(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert not pixel_shuffles(text) and "Broadcast" not in text
