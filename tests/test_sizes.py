@@ -70,12 +70,27 @@ def test_located_points_broadcast_no_mask(spark):
     assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
 
 
-@pytest.mark.parametrize("name", ["j1_dilate", "j2_erode"])
+@pytest.mark.parametrize("name", ["j1_dilate", "j2_erode", "j3_close_open"])
 def test_morphology_shuffles_no_pixels(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert not pixel_shuffles(text) and "Broadcast" not in text
 
 
+def test_erosion_and_closing_by_runs(spark):
+    rng = random.Random(5)
+    w, h = 17, 13
+    square = lambda r: [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
+    seen = lambda x, y, r: [(x + a, y + b) for a, b in square(r) if 0 <= x + a < w and 0 <= y + b < h]
+    worn = lambda s, r: {p for p in s if all(q in s for q in seen(*p, r))}
+    grown = lambda s, r: {q for p in s for q in seen(*p, r)}
+    for r in (1, 2):
+        own = {(x, y) for x in range(w) for y in range(h) if rng.random() < 0.93}
+        twice = told(spark, own).union(told(spark, own))
+        assert pixels_of(masks.erode(twice, r, w, h)) == worn(own, r)
+        few = {(x, y) for x in range(w) for y in range(h) if rng.random() < 0.5}
+        assert pixels_of(masks.close_open(told(spark, few), r, w, h)) == grown(worn(worn(grown(few, r), r), r), r)
+
+
 def test_waves_over_wide_and_shifted_grounds(spark):
     rng = random.Random(11)
     cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}
