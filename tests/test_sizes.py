@@ -4,11 +4,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
-from tidemesh.operators import grid, masks, regions, repair, routes, sites
+from tidemesh.operators import grid, masks, placement, regions, repair, routes, sites
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
 
@@ -70,7 +71,7 @@ def test_located_points_broadcast_no_mask(spark):
     assert not broadcasts(plan(grid.located(X.drops(spark, SF).withColumnRenamed("drop_id", "id"), free, mask, scenes, 5)))
 
 
-@pytest.mark.parametrize("name", ["j1_dilate", "j2_erode", "j3_close_open"])
+@pytest.mark.parametrize("name", ["j1_dilate", "j2_erode", "j3_close_open", "a2_local_density"])
 def test_morphology_shuffles_no_pixels(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert not pixel_shuffles(text) and "Broadcast" not in text
@@ -91,6 +92,20 @@ def test_erosion_and_closing_by_runs(spark):
         assert pixels_of(masks.close_open(told(spark, few), r, w, h)) == grown(worn(worn(grown(few, r), r), r), r)
 
 
+def test_density_over_bands_is_that_of_the_mirrored_image(spark):
+    rng = np.random.default_rng(3)
+    for h, w in ((600, 9), (7, 40), (3, 2)):
+        image = rng.random((h, w)) < 0.4
+        own = {(int(x), int(y)) for y, x in zip(*np.nonzero(image), strict=True)}
+        got = {(r["x"], r["y"]): r["density"] for r in placement.local_density(told(spark, own), w, h).collect()}
+        at = lambda v, n: v if 0 <= v < n else -v if v < 0 else 2 * (n - 1) - v
+        hit = lambda x, y: 0 <= x < w and 0 <= y < h and bool(image[y, x])
+        some = own if len(own) < 200 else random.Random(1).sample(sorted(own), 200)
+        assert set(got) == own
+        for x, y in some:
+            assert got[x, y] == sum(hit(at(x + a, w), at(y + b, h)) for a in range(-5, 6) for b in range(-5, 6)) / 121
+
+
 def test_waves_over_wide_and_shifted_grounds(spark):
     rng = random.Random(11)
     cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}

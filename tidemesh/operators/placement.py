@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
 from tidemesh.functions.flight import segment_distance
 from tidemesh.operators.common import stored
-from tidemesh.operators.regions import clearance, gaps, run_roots, runs
+from tidemesh.operators.regions import BAND, clearance, gaps, run_roots, runs
 from tidemesh.operators.routes import line_pixels
 
 TIERS = (5.0, 3.5, 2.0, 0.5)
@@ -22,20 +24,49 @@ def band_radius(width: int, height: int) -> int:
     return max(5, min(35, math.ceil(0.04 * max(width, height))))
 
 
+def square_sums(image: np.ndarray, top: int, rows: int, height: int, r: int) -> np.ndarray:
+    """Pixels of an image in the squares of radius r round each pixel of its rows from `top`, mirrored at its borders.
+
+    image holds `rows` rows from `top` on, with up to r more on either side where the whole image of `height` rows has
+    them; the edge itself isn't repeated, and an image smaller than r is mirrored once.
+    """
+    def mirrored(first: int, n: int, size: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(first - r, first + n + r)
+        at = np.where(at < 0, -at, np.where(at > size - 1, 2 * (size - 1) - at, at))
+        return np.clip(at - start, 0, None), (at >= 0) & (at < size)
+
+    width = image.shape[1]
+    y, in_y = mirrored(top, rows, height, max(0, top - r))
+    x, in_x = mirrored(0, width, width, 0)
+    wide = image[np.minimum(y, len(image) - 1)][:, np.minimum(x, width - 1)] * (in_y[:, None] & in_x)
+    sums = np.zeros((wide.shape[0] + 1, wide.shape[1] + 1), np.int64)
+    sums[1:, 1:] = wide.cumsum(0, dtype=np.int64).cumsum(1)
+    side = 2 * r + 1
+    return sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]
+
+
 def local_density(overlay: DataFrame, width: int, height: int, r: int = 5) -> DataFrame:
     """overlay (scene_id, x, y) with density: the overlay's share of the square of radius r round each pixel.
 
-    The image is mirrored at its borders (without repeating the edge). Each pixel is sent to the squares that hold it
-    or one of its mirror images.
+    The image is mirrored at its borders (without repeating the edge). A task sums squares over one band of BAND rows of a
+    scene, which gets the overlay's runs of r rows more on either side; no pixel is sent to another.
     """
-    def images(c: str, size: int):
-        v = F.col(c)
-        return F.array_distinct(F.array_compact(F.array(v, F.when((v > 0) & (v <= r), -v), F.when((v < size - 1) & (v >= size - 1 - r), 2 * (size - 1) - v))))
-
-    cells = overlay.select("scene_id", F.explode(images("x", width)).alias("x"), "y").select("scene_id", "x", F.explode(images("y", height)).alias("y"))
-    sent = cells.select("scene_id", F.explode(F.sequence(F.col("x") - r, F.col("x") + r)).alias("x"), "y").groupBy("scene_id", "x", "y").agg(F.count("*").alias("n"))
-    sent = sent.select("scene_id", "x", F.explode(F.sequence(F.col("y") - r, F.col("y") + r)).alias("y"), "n").groupBy("scene_id", "x", "y").agg(F.sum("n").alias("n"))
-    return overlay.select("scene_id", "x", "y").join(sent, ["scene_id", "x", "y"]).select("scene_id", "x", "y", (F.col("n") / (2 * r + 1) ** 2).alias("density"))
+    def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        top = int(key[1]) * BAND
+        rows, first = min(BAND, height - top), max(0, top - r)
+        marks = np.zeros((min(height, top + rows + r) - first, width + 1), np.int32)
+        at = own["y"].to_numpy(np.int64) - first
+        np.add.at(marks, (at, own["x1"].to_numpy(np.int64)), 1)
+        np.add.at(marks, (at, own["x2"].to_numpy(np.int64) + 1), -1)
+        image = (marks.cumsum(1)[:, :width] > 0).astype(np.int32)
+        y, x = np.nonzero(image[top - first : top - first + rows])
+        n = square_sums(image, top, rows, height, r)[y, x]
+        return pd.DataFrame({"scene_id": key[0], "x": x, "y": y + top, "density": n / (2 * r + 1) ** 2})
+
+    band = lambda y: F.floor(y / BAND).cast("int")
+    own = runs(overlay).select("scene_id", F.col("y").cast("int").alias("y"), F.greatest("x1", F.lit(0)).cast("int").alias("x1"), F.least("x2", F.lit(width - 1)).cast("int").alias("x2")).where(f"x1 <= x2 AND y >= 0 AND y < {height}")
+    sent = own.withColumn("band", F.explode(F.sequence(band(F.greatest(F.col("y") - r, F.lit(0))), band(F.least(F.col("y") + r, F.lit(height - 1))))))
+    return sent.groupBy("scene_id", "band").applyInPandas(fold, f"scene_id {dict(overlay.dtypes)['scene_id']}, x int, y int, density double")
 
 
 def sample_points(density: DataFrame, n: int = 3, apart: float = 40.0) -> DataFrame:
