@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
-from tidemesh.operators import grid, masks, placement, regions, repair, routes, sites
+from tidemesh.operators import grid, masks, placement, regions, repair, routes, sites, spread
+from tidemesh.plans import queries as Q
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
 
@@ -77,6 +78,15 @@ def test_morphology_shuffles_no_pixels(spark, name):
     assert not pixel_shuffles(text) and "Broadcast" not in text
 
 
+def test_steps_of_a_forecast_keep_runs_and_broadcast_no_mask(spark):
+    mask, weather = X.mask(spark, SF), Q._scene_weather(spark, SF)
+    assert "BuildLeft" not in plan(spread.spread_step(mask, weather, 1.0, W, H))
+    frames = spread.forecast_runs(mask, weather, 1.0, W, H).cache()
+    want = spread.forecast(mask, weather, 1.0, W, H)
+    assert spread.frame_pixels(frames).exceptAll(want).isEmpty() and want.exceptAll(spread.frame_pixels(frames)).isEmpty()
+    assert frames.count() < want.count() / 4
+
+
 def test_erosion_and_closing_by_runs(spark):
     rng = random.Random(5)
     w, h = 17, 13
