@@ -116,6 +116,15 @@ def test_density_over_bands_is_that_of_the_mirrored_image(spark):
             assert got[x, y] == sum(hit(at(x + a, w), at(y + b, h)) for a in range(-5, 6) for b in range(-5, 6)) / 121
 
 
+def test_lost_pixels_of_runs(spark):
+    df, frames = random_frames(spark)
+    after = {(1, 0.0): (1, 0.5), (1, 0.5): (1, 1.0), (2, 0.0): (2, 1.0)}
+    want = {(*a, x, y) for a, b in after.items() for x, y in frames[a] - frames[b]}
+    assert {tuple(r) for r in spread.lost_pixels(df).select("scene_id", "hour", "x", "y").collect()} == want
+    parts = regions.runs(df, ("scene_id", "hour")).drop("run_id")
+    assert {tuple(r) for r in spread.frame_pixels(spread.lost_pixels(parts)).collect()} == want
+
+
 def test_waves_over_wide_and_shifted_grounds(spark):
     rng = random.Random(11)
     cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}
