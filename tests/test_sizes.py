@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemesh import defaults as D
-from tidemesh.operators import grid, masks, placement, regions, repair, routes, sites, spread
+from tidemesh.operators import grid, masks, placement, regions, repair, routes, sites, spread, timeline
 from tidemesh.plans import queries as Q
 from tidemesh.plans import registry
 from tidemesh.sources import fixtures as X
@@ -125,6 +125,20 @@ def test_lost_pixels_of_runs(spark):
     assert {tuple(r) for r in spread.frame_pixels(spread.lost_pixels(parts)).collect()} == want
 
 
+def test_blends_of_runs(spark):
+    df, frames = random_frames(spark)
+    times = timeline.bracket(spark.createDataFrame([(s, t) for s in (1, 2) for t in (0.5, 0.7, 3.0)], "scene_id long, t double"), df.select("scene_id", "hour").distinct())
+    grey = {}
+    for s, t, a, b, alpha, source in times.select("scene_id", "t", "lower", "upper", "alpha", "source").collect():
+        alpha = alpha if source == "interpolated" else 0.0
+        for p in frames[s, a] | frames[s, b]:
+            v = np.rint(255 * ((1 - alpha) * (p in frames[s, a]) + alpha * (p in frames[s, b])))
+            if v:
+                grey[s, t, *p] = int(v)
+    for own in (df, regions.runs(df, ("scene_id", "hour")).drop("run_id")):
+        assert {tuple(r)[:4]: r["value"] for r in timeline.soft_blend(own, times).collect()} == grey
+
+
 def test_waves_over_wide_and_shifted_grounds(spark):
     rng = random.Random(11)
     cells = {(x, y) for x in range(-3, 140) for y in range(-2, 5) if rng.random() < 0.8} | {(0, 0), (100, 2)}
