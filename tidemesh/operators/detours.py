@@ -87,7 +87,7 @@ def way_round(start: tuple[int, int], goal: tuple[int, int], home: tuple[int, in
 def ways(asked: DataFrame, wet: DataFrame, width: int, height: int, m_per_px: float, factor: int) -> DataFrame:
     """The legs (see crossing_legs) that have a way round, with its points xs, ys; ground is that of the arrival by a
     straight line."""
-    spans = asked.select(F.col("scene_id").alias("scene")).distinct().join(wet.select(F.col("scene_id").alias("scene"), "x", "y", "t_from", "t_to"), "scene")
+    spans = asked.select(F.col("scene_id").alias("scene")).distinct().join(wet.select(F.col("scene_id").alias("scene"), "x", "y", "t_from", "t_to").hint("merge"), "scene")
 
     def run(key: tuple, legs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = []
